@@ -9,5 +9,5 @@ from dqspark.functions.value_filters import (  # noqa: F401
     check_value_filter, apply_value_filter, keep_column, value_filter_prechecks,
 )
 from dqspark.functions.values import (  # noqa: F401
-    absent, field_of, key_digest, missing, named, number, number_text, quarter_label, share,
+    absent, field_of, how_many, key_digest, missing, named, number, number_text, quarter_label, share,
 )

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from dqspark.functions.values import how_many
 
 # The keys under which a definition may carry a row condition, first wins.
 WHERE_KEYS = ("where", "filter", "condition", "filter_condition")
@@ -33,10 +34,10 @@ class Scope:
         return value if self.keep is None else F.when(self.keep, value)
 
     def rows(self) -> Column:
-        return F.count(F.lit(1)) if self.keep is None else F.count_if(self.keep)
+        return F.count(F.lit(1)) if self.keep is None else how_many(self.keep)
 
     def count_if(self, condition: Column) -> Column:
-        return F.count_if(condition if self.keep is None else self.keep & condition)
+        return how_many(condition if self.keep is None else self.keep & condition)
 
 
 def resolve_columns(df: DataFrame, wanted: str | Iterable[str] | None) -> list[str]:

@@ -82,57 +82,39 @@ def metric_checks(tests: DataFrame, metrics: DataFrame) -> DataFrame:
     A test whose metric did not succeed is SKIPPED with the reason; one whose metric is unknown or
     has no value fails.
     """
-    known = metrics.select(
-        "metric_id", "dataset", "column", "value", F.col("status").alias("metric_status"), "error"
-    )
-    rows = tests.join(known, "metric_id", "left")
-    value, lower, upper, target = (F.col(c) for c in ("value", "lower", "upper", "target"))
-    in_range = F.when(F.col("inclusive"), (value >= lower) & (value <= upper)).otherwise(
-        (value > lower) & (value < upper))
-    too_low, too_high = F.coalesce(value < lower, F.lit(False)), F.coalesce(value > upper, F.lit(False))
-    interval_text = F.concat_ws(
-        "; ",
-        F.when(too_low, F.concat(number_text(value), F.lit(" < min "), number_text(lower))),
-        F.when(too_high, F.concat(number_text(value), F.lit(" > max "), number_text(upper))),
-    )
-    brackets = F.when(F.col("inclusive"), F.array(F.lit("["), F.lit("]"))).otherwise(
-        F.array(F.lit("("), F.lit(")")))
-    range_text = F.concat(
-        F.lit("value "), number_text(value), F.lit(" out of range "), brackets[0],
-        number_text(lower), F.lit(", "), number_text(upper), brackets[1])
-    compared = (
-        F.when(F.col("op").isin("=", "=="), value == target).when(F.col("op") == "!=", value != target)
-        .when(F.col("op") == ">=", value >= target).when(F.col("op") == "<=", value <= target)
-        .when(F.col("op") == ">", value > target).when(F.col("op") == "<", value < target)
-    )
-    threshold_text = F.concat(
-        number_text(value), F.lit(" is not "), F.col("op"), F.lit(" "), number_text(target))
-    ok = F.when(F.col("type") == "interval_check", ~too_low & ~too_high).when(
-        F.col("type") == "range", in_range).otherwise(compared)
-    fail_text = F.when(F.col("type") == "interval_check", interval_text).when(
-        F.col("type") == "range", range_text).otherwise(threshold_text)
-    unknown = F.col("metric_status").isNull()
-    skipped = ~unknown & (F.col("metric_status") != "SUCCESS")
-    valueless = value.isNull() | F.isnan(value)
-    status = (
-        F.when(F.col("spec_error").isNotNull(), "FAIL").when(unknown, "FAIL").when(skipped, "SKIPPED")
-        .when(valueless, "FAIL").when(ok, "SUCCESS").otherwise("FAIL")
-    )
-    quoted = F.concat(F.lit("Metric '"), F.col("metric_id"), F.lit("' "))
-    message = (
-        F.when(F.col("spec_error").isNotNull(), F.col("spec_error"))
-        .when(unknown, F.concat(quoted, F.lit("not found or not computed.")))
-        .when(skipped, F.concat(quoted, F.lit("is "), F.col("metric_status"),
-                                F.coalesce(F.concat(F.lit(": "), F.col("error")), F.lit(""))))
-        .when(valueless, F.concat(quoted, F.lit("has no numeric value.")))
-        .when(ok, "OK").otherwise(fail_text)
-    )
-    return rows.select(
-        "test_id", "type", "metric_id", "dataset", "column",
-        F.when(F.col("spec_error").isNull() & ~valueless, value).alias("value"),
-        F.when(status == "SKIPPED", F.lit(None)).otherwise(status == "SUCCESS").alias("passed"),
-        status.alias("status"), message.alias("message"),
-    )
+    known = metrics.selectExpr(
+        "metric_id", "dataset", "column", "value as found", "status as metric_status", "error")
+    value, lower, upper, target = (number_text(c) for c in ("found", "lower", "upper", "target"))
+    outcome = """case
+        when spec_error is not null or metric_status is null then 'FAIL'
+        when metric_status <> 'SUCCESS' then 'SKIPPED'
+        when found is null or isnan(found) then 'FAIL'
+        when type = 'interval_check' then
+            if(coalesce(found < lower, false) or coalesce(found > upper, false), 'FAIL', 'SUCCESS')
+        when type = 'range' then
+            if((inclusive and found >= lower and found <= upper) or (found > lower and found < upper), 'SUCCESS', 'FAIL')
+        when case op when '=' then found = target when '==' then found = target when '!=' then found <> target
+             when '>=' then found >= target when '<=' then found <= target
+             when '>' then found > target else found < target end then 'SUCCESS'
+        else 'FAIL' end"""
+    message = f"""case
+        when spec_error is not null then spec_error
+        when metric_status is null then concat("Metric '", metric_id, "' not found or not computed.")
+        when status = 'SKIPPED' then concat_ws(': ', concat("Metric '", metric_id, "' is ", metric_status), error)
+        when found is null or isnan(found) then concat("Metric '", metric_id, "' has no numeric value.")
+        when status = 'SUCCESS' then 'OK'
+        when type = 'interval_check' then concat_ws('; ',
+            if(found < lower, concat({value}, ' < min ', {lower}), null),
+            if(found > upper, concat({value}, ' > max ', {upper}), null))
+        when type = 'range' then concat('value ', {value}, ' out of range ', if(inclusive, '[', '('),
+            {lower}, ', ', {upper}, if(inclusive, ']', ')'))
+        else concat({value}, ' is not ', op, ' ', {target}) end"""
+    return (
+        tests.join(known, "metric_id", "left").selectExpr("*", f"{outcome} as status")
+        .selectExpr(
+            "test_id", "type", "metric_id", "dataset", "column",
+            "if(spec_error is null and not isnan(found), found, null) as value",
+            "if(status = 'SKIPPED', null, status = 'SUCCESS') as passed", "status", f"{message} as message"))
 
 
 # --- tests on dataset columns
@@ -248,43 +230,30 @@ def verdicts(counts: DataFrame) -> DataFrame:
 
     Messages list columns in name order, so they read the same however rows were partitioned.
     """
-    checked, bad = F.col("state") == "checked", F.col("violations") > 0
-    no_numbers = (F.col("state") != "missing") & F.col("needs_values") & (F.col("checked") == 0)
-    unbounded = (F.col("state") == "unbounded") & (F.col("checked") > 0)
-
-    def listed(condition: Column) -> Column:
-        return F.array_join(F.sort_array(F.collect_set(F.when(condition, F.col("column")))), ", ")
-
-    part = F.struct("column", F.concat(
-        F.col("violations").cast("string"), F.lit("/"), F.col("checked").cast("string"), F.lit(" "),
-        F.col("problem"), F.lit(" '"), F.col("column"), F.lit("'")).alias("text"))
-    grouped = counts.groupBy("test_id").agg(
-        F.sum(F.when(checked, F.col("violations")).otherwise(0)).alias("violations"),
-        F.sum("checked").alias("checked"),
-        F.count_if(F.col("state") == "missing").alias("n_missing"),
-        F.count_if(no_numbers).alias("n_empty"),
-        listed(F.col("state") == "missing").alias("missing"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(checked & bad, part))),
-                                 lambda p: p["text"]), "; ").alias("broken"),
-        listed(no_numbers).alias("empty"), listed(unbounded).alias("unbounded"),
-        F.first("needs_values").alias("numeric"),
-    )
-    passed = (F.col("violations") == 0) & (F.col("n_missing") == 0) & (F.col("n_empty") == 0)
-    text = F.concat_ws(
-        "; ",
-        F.when(F.col("missing") != "", F.concat(F.lit("Missing columns: "), F.col("missing"))),
-        F.when(F.col("broken") != "", F.col("broken")),
-        F.when(F.col("empty") != "", F.concat(F.lit("Columns without numeric values: "), F.col("empty"))),
-        F.when(F.col("unbounded") != "", F.concat(F.lit("No bounds configured for: "), F.col("unbounded"))),
-    )
-    fine = F.concat(
-        F.lit("All values ("), F.col("checked").cast("string"),
-        F.when(F.col("numeric"), ") respect the configured bounds.").otherwise(") match."))
-    return grouped.select(
-        "test_id", F.col("violations").cast("double").alias("value"), passed.alias("passed"),
-        F.when(passed, "SUCCESS").otherwise("FAIL").alias("status"),
-        F.when(text == "", fine).otherwise(text).alias("message"),
-    )
+    no_numbers = "state <> 'missing' and needs_values and checked = 0"
+
+    def listed(condition: str) -> str:
+        return f"array_join(sort_array(collect_set(column) filter (where {condition})), ', ')"
+
+    broken = "state = 'checked' and violations > 0"
+    part = """struct(column, concat(violations, '/', checked, ' ', problem, " '", column, "'") as text)"""
+    grouped = counts.groupBy("test_id").agg(*[F.expr(e) for e in (
+        "coalesce(sum(violations) filter (where state = 'checked'), 0) as bad", "sum(checked) as seen",
+        f"count(*) filter (where state = 'missing' or {no_numbers}) as unusable",
+        f"{listed('state = ' + repr('missing'))} as missing",
+        f"transform(sort_array(collect_list({part}) filter (where {broken})), p -> p.text) as broken",
+        f"{listed(no_numbers)} as empty",
+        f"{listed('state = ' + repr('unbounded') + ' and checked > 0')} as unbounded",
+        "first(needs_values) as numeric")])
+    return grouped.selectExpr(
+        "test_id", "cast(bad as double) as value", "bad = 0 and unusable = 0 as passed",
+        """concat_ws('; ', if(missing <> '', concat('Missing columns: ', missing), null),
+            if(size(broken) > 0, array_join(broken, '; '), null),
+            if(empty <> '', concat('Columns without numeric values: ', empty), null),
+            if(unbounded <> '', concat('No bounds configured for: ', unbounded), null)) as problems""",
+        "concat('All values (', seen, if(numeric, ') respect the configured bounds.', ') match.')) as fine",
+    ).selectExpr("test_id", "value", "passed", "if(passed, 'SUCCESS', 'FAIL') as status",
+                 "if(problems = '', fine, problems) as message")
 
 
 def interval_check_columns(

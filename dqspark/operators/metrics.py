@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from dqspark.functions.predicates import Scope, pick_where, resolve_columns
 from dqspark.functions.types import is_numeric, simple_type
 from dqspark.functions.value_filters import keep_column
-from dqspark.functions.values import absent, field_of, missing, named, number, share
+from dqspark.functions.values import absent, field_of, how_many, missing, named, number, share
 from dqspark.operators.scan import Frame, Keys, Probe, Scan, Table, fold, long_values
 
 # Fixed value: what a regular-expression check looks for when no pattern is given.
@@ -94,7 +94,7 @@ def default_id(type_name: str, dataset: str | None, params: Mapping[str, Any]) -
 def build_probe(
     m: Metric, df: DataFrame, datasets: Datasets | None = None, dataset: str | None = None,
 ) -> Probe | Table:
-    """What to compute for a metric on its dataset; raises when it does not fit."""
+    """What to compute for a metric on its dataset; raises when its parameters do not fit."""
     if m.type not in METRIC_TYPES:
         raise ValueError(f"unknown metric type: {m.type}")
     kind = METRIC_TYPES[m.type]
@@ -116,9 +116,7 @@ def build_probe(
         return ask
     if isinstance(ask, Frame):
         keep, keep_id = None, None
-    probe = Probe(m.id, dataset or m.dataset or "", df, ask, keep, keep_id)
-    probe.check()
-    return probe
+    return Probe(m.id, dataset or m.dataset or "", df, ask, keep, keep_id)
 
 
 def compute_metrics(
@@ -126,17 +124,9 @@ def compute_metrics(
 ) -> DataFrame:
     """The values of several metrics of one dataset as (metric_id, value), in shared scans."""
     probes = [build_probe(m, df, datasets, "") for m in metrics]
-    wanted = [p for p in probes if isinstance(p, Probe)]
-    if len(wanted) < len(probes):
+    if any(isinstance(p, Table) for p in probes):
         raise ValueError("a metric that makes a table has no value: use metric_table")
-    names = {p.key: p.ask.value for p in wanted}
-    answers = long_values(wanted)
-    if set(names.values()) != {"value"}:
-        chosen = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-        answers = answers.filter(F.col("name") == chosen[F.col("key")])
-    else:
-        answers = answers.filter(F.col("name") == "value")
-    return answers.select(F.col("key").alias("metric_id"), "value")
+    return long_values(probes, details=False).select(F.col("key").alias("metric_id"), "value")
 
 
 def metric_details(df: DataFrame, m: Metric, datasets: Datasets | None = None) -> DataFrame:
@@ -403,7 +393,7 @@ def _unique_count(df, params, datasets):
         return Scan(build)
 
     def build_exact(counted):
-        distinct = F.count_if(_known(counted, [name]))
+        distinct = how_many(_known(counted, [name]))
         rows = F.coalesce(F.sum("n"), F.lit(0))
         return {"value": distinct, "total_rows": rows, "uniqueness_rate": share(distinct, rows)}
     return Keys((name,), build_exact, digest=bool(params.get("digest")))
@@ -418,7 +408,7 @@ def _duplicate_count(df, params, datasets):
         field_of(df, c)
     return Keys(columns, lambda counted: {
         "value": F.coalesce(F.sum(F.col("n") - 1), F.lit(0)),
-        "duplicated_keys": F.count_if(F.col("n") > 1),
+        "duplicated_keys": how_many(F.col("n") > 1),
         "rows_in_duplicates": F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)),
     }, digest=bool(params.get("digest")))
 

@@ -61,8 +61,8 @@ class Probe:
 
     def check(self) -> None:
         """Analysis only: raises when the probe does not fit its dataset."""
-        for frame in _wide_frames([self]):
-            frame[0].schema
+        for frame, _ in _wide_frames([self]):
+            frame.schema
 
 
 def frequencies(df: DataFrame, columns: Sequence[str], digest: bool = False) -> DataFrame:
@@ -71,8 +71,13 @@ def frequencies(df: DataFrame, columns: Sequence[str], digest: bool = False) ->
     return df.select(*keys).groupBy(*[named(c) for c in columns]).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _wide_frames(probes: Iterable[Probe]) -> list[tuple[DataFrame, list[tuple[str, str]]]]:
-    """One-row frames with columns s0, s1, ... and, for each, which probe and name they answer."""
+def _wide_frames(
+    probes: Iterable[Probe], details: bool = True,
+) -> list[tuple[DataFrame, list[tuple[str, str]]]]:
+    """One-row frames with columns s0, s1, ... and, for each, which probe and name they answer.
+
+    Without ``details`` each probe answers with its value alone.
+    """
     scans: dict[str, list[Probe]] = {}
     keyed: dict[tuple, list[Probe]] = {}
     frames = []
@@ -83,7 +88,7 @@ def _wide_frames(probes: Iterable[Probe]) -> list[tuple[DataFrame, list[tuple[st
             group = (probe.dataset, probe.keep_id, probe.ask.columns, probe.ask.digest)
             keyed.setdefault(group, []).append(probe)
         else:
-            slots = probe.ask.frame.columns
+            slots = probe.ask.frame.columns if details else [probe.ask.value]
             frames.append((
                 probe.ask.frame.select(*[named(c).alias(f"s{i}") for i, c in enumerate(slots)]),
                 [(probe.key, c) for c in slots],
@@ -95,22 +100,25 @@ def _wide_frames(probes: Iterable[Probe]) -> list[tuple[DataFrame, list[tuple[st
         if shared:
             df = df.filter(group[0].keep)
         frames.append(_aggregate(df, [
-            (p.key, p.ask.build(Scope(None if shared else p.keep))) for p in group
-        ]))
+            (p, p.ask.build(Scope(None if shared else p.keep))) for p in group
+        ], details))
     for (_, _, columns, digest), group in keyed.items():
         df = group[0].df if group[0].keep is None else group[0].df.filter(group[0].keep)
         counted = frequencies(df, columns, digest)
-        frames.append(_aggregate(counted, [(p.key, p.ask.build(counted)) for p in group]))
+        frames.append(_aggregate(counted, [(p, p.ask.build(counted)) for p in group], details))
     return frames
 
 
-def _aggregate(df, asked):
-    slots = [(key, name, column) for key, values in asked for name, column in values.items()]
+def _aggregate(df, asked, details):
+    slots = [
+        (probe.key, name, column) for probe, values in asked for name, column in values.items()
+        if details or name == probe.ask.value
+    ]
     frame = df.agg(*[column.alias(f"s{i}") for i, (_, _, column) in enumerate(slots)])
     return frame, [(key, name) for key, name, _ in slots]
 
 
-def long_values(probes: Sequence[Probe]) -> DataFrame:
+def long_values(probes: Sequence[Probe], details: bool = True) -> DataFrame:
     """All answers as rows (key, name, value), lazily."""
     parts = [
         frame.select(F.inline(F.array(*[
@@ -119,7 +127,7 @@ def long_values(probes: Sequence[Probe]) -> DataFrame:
                 F.col(f"s{i}").cast("double").alias("value"),
             ) for i, (key, name) in enumerate(slots)
         ])))
-        for frame, slots in _wide_frames(probes)
+        for frame, slots in _wide_frames(probes, details)
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -130,19 +138,39 @@ def collect_values(
     """All answers by probe key, and the error of each probe that failed.
 
     Only these numbers reach the driver; how many there are depends on the suite, not on the data.
-    If the joint job fails, it is halved until the guilty probe stands alone, so that the others
-    still share scans.
+    Probes the analyzer refuses are set aside before anything runs.
     """
     if not probes:
         return {}, {}
+    errors: dict[str, str] = {}
+    try:
+        united = long_values(probes)
+    except Exception:
+        good = []
+        for probe in probes:
+            try:
+                probe.check()
+                good.append(probe)
+            except Exception as error:
+                errors[probe.key] = first_line(error)
+        if not good:
+            return {}, errors
+        probes, united = good, long_values(good)
+    answers, failed = _run(probes, united)
+    return answers, errors | failed
+
+
+def _run(probes: Sequence[Probe], united: DataFrame):
+    """Answers from one job. If it fails it is halved until the guilty probe stands alone, so that
+    the others still share scans."""
     try:
-        return _gather(long_values(probes)), {}
+        return _gather(united), {}
     except Exception as error:
         if len(probes) == 1:
             return {}, {probes[0].key: first_line(error)}
     half = len(probes) // 2
-    left, left_errors = collect_values(probes[:half])
-    right, right_errors = collect_values(probes[half:])
+    left, left_errors = _run(probes[:half], long_values(probes[:half]))
+    right, right_errors = _run(probes[half:], long_values(probes[half:]))
     return left | right, left_errors | right_errors
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dqspark.functions.values import how_many
+
 # The states of a submission.
 STATUSES = ("pending", "processing", "dq_success", "dq_failed", "rejected", "error")
 
@@ -52,10 +54,10 @@ def verdict(tests: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """
     counts = tests.groupBy("submission_id").agg(
         F.count(F.lit(1)).alias("dq_total"),
-        F.count_if(F.col("status") == "SUCCESS").alias("dq_passed"),
-        F.count_if(F.col("status") == "FAIL").alias("dq_failed"),
-        F.count_if(F.col("status") == "SKIPPED").alias("dq_skipped"),
-        F.count_if(F.col("status") == "ERROR").alias("dq_errors"),
+        how_many(F.col("status") == "SUCCESS").alias("dq_passed"),
+        how_many(F.col("status") == "FAIL").alias("dq_failed"),
+        how_many(F.col("status") == "SKIPPED").alias("dq_skipped"),
+        how_many(F.col("status") == "ERROR").alias("dq_errors"),
     )
     decided = (
         F.when(F.col("dq_errors") > 0, "ERROR").when(F.col("dq_failed") > 0, "REJECTED")
@@ -74,8 +76,8 @@ def channel_stats(submissions: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     return submissions.groupBy("channel_id").agg(
         total.alias("total_submissions"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
-        (F.count_if(F.col("status") == "dq_success").cast("double") / total * F.lit(100.0)).alias("success_rate"),
+        *[how_many(F.col("status") == s).alias(s) for s in STATUSES],
+        (how_many(F.col("status") == "dq_success").cast("double") / total * F.lit(100.0)).alias("success_rate"),
     )
 
 
@@ -107,7 +109,7 @@ def flatten_inventory(inventory: DataFrame) -> DataFrame:
 def zone_counts(flat: DataFrame) -> DataFrame:
     """Datasets per zone of a flattened inventory, zones without any included."""
     return flat.groupBy("stream", "project", "zone").agg(
-        F.count_if(F.col("dataset") != "-").alias("datasets_count"))
+        how_many(F.col("dataset") != "-").alias("datasets_count"))
 
 
 # --- definitions

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.frames import local_frame
-from dqspark.functions.values import quarter_label
+from dqspark.functions.values import how_many, quarter_label
 from dqspark.plans.suite import INVESTIGATIONS_SCHEMA, SuiteResult
 from dqspark.sources.sinks import write_sample
 
@@ -25,12 +25,12 @@ def status_counts(result: SuiteResult) -> DataFrame:
 
 def summarize(tests: DataFrame) -> DataFrame:
     """Totals of a tests table as one row. A skipped or errored test does not pass."""
-    passed = F.count_if(F.col("status") == "SUCCESS")
+    passed = how_many(F.col("status") == "SUCCESS")
     return tests.agg(
         F.count(F.lit(1)).alias("total_tests"), passed.alias("tests_passed"),
-        F.count_if(F.col("status") == "FAIL").alias("tests_failed"),
-        F.count_if(F.col("status") == "ERROR").alias("tests_errored"),
-        F.count_if(F.col("status") == "SKIPPED").alias("tests_skipped"),
+        how_many(F.col("status") == "FAIL").alias("tests_failed"),
+        how_many(F.col("status") == "ERROR").alias("tests_errored"),
+        how_many(F.col("status") == "SKIPPED").alias("tests_skipped"),
         F.when(passed == F.count(F.lit(1)), "SUCCESS").otherwise("FAILED").alias("status"),
     )
 
@@ -41,7 +41,7 @@ def run_summary(
     """The run in one row: how much was computed, how much passed, and the verdict."""
     metrics = result.metrics.agg(
         F.count(F.lit(1)).alias("total_metrics"),
-        F.count_if(F.col("status") == "SUCCESS").alias("metrics_computed"))
+        how_many(F.col("status") == "SUCCESS").alias("metrics_computed"))
     found = result.investigations.agg(F.count(F.lit(1)).alias("investigations"))
     return (
         summarize(result.tests).withColumn("one", F.lit(1))

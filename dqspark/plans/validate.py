@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from dqspark.functions.values import how_many
+
 
 def check_ids(suites: DataFrame) -> DataFrame:
     """Ids used more than once in a suite: rows (suite_id, id, problem, n).
@@ -13,8 +15,8 @@ def check_ids(suites: DataFrame) -> DataFrame:
     keeps it to one shuffle that is summed in part before it, so a hot id costs nothing extra.
     """
     counted = suites.groupBy("suite_id", "id").agg(
-        F.count_if(F.col("kind") == "metric").alias("metrics"),
-        F.count_if(F.col("kind") == "test").alias("tests"))
+        how_many(F.col("kind") == "metric").alias("metrics"),
+        how_many(F.col("kind") == "test").alias("tests"))
     problems = F.array_compact(F.array(
         F.when(F.col("metrics") > 1, F.struct(F.lit("duplicate metric").alias("problem"), F.col("metrics").alias("n"))),
         F.when(F.col("tests") > 1, F.struct(F.lit("duplicate test").alias("problem"), F.col("tests").alias("n"))),

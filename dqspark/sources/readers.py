@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from dqspark.functions.frames import local_frame
 from dqspark.functions.predicates import resolve_columns
-from dqspark.functions.values import named
+from dqspark.functions.values import how_many, named
 
 _SUFFIXES = {
     ".parquet": "parquet", ".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl",
@@ -101,7 +101,7 @@ def _infer_types(raw: DataFrame) -> DataFrame:
     """Long, double or timestamp for the text columns whose every value reads as one, in one scan."""
     candidates = ("bigint", "double", "timestamp")
     fits = raw.agg(*[
-        F.count_if(named(c).isNotNull() & named(c).try_cast(t).isNull()).alias(f"{i}_{t}")
+        how_many(named(c).isNotNull() & named(c).try_cast(t).isNull()).alias(f"{i}_{t}")
         for i, c in enumerate(raw.columns) for t in candidates
     ] + [F.count(named(c)).alias(f"{i}_n") for i, c in enumerate(raw.columns)]).first()
     chosen = []
