@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.values import how_many
+from dqspark.operators.skew import salted_join
 
 # The states of a submission.
 STATUSES = ("pending", "processing", "dq_success", "dq_failed", "rejected", "error")
@@ -16,15 +17,12 @@ def missing_files(spec: DataFrame, submissions: DataFrame, delivered: DataFrame)
     """Required files a submission lacks: rows (submission_id, channel_id, file_id, name).
 
     ``spec`` has (channel_id, file_id, name, required), ``submissions`` (submission_id,
-    channel_id) and ``delivered`` (submission_id, file_id). A channel has few files, so they travel
-    as one array per channel: the join on a busy channel yields each of its submissions once, and
-    the anti join that follows is on (submission, file), which no channel can make hot.
+    channel_id) and ``delivered`` (submission_id, file_id). A busy channel is spread when it meets
+    its files; the anti join that follows is on (submission, file), which no channel can make hot.
     """
-    required = (
-        spec.filter("required").groupBy("channel_id")
-        .agg(F.collect_set(F.struct("file_id", "name")).alias("files")))
-    expected = submissions.join(required, "channel_id").select(
-        "submission_id", "channel_id", F.inline("files"))
+    required = spec.filter("required").select("channel_id", "file_id", "name")
+    expected = salted_join(
+        submissions.select("submission_id", "channel_id"), required, ["channel_id"], "inner", ["submission_id"])
     there = delivered.select("submission_id", "file_id").distinct()
     return expected.join(there, ["submission_id", "file_id"], "left_anti").select(
         "submission_id", "channel_id", "file_id", "name")
@@ -37,7 +35,7 @@ def filename_check(delivered: DataFrame, spec: DataFrame) -> DataFrame:
     file_id, pattern). No pattern accepts every name; a file no specification knows is refused.
     """
     patterns = spec.select("channel_id", "file_id", "pattern", F.lit(True).alias("known"))
-    joined = delivered.join(patterns, ["channel_id", "file_id"], "left")
+    joined = salted_join(delivered, patterns, ["channel_id", "file_id"], "left", ["submission_id", "file_name"])
     matches = F.coalesce(F.regexp_like(F.col("file_name"), F.col("pattern")), F.lit(True))
     known = F.coalesce("known", F.lit(False))
     return joined.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from dqspark.functions.values import how_many
+from dqspark.operators.skew import salted_join
 
 
 def check_ids(suites: DataFrame) -> DataFrame:
@@ -26,33 +27,39 @@ def check_ids(suites: DataFrame) -> DataFrame:
     return counted.select("suite_id", "id", F.inline(problems))
 
 
+_REFERENCE = ["problem", "within", "name"]
+
+
 def check_refs(tests: DataFrame, metrics: DataFrame, datasets: DataFrame) -> DataFrame:
     """Tests that name an unknown metric, dataset or column: rows (suite_id, test_id, problem, reference).
 
     ``tests`` has (suite_id, test_id, metric_id, dataset, column), ``metrics`` (suite_id,
-    metric_id) and ``datasets`` (dataset, column). References are made distinct before they are
-    looked up, so one that most tests share is looked up once.
+    metric_id) and ``datasets`` (dataset, column). A column is only looked for in a known dataset.
+    Each distinct reference is looked up once; the tests that make a bad one are then found with a
+    join that spreads a reference many of them share.
     """
-    on_metric = tests.filter("metric_id is not null")
-    bad_metrics = (
-        on_metric.select("suite_id", "metric_id").distinct()
-        .join(metrics.select("suite_id", "metric_id").distinct(), ["suite_id", "metric_id"], "left_anti"))
     on_data = tests.filter("metric_id is null and dataset is not null")
-    known = datasets.select("dataset").distinct()
-    bad_datasets = on_data.select("dataset").distinct().join(known, "dataset", "left_anti")
-    on_column = on_data.filter("column is not null")
-    bad_columns = (
-        on_column.select("dataset", "column").distinct()
-        .join(datasets.select("dataset", "column").distinct(), ["dataset", "column"], "left_anti")
-        .join(known, "dataset", "left_semi"))
-
-    def report(rows: DataFrame, bad: DataFrame, on: list[str], problem: str, reference) -> DataFrame:
-        return rows.join(bad, on, "left_semi").select(
-            "suite_id", "test_id", F.lit(problem).alias("problem"), reference.alias("reference"))
-
-    dotted = F.concat_ws(".", "dataset", "column")
-    return (
-        report(on_metric, bad_metrics, ["suite_id", "metric_id"], "unknown metric", F.col("metric_id"))
-        .unionByName(report(on_data, bad_datasets, ["dataset"], "unknown dataset", F.col("dataset")))
-        .unionByName(report(on_column, bad_columns, ["dataset", "column"], "unknown column", dotted))
-    )
+
+    def referring(rows: DataFrame, problem: str, within: str, name: str) -> DataFrame:
+        return rows.selectExpr(
+            "suite_id", "test_id", f"'{problem}' as problem", f"{within} as within", f"{name} as name")
+
+    references = (
+        referring(tests.filter("metric_id is not null"), "unknown metric", "cast(suite_id as string)", "metric_id")
+        .unionByName(referring(on_data, "unknown dataset", "''", "dataset"))
+        .unionByName(referring(on_data.filter("column is not null"), "unknown column", "dataset", "column")))
+    columns = datasets.select("dataset", "column").distinct()
+    known = (
+        metrics.selectExpr("'unknown metric' as problem", "cast(suite_id as string) as within", "metric_id as name")
+        .unionByName(columns.selectExpr("'unknown dataset' as problem", "'' as within", "dataset as name"))
+        .unionByName(columns.selectExpr("'unknown column' as problem", "dataset as within", "column as name"))
+        .distinct())
+    counted = references.groupBy(*_REFERENCE).agg(F.count(F.lit(1)).alias("n"))
+    unknown = counted.filter("n > 0").join(known, _REFERENCE, "left_anti")
+    in_known = unknown.filter("problem = 'unknown column'").join(
+        columns.select(F.col("dataset").alias("within")).distinct(), "within", "left_semi")
+    bad = unknown.filter("problem <> 'unknown column'").unionByName(in_known).drop("n")
+    return salted_join(
+        references, bad, _REFERENCE, "left_semi", ["suite_id", "test_id"], counted,
+    ).selectExpr("suite_id", "test_id", "problem",
+                 "if(problem = 'unknown column', concat(within, '.', name), name) as reference")

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from dqspark.plans.deliveries import verdict
 from dqspark.plans.suite import run_suite
 from dqspark.sources.readers import work_folder
 
@@ -28,7 +29,10 @@ def watch_deliveries(
     references: Mapping[str, DataFrame] | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Run a suite on each batch of files arriving in ``path``; results go to tables below ``sink``.
+    """Run a suite on each batch of files arriving in ``path`` and accept or reject the batch.
+
+    Its metrics, tests and verdict go to tables of these names below ``sink``; with
+    ``files_per_batch=1`` every file is a delivery of its own.
 
     Batches keep no state, so there is no watermark. A batch repeated after a failure writes the
     same ``batch_id`` partitions again and so changes nothing. ``references`` are the other
@@ -43,8 +47,10 @@ def watch_deliveries(
 
     def check_batch(rows: DataFrame, batch_id: int) -> None:
         session = rows.sparkSession
-        result = run_suite(session, {**(references or {}), alias: rows}, suite, run_id=f"batch_{batch_id}")
-        for name, table in {"metrics": result.metrics, "tests": result.tests}.items():
+        result = run_suite(
+            session, {**(references or {}), alias: rows}, suite, run_id=f"batch_{batch_id}", investigations=False)
+        decided = verdict(result.tests.withColumn("submission_id", F.lit(f"batch_{batch_id}")))
+        for name, table in {"metrics": result.metrics, "tests": result.tests, "verdicts": decided}.items():
             (table.withColumn("batch_id", F.lit(batch_id).cast("bigint")).coalesce(1)
                   .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                   .partitionBy("batch_id").parquet(posixpath.join(sink, name)))
