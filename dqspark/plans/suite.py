@@ -7,10 +7,12 @@ A suite is a plain dict::
      "metrics": [{"id": "m", "type": "missing_rate", "dataset": "sales", "column": "amount"}],
      "tests": [{"id": "t", "type": "interval_check", "metric_id": "m", "upper": 0.1}],
      "scripts": [{"id": "s", "check": "name", "params": {}, "execute_on": "post_dq"}],
+     "filters": {"north": {"conditions": [...], "default": False}},
      "keys": {"sales": "sale_id"}}
 
 ``metrics`` and ``tests`` may also be mappings from id to body, and parameters may sit under
-``specific``. ``keys`` name the columns that order the samples of a dataset.
+``specific``. ``filters`` are named value filters a metric's ``filter`` may refer to, and ``keys``
+name the columns that order the samples of a dataset.
 """
 
 from __future__ import annotations
@@ -209,6 +211,7 @@ class _Run:
         try:
             metric.dataset = self.dataset_of(metric.dataset)
             df = self.registry[metric.dataset]
+            self._name_filter(metric)
             spec = metric.params.get("value_filter")
             if spec:
                 frame, reason = value_filter_prechecks(
@@ -229,6 +232,15 @@ class _Run:
         except Exception as error:
             self.metric_status[metric.id] = ("ERROR", first_line(error))
 
+    def _name_filter(self, metric: Metric) -> None:
+        """A filter may be the name of one of the suite's value filters, or such a filter itself."""
+        given, known = metric.params.get("filter"), self.suite.get("filters") or {}
+        if isinstance(given, Mapping):
+            metric.params["value_filter"] = metric.params.pop("filter")
+        elif isinstance(given, str) and given in known:
+            metric.params["filter_name"] = metric.params.pop("filter")
+            metric.params["value_filter"] = known[given]
+
     def settle_metrics(self, answers, errors) -> None:
         for mid, probe in self.metric_ask.items():
             key = _metric_key(mid)
