@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dqspark.functions.predicates import resolve_columns
 from dqspark.functions.values import key_digest, missing, named, number
@@ -60,6 +60,21 @@ def investigate_bounds(
     return _first(df.filter(any_outside(df, bounds, inclusive)), key, n)
 
 
+def samples_of_masks(
+    df: DataFrame, masks: Mapping[str, Column], key: Sequence[str], n: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """The samples of several tests of one dataset in one scan, as (test_id, row as JSON).
+
+    ``row_number() <= n`` is cut short in each task before the shuffle, as a top-n is, so a test
+    that most rows fail sends no more of them than any other.
+    """
+    failing = F.array_compact(F.array(*[F.when(mask, F.lit(test_id)) for test_id, mask in masks.items()]))
+    tagged = df.select(F.struct("*").alias("row"), F.explode(failing).alias("test_id"))
+    order = [F.col("row")[k] for k in key] or [F.xxhash64("row")]
+    ranked = tagged.withColumn("place", F.row_number().over(Window.partitionBy("test_id").orderBy(*order)))
+    return ranked.filter(F.col("place") <= n).select("test_id", F.to_json("row").alias("row"))
+
+
 def investigate_duplicates(
     df: DataFrame, columns: str | Sequence[str], key: str | Sequence[str], n: int = SAMPLE_ROWS,
     digest: bool = False,

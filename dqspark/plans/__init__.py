@@ -6,4 +6,4 @@ from dqspark.plans.reports import (  # noqa: F401
     investigation_report, metrics_report, run_summary, status_counts, summarize, tests_report,
 )
 from dqspark.plans.suite import SuiteResult, consolidate, run_suite  # noqa: F401
-from dqspark.plans.validate import check_ids, check_refs  # noqa: F401
+from dqspark.plans.validate import check_ids, check_refs, validate_suite  # noqa: F401

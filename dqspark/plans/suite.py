@@ -70,6 +70,7 @@ class SuiteResult:
     info: DataFrame
     investigations: DataFrame
     samples: dict[str, DataFrame] = field(default_factory=dict)
+    sampled: DataFrame | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
     prechecks: DataFrame | None = None
     scripts: int = 0
@@ -123,7 +124,23 @@ def _first_of(item: Mapping[str, Any], *names: str) -> Any:
     return next((_number(item[n]) for n in names if item.get(n) is not None), None)
 
 
-def _test_of(item: dict[str, Any]) -> dict[str, Any]:
+def suite_items(suite: Mapping[str, Any]) -> tuple[list[dict[str, Any]], list[dict[str, Any]]]:
+    """The metrics and the tests of a suite as flat dicts, each with its id and dataset."""
+    metrics, context = _items(suite.get("metrics")), suite.get("context") or {}
+    for item in metrics:
+        if not item.get("id"):
+            item["id"] = default_id(item.get("type"), item.get("dataset"), {**context, **item})
+    return metrics, _items(suite.get("tests"))
+
+
+def _refuse_shared_ids(metrics: list[str], tests: list[str]) -> None:
+    ids = metrics + tests
+    shared = sorted({i for i in ids if ids.count(i) > 1})
+    if shared:
+        raise ValueError(f"ids used more than once in the suite: {shared}")
+
+
+def _test_of(item: dict[str, Any], severity: str = "medium") -> dict[str, Any]:
     """One test with its bounds, operator and target under the names the checks use."""
     test = dict(item)
     general = item.get("general") or {}
@@ -146,7 +163,7 @@ def _test_of(item: dict[str, Any]) -> dict[str, Any]:
         test["target"] = _first_of(item, "value", "target")
     columns = item.get("columns") or item.get("column") or []
     test["columns"] = [columns] if isinstance(columns, str) else list(columns)
-    test["severity"] = item.get("severity") or general.get("criticality") or "medium"
+    test["severity"] = item.get("severity") or general.get("criticality") or severity
     test["blocking"] = bool(item.get("stop_on_failure", general.get("stop_on_failure", False)))
     mode = item.get("target_mode")
     test["mode"] = mode or ("metric_value" if test["metric_id"] else "dataset_columns")
@@ -291,7 +308,7 @@ def run_suite(
     run_id: str | None = None,
     technical_checks: bool = False,
     investigations: bool = True,
-    sample_rows: int = investigate.SAMPLE_ROWS,
+    sample_rows: int | None = None,
 ) -> SuiteResult:
     """Compute a suite's metrics, verdicts and samples.
 
@@ -300,13 +317,13 @@ def run_suite(
     a report never scans a dataset again. Samples stay lazy until read or written.
     """
     registry = datasets if isinstance(datasets, DatasetRegistry) else DatasetRegistry(spark, datasets)
-    run = _Run(spark, registry, suite, sample_rows)
+    settings = suite.get("globals") or {}
+    run = _Run(spark, registry, suite, sample_rows or settings.get("sample_size") or investigate.SAMPLE_ROWS)
     context = suite.get("context") or {}
-    metric_items = _items(suite.get("metrics"))
-    for item in metric_items:
-        if not item.get("id"):
-            item["id"] = default_id(item.get("type"), item.get("dataset"), {**context, **item})
-    tests = [t for item in _items(suite.get("tests")) for t in _split_rules(_test_of(item))]
+    metric_items, test_items = suite_items(suite)
+    _refuse_shared_ids([i["id"] for i in metric_items], [i["id"] for i in test_items])
+    severity = settings.get("default_severity", "medium")
+    tests = [t for item in test_items for t in _split_rules(_test_of(item, severity))]
     held: list[DataFrame] = []
     scripts = _Scripts(run, held)
     scripts.phase("pre_dq")
@@ -347,9 +364,9 @@ def run_suite(
     rows = _in_suite_order([tuple(r) for r in decided], [t["id"] for t in tests])
     tests_df = local_frame(spark, rows, TESTS_SCHEMA)
 
-    samples, report = {}, []
+    samples, sampled, report = {}, None, []
     if investigations:
-        samples, report = _investigate(run, tests, planned, rows)
+        samples, sampled, report = _investigate(run, tests, planned, rows)
     info = _info_rows(metric_items, tests) + [
         ("test", r[1], r[1], r[9], "", True, "", "", "Technical", f"TECH_{r[1]}") for r in technical
     ]
@@ -362,7 +379,7 @@ def run_suite(
         spark=spark, suite_id=run.suite_id, run_id=run_id or f"run_{uuid.uuid4().hex[:12]}",
         metrics=metrics, tests=tests_df, details=local_frame(spark, details, DETAILS_SCHEMA),
         info=local_frame(spark, info, INFO_SCHEMA),
-        investigations=local_frame(spark, report, INVESTIGATIONS_SCHEMA), samples=samples,
+        investigations=local_frame(spark, report, INVESTIGATIONS_SCHEMA), samples=samples, sampled=sampled,
         tables={a: registry[a] for a in registry if a.startswith(VIRTUAL)},
         prechecks=reduce(DataFrame.unionByName, run.prechecks) if run.prechecks else None,
         scripts=scripts.count, held=held,
@@ -681,43 +698,55 @@ def _metric_suspects(run: _Run, metric: Metric) -> _Suspects | None:
     return None
 
 
-def _investigate(run: _Run, tests, planned, rows) -> tuple[dict[str, DataFrame], list[tuple]]:
+def _investigate(run: _Run, tests, planned, rows):
+    """Per failed test a lazy sample, all samples as one frame, and the rows of the report."""
     failed = {r[1] for r in rows if r[8] == "FAIL"}
-    keys = run.suite.get("keys") or {}
-    n = run.sample_rows
-    samples, probes, found = {}, [], []
+    found = []
     for test in tests:
-        if test["id"] not in failed:
-            continue
-        suspects = _suspects(run, test, planned)
-        if suspects is None:
-            continue
+        if test["id"] in failed:
+            suspects = _suspects(run, test, planned)
+            if suspects is not None:
+                found.append((test, suspects))
+    probes = []
+    for test, suspects in found:
         df = run.registry[suspects.dataset]
-        rows_kept = df if suspects.keep is None else df.filter(suspects.keep)
-        key = test.get("sample_key") or keys.get(suspects.dataset)
         if suspects.duplicates_of:
-            total = Frame(investigate.duplicate_total(rows_kept, suspects.duplicates_of, suspects.digest))
-            samples[test["id"]] = investigate.investigate_duplicates(
-                rows_kept, suspects.duplicates_of, key or df.columns, n, suspects.digest)
+            kept = df if suspects.keep is None else df.filter(suspects.keep)
+            total = Frame(investigate.duplicate_total(kept, suspects.duplicates_of, suspects.digest))
         else:
-            mask = suspects.mask
-            total = Scan(lambda scope, mask=mask: {"value": scope.count_if(mask)})
-            bad = rows_kept.filter(mask)
-            samples[test["id"]] = bad.limit(n) if key is None else (
-                bad.orderBy(*[named(k) for k in ([key] if isinstance(key, str) else key)]).limit(n))
+            total = Scan(lambda scope, mask=suspects.mask: {"value": scope.count_if(mask)})
         probes.append(Probe(test["id"], suspects.dataset, df, total, suspects.keep,
                             test["id"] if suspects.keep is not None else None))
-        found.append((test, suspects))
     totals, _ = collect_values(probes)
-    report = []
+    n, keys = run.sample_rows, run.suite.get("keys") or {}
+    samples, report, shared, separate = {}, [], {}, []
     for test, suspects in found:
         total = int(totals.get(test["id"], {}).get("value") or 0)
         if total == 0:
-            samples.pop(test["id"])
             continue
+        df = run.registry[suspects.dataset]
+        key = test.get("sample_key") or keys.get(suspects.dataset)
+        order = [key] if isinstance(key, str) else list(key or ())
+        kept = df if suspects.keep is None else df.filter(suspects.keep)
+        if suspects.duplicates_of:
+            samples[test["id"]] = investigate.investigate_duplicates(
+                kept, suspects.duplicates_of, order or df.columns, n, suspects.digest)
+            separate.append(_as_json(test["id"], samples[test["id"]]))
+        else:
+            bad = kept.filter(suspects.mask)
+            samples[test["id"]] = bad.orderBy(*[named(k) for k in order]).limit(n) if order else bad.limit(n)
+            mask = suspects.mask if suspects.keep is None else suspects.keep & suspects.mask
+            shared.setdefault((suspects.dataset, tuple(order)), {})[test["id"]] = mask
         report.append((test["id"], test["type"], suspects.description, suspects.dataset, total,
                        min(total, n), None))
-    return samples, report
+    frames = separate + [
+        investigate.samples_of_masks(run.registry[dataset], masks, order, n)
+        for (dataset, order), masks in shared.items()]
+    return samples, reduce(DataFrame.unionByName, frames) if frames else None, report
+
+
+def _as_json(test_id: str, sample: DataFrame) -> DataFrame:
+    return sample.select(F.lit(test_id).alias("test_id"), F.to_json(F.struct("*")).alias("row"))
 
 
 def consolidate(results: Sequence[tuple[str, SuiteResult]]) -> SuiteResult:
@@ -739,6 +768,8 @@ def consolidate(results: Sequence[tuple[str, SuiteResult]]) -> SuiteResult:
         info=united([tagged(n, r.info, "id") for n, r in results]),
         investigations=united([tagged(n, r.investigations, "test_id") for n, r in results]),
         samples={f"{n}_{t}": df for n, r in results for t, df in r.samples.items()},
+        sampled=united(p) if (p := [
+            tagged(n, r.sampled, "test_id") for n, r in results if r.sampled is not None]) else None,
         tables={f"{n}_{a}": df for n, r in results for a, df in r.tables.items()},
         prechecks=united(p) if (p := [r.prechecks for _, r in results if r.prechecks is not None]) else None,
         scripts=sum(r.scripts for _, r in results), held=[df for _, r in results for df in r.held],

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Mapping
+from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from dqspark.functions.frames import local_frame
 from dqspark.functions.values import how_many
 from dqspark.operators.skew import salted_join
+from dqspark.plans.suite import suite_items
 
 
 def check_ids(suites: DataFrame) -> DataFrame:
@@ -63,3 +68,36 @@ def check_refs(tests: DataFrame, metrics: DataFrame, datasets: DataFrame) -> Dat
         references, bad, _REFERENCE, "left_semi", ["suite_id", "test_id"], counted,
     ).selectExpr("suite_id", "test_id", "problem",
                  "if(problem = 'unknown column', concat(within, '.', name), name) as reference")
+
+
+def spec_tables(
+    spark: SparkSession, suite: Mapping[str, Any], datasets: Mapping[str, DataFrame],
+) -> dict[str, DataFrame]:
+    """One suite as the tables the checks above read: ids, tests, metrics and datasets."""
+    name = suite.get("id") or "suite"
+    metrics, tests = suite_items(suite)
+    ids = [(name, "metric", m["id"]) for m in metrics] + [(name, "test", t["id"]) for t in tests]
+    references = []
+    for t in tests:
+        columns = t.get("columns") or t.get("column") or [None]
+        metric = t.get("metric_id") or t.get("metric") or t.get("associated_metric_id")
+        for c in [columns] if isinstance(columns, str) else columns:
+            references.append((name, t["id"], metric, t.get("dataset"), c))
+    known = [(alias, c) for alias in datasets for c in datasets[alias].columns]
+    return {
+        "ids": local_frame(spark, ids, "suite_id string, kind string, id string"),
+        "tests": local_frame(spark, references, "suite_id string, test_id string, metric_id string, "
+                             "dataset string, column string"),
+        "metrics": local_frame(spark, [(name, m["id"]) for m in metrics], "suite_id string, metric_id string"),
+        "datasets": local_frame(spark, known, "dataset string, column string"),
+    }
+
+
+def validate_suite(
+    spark: SparkSession, suite: Mapping[str, Any], datasets: Mapping[str, DataFrame],
+) -> DataFrame:
+    """What is wrong with a suite before it runs: rows (id, problem, reference)."""
+    tables = spec_tables(spark, suite, datasets)
+    return check_ids(tables["ids"]).select("id", "problem", F.lit(None).cast("string").alias("reference")).unionByName(
+        check_refs(tables["tests"], tables["metrics"], tables["datasets"])
+        .select(F.col("test_id").alias("id"), "problem", "reference"))

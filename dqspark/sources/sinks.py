@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 if TYPE_CHECKING:
     from dqspark.plans.suite import SuiteResult
@@ -14,9 +14,9 @@ SAMPLE_ROWS_WRITTEN = 1000  # rows of each sample the result sink keeps
 
 
 def write_sample(df: DataFrame, folder: str, test_id: str, suffix: str, stamp: str) -> str:
-    """One sample as CSV with a header; returns its path. ``df`` is already a top-n."""
+    """One sample as CSV with a header; returns its path."""
     path = posixpath.join(folder, f"{test_id}_{suffix}_{stamp}.csv")
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.write.mode("overwrite").csv(path, header=True)
     return path
 
 
@@ -24,30 +24,28 @@ def write_results(result: SuiteResult, path: str, fmt: str = "parquet") -> dict[
     """The tables of a run, one folder each, partitioned by run_id; returns their paths.
 
     A rerun of the same run replaces only its own partition. Samples keep at most 1000 rows each,
-    as JSON rows so that samples of different datasets fit one table; tests whose id contains
-    "script" are left out of them.
+    as JSON rows so that samples of different datasets fit one table, and those of one dataset are
+    drawn in one scan of it; tests whose id contains "script" are left out of them.
     """
+    samples = result.sampled
+    if samples is not None:
+        place = F.row_number().over(Window.partitionBy("test_id").orderBy("row"))
+        samples = (
+            samples.filter(~F.lower("test_id").contains("script")).withColumn("place", place)
+            .filter(F.col("place") <= SAMPLE_ROWS_WRITTEN).drop("place"))
     written = {}
     for name, df in {
         "summary": result.summary(), "metrics": result.metrics, "tests": result.tests,
-        "details": result.details, "samples": _samples(result),
+        "details": result.details, "investigations": result.investigations,
+        "prechecks": result.prechecks, "samples": samples,
     }.items():
-        if df is None:
-            continue
-        target = posixpath.join(path, name)
-        (df.withColumn("run_id", F.lit(result.run_id)).write.mode("overwrite")
-           .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").format(fmt).save(target))
-        written[name] = target
+        if df is not None:
+            written[name] = posixpath.join(path, name)
+            overwrite_part(df.withColumn("run_id", F.lit(result.run_id)), written[name], "run_id", fmt)
     return written
 
 
-def _samples(result: SuiteResult) -> DataFrame | None:
-    merged = None
-    for test_id, rows in result.samples.items():
-        if "script" in test_id.lower():
-            continue
-        part = rows.limit(SAMPLE_ROWS_WRITTEN).select(
-            F.lit(test_id).alias("test_id"), F.to_json(F.struct("*")).alias("row")
-        )
-        merged = part if merged is None else merged.unionByName(part)
-    return merged
+def overwrite_part(df: DataFrame, path: str, part: str, fmt: str = "parquet") -> None:
+    """Replace the partitions a frame holds and no others, in files of a sensible size."""
+    (df.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(part).format(fmt).save(path))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dqspark.plans.deliveries import verdict
 from dqspark.plans.suite import run_suite
 from dqspark.sources.readers import work_folder
+from dqspark.sources.sinks import overwrite_part
 
 
 def watch_deliveries(
@@ -51,9 +52,8 @@ def watch_deliveries(
             session, {**(references or {}), alias: rows}, suite, run_id=f"batch_{batch_id}", investigations=False)
         decided = verdict(result.tests.withColumn("submission_id", F.lit(f"batch_{batch_id}")))
         for name, table in {"metrics": result.metrics, "tests": result.tests, "verdicts": decided}.items():
-            (table.withColumn("batch_id", F.lit(batch_id).cast("bigint")).coalesce(1)
-                  .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                  .partitionBy("batch_id").parquet(posixpath.join(sink, name)))
+            overwrite_part(table.withColumn("batch_id", F.lit(batch_id).cast("bigint")),
+                           posixpath.join(sink, name), "batch_id")
         result.release()
 
     writer = (

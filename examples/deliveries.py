@@ -116,9 +116,9 @@ def stream_intake(spark, sf):
     """Orders landing as CSV files, checked batch by batch; the batches' counts add up to the table."""
     orders = table(spark, sf, "orders").drop("o_orderdate")
     landing, sink = work_folder(spark, "landing"), work_folder(spark, "intake-results")
-    orders.repartition(4).write.csv(landing, header=True)
+    orders.write.csv(landing, header=True)
     query = watch_deliveries(
-        spark, landing, INTAKE_SUITE, sink, schema=orders.schema, alias="orders", files_per_batch=2,
+        spark, landing, INTAKE_SUITE, sink, schema=orders.schema, alias="orders", files_per_batch=1000,
         available_now=True)
     query.awaitTermination()
     metrics = spark.read.parquet(f"{sink}/metrics").groupBy(F.col("metric_id").alias("id")).agg(

@@ -114,9 +114,9 @@ def suite_id_check(spark, sf):
     """A catalog of suites, one per customer: its metrics from orders, its tests from their statuses."""
     orders = table(spark, sf, "orders")
     metrics = orders.selectExpr("o_custkey as suite_id", "'metric' as kind", "o_orderpriority as id")
-    tests = orders.filter("o_orderkey % 3 = 0").selectExpr(
+    tests = orders.selectExpr(
         "o_custkey as suite_id", "'test' as kind",
-        "case when o_orderkey % 9 = 0 then o_orderpriority else o_orderstatus end as id")
+        "case when o_totalprice > 400000 then o_orderpriority else concat(o_orderstatus, month(o_orderdate)) end as id")
     return check_ids(metrics.unionByName(tests))
 
 
@@ -199,8 +199,9 @@ _FIGURES = f"""
 _IDS = """
     with s as (select o_custkey as suite_id, 'metric' as kind, o_orderpriority as id from orders
                union all select o_custkey, 'test',
-                      case when o_orderkey % 9 = 0 then o_orderpriority else o_orderstatus end
-               from orders where o_orderkey % 3 = 0),
+                      case when o_totalprice > 400000 then o_orderpriority
+                           else o_orderstatus || month(o_orderdate) end
+               from orders),
          n as (select suite_id, id, count(*) filter (kind = 'metric') as m, count(*) filter (kind = 'test') as t
                from s group by all)"""
 

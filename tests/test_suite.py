@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from dqspark.functions import local_frame
 from dqspark.operators.scan import collect_values
 from dqspark.plans import (
     check_ids, check_refs, investigation_report, metrics_report, run_summary, status_counts,
-    summarize, tests_report as report_of_tests,
+    summarize, validate_suite, tests_report as report_of_tests,
 )
 
 NORTH = {"conditions": [{"column": "region", "type": "S", "value": "North", "result": True}], "default": False}
@@ -152,6 +154,11 @@ def test_samples(spark, people):
     assert "t_cols" not in report  # negative ages are all in the North
     assert [r["customer_id"] for r in result.samples["t_mail"].collect()] == [0, 10, 20]
     assert [r["customer_id"] for r in result.samples["t_dup"].collect()] == [0, 1, 2]
+    together = {}
+    for r in result.sampled.collect():
+        together.setdefault(r["test_id"], []).append(json.loads(r["row"])["customer_id"])
+    assert {t: sorted(ids) for t, ids in together.items()} == {
+        t: [r["customer_id"] for r in df.collect()] for t, df in result.samples.items()}
     assert "total_problematic_rows" in investigation_report(result).columns
 
 
@@ -332,6 +339,28 @@ def test_check_ids_and_refs(spark):
         ("6", "unknown dataset", "e")}
 
 
+def test_suite_validation(spark, people):
+    suite = {"metrics": [{"id": "m", "type": "row_count"}, {"id": "x", "type": "row_count"}],
+             "tests": [{"id": "x", "type": "threshold", "metric": "m", "value": 1},
+                       {"id": "u", "type": "threshold", "metric": "gone", "value": 1},
+                       {"id": "c", "type": "interval_check", "dataset": "people", "columns": ["age", "zz"], "lower": 1},
+                       {"id": "d", "type": "interval_check", "database": "nobody", "column": "age", "lower": 1}]}
+    assert {tuple(r) for r in validate_suite(spark, suite, {"people": people}).collect()} == {
+        ("x", "metric and test", None), ("u", "unknown metric", "gone"), ("c", "unknown column", "people.zz"),
+        ("d", "unknown dataset", "nobody")}
+    with pytest.raises(ValueError, match="more than once"):
+        run_suite(spark, {"people": people}, suite)
+
+
+def test_globals_set_sample_size_and_severity(spark, people):
+    result = run_suite(spark, {"people": people}, {
+        "globals": {"sample_size": 4, "default_severity": "low"}, "keys": {"people": "customer_id"},
+        "metrics": [{"id": "m", "type": "missing_rate", "column": "email"}],
+        "tests": [{"id": "t", "type": "interval_check", "metric_id": "m", "upper": 0}]})
+    assert rows(result.investigations)[0]["sample_size"] == 4 == result.samples["t"].count()
+    assert rows(result.tests)[0]["severity"] == "low"
+
+
 def test_nothing_to_compute(spark, people):
     assert collect_values([]) == ({}, {})
     result = run_suite(spark, {"people": people}, {})
