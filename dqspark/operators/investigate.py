@@ -69,7 +69,8 @@ def samples_of_masks(
     that most rows fail sends no more of them than any other.
     """
     failing = F.array_compact(F.array(*[F.when(mask, F.lit(test_id)) for test_id, mask in masks.items()]))
-    tagged = df.select(F.struct("*").alias("row"), F.explode(failing).alias("test_id"))
+    bad = df.filter(fold(list(masks.values()), lambda a, b: a | b))
+    tagged = bad.select(F.struct("*").alias("row"), F.explode(failing).alias("test_id"))
     order = [F.col("row")[k] for k in key] or [F.xxhash64("row")]
     ranked = tagged.withColumn("place", F.row_number().over(Window.partitionBy("test_id").orderBy(*order)))
     return ranked.filter(F.col("place") <= n).select("test_id", F.to_json("row").alias("row"))

@@ -18,6 +18,7 @@ name the columns that order the samples of a dataset.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -134,8 +135,7 @@ def suite_items(suite: Mapping[str, Any]) -> tuple[list[dict[str, Any]], list[di
 
 
 def _refuse_shared_ids(metrics: list[str], tests: list[str]) -> None:
-    ids = metrics + tests
-    shared = sorted({i for i in ids if ids.count(i) > 1})
+    shared = sorted(i for i, n in Counter(metrics + tests).items() if n > 1)
     if shared:
         raise ValueError(f"ids used more than once in the suite: {shared}")
 

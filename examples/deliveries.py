@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dqspark.plans import (
     channel_stats, definition_stats, definition_values, filename_check, flatten_inventory,
-    missing_files, recent, verdict, zone_counts,
+    missing_files, process_delivery, recent, verdict, zone_counts,
 )
 from dqspark.sources import work_folder
 from dqspark.streaming import watch_deliveries
@@ -104,6 +104,30 @@ def definition_lists(spark, sf):
     return definition_values(_definitions(spark, sf), text="widget")
 
 
+def delivery_run(spark, sf):
+    """Two files of one channel, put through two suites and judged."""
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders").drop("o_orderdate")
+    folder = work_folder(spark, "delivery")
+    customers.write.csv(f"{folder}/customers", header=True)
+    orders.write.json(f"{folder}/orders")
+    channel = {
+        "channel_id": "crm",
+        "files": [
+            {"file_id": "customers", "name": "Customers", "format": "csv", "pattern": "^customers$",
+             "schema": customers.schema, "schema_validation": True, "expected_columns": ["c_custkey"]},
+            {"file_id": "orders", "name": "Orders", "format": "jsonl", "schema": orders.schema},
+            {"file_id": "notes", "name": "Notes", "required": False}],
+        "suites": [
+            {"id": "balances",
+             "metrics": [{"id": "in_debt", "type": "count_where", "dataset": "customers", "filter": "c_acctbal < 0"}],
+             "tests": [{"id": "nobody", "type": "threshold", "metric": "in_debt", "operator": "<=", "value": 0}]},
+            {"id": "keys", "tests": [{"id": "customers_known", "type": "foreign_key", "dataset": "orders",
+                                      "column": "o_custkey", "ref": "customers.c_custkey"}]}]}
+    done = process_delivery(spark, channel, "s1", {"customers": f"{folder}/customers", "orders": f"{folder}/orders"})
+    return done.result.tests.select(
+        F.lit(done.status).alias("delivery_status"), F.lit(done.accepted).alias("accepted"), "test_id", "value", "status")
+
+
 INTAKE_SUITE = {
     "metrics": [
         {"id": "rows", "type": "row_count"},
@@ -133,7 +157,7 @@ QUERIES = {
     "submission_verdict": submission_verdict, "channel_stats": channel_statistics,
     "recent_submissions": recent_submissions, "flatten_inventory": inventory_rows,
     "zone_counts": counts_per_zone, "definition_stats": definition_totals,
-    "definition_values": definition_lists, "stream_intake": stream_intake,
+    "definition_values": definition_lists, "delivery_run": delivery_run, "stream_intake": stream_intake,
 }
 
 _ZONES = """
@@ -211,6 +235,14 @@ ORACLES = {
     "definition_values": _DEFINITIONS + f", w as (select * from d where {_matching('widget')}) " + " union all ".join(
         f"select '{c}' as field, {c} as value, count(*) as definitions from w where {c} <> 'N/A' group by {c}"
         for c in ("stream", "project", "zone", "quarter")),
+    "delivery_run": """
+        with t as (
+            select 'balances_nobody' as test_id, count(*)::double as value from customer where c_acctbal < 0
+            union all select 'keys_customers_known', count(*)::double
+            from orders anti join customer on o_custkey = c_custkey)
+        select case when max(value) over () > 0 then 'REJECTED' else 'DQ_SUCCESS' end as delivery_status,
+               max(value) over () = 0 as accepted, test_id, value,
+               case when value > 0 then 'FAIL' else 'SUCCESS' end as status from t""",
     "stream_intake": """
         select 'rows' as id, count(*)::double as value from orders
         union all select 'dear', count(*) filter (o_totalprice > 400000)::double from orders

@@ -7,7 +7,7 @@ from dqspark.operators import (
 from dqspark.operators import skew
 from dqspark.plans import (
     channel_stats, definition_stats, definition_values, filename_check, flatten_inventory,
-    missing_files, recent, verdict, zone_counts,
+    missing_files, process_delivery, recent, verdict, zone_counts,
 )
 from dqspark.streaming import watch_deliveries
 
@@ -144,3 +144,41 @@ def test_stream_intake(spark, tmp_path):
     verdicts = spark.read.parquet(str(sink / "verdicts"))
     assert {r["submission_id"]: r["verdict"] for r in verdicts.collect()} == {
         "batch_0": "DQ_SUCCESS", "batch_1": "REJECTED"}
+
+
+def test_process_delivery(spark, tmp_path):
+    (tmp_path / "sales_1.csv").write_text("id,amount,shop\n1,5,a\n2,,b\n3,7,zz\n")
+    (tmp_path / "shops.csv").write_text("shop\na\nb\n")
+    (tmp_path / "other.csv").write_text("x\n1\n")
+    suite = {"id": "q", "keys": {"sales": "id"},
+             "metrics": [{"id": "m", "type": "missing_rate", "dataset": "sales", "column": "amount"}],
+             "tests": [{"id": "t", "type": "interval_check", "metric_id": "m", "upper": 0.5}]}
+    keys = {"id": "k", "tests": [
+        {"id": "fk", "type": "foreign_key", "dataset": "sales", "column": "shop", "ref": "shops.shop"}]}
+    broken = {"id": "b", "metrics": [{"id": "m", "type": "row_count", "dataset": "sales"}],
+              "tests": [{"id": "odd", "type": "odd", "metric_id": "m"}]}
+
+    def deliver(files, *suites, **options):
+        channel = {"channel_id": "c", "suites": list(suites), "files": [
+            {"file_id": "f1", "name": "Sales", "alias": "sales", "pattern": "^sales_", "schema_validation": True,
+             "expected_columns": ["id", "amount"]},
+            {"file_id": "f2", "name": "Shops", "alias": "shops", "required": False}]}
+        return process_delivery(
+            spark, channel, "s", {f: str(tmp_path / path) for f, path in files.items()}, **options)
+
+    both = {"f1": "sales_1.csv", "f2": "shops.csv"}
+    good = deliver(both, suite)
+    assert (good.status, good.accepted, good.errors) == ("DQ_SUCCESS", True, [])
+    bad = deliver(both, suite, keys)
+    assert (bad.status, bad.accepted) == ("REJECTED", False)
+    assert sorted(r["test_id"] for r in bad.result.tests.collect()) == ["k_fk", "q_t"]
+    assert deliver(both, suite, keys, accept_by_hand=True).accepted
+    assert deliver(both, suite, broken).status == "ERROR"
+    assert deliver(both).status == "DQ_SUCCESS"
+    lacking = deliver({"f2": "shops.csv"}, suite)
+    assert (lacking.status, lacking.errors) == ("ERROR", ["required file missing: Sales (f1)"])
+    misnamed = deliver({"f1": "other.csv"}, suite)
+    assert misnamed.errors == ["other.csv (f1): name does not match"]
+    (tmp_path / "sales_x.csv").write_text("x\n1\n")
+    assert deliver({"f1": "sales_x.csv"}, suite).errors == ["Sales: columns are missing: id, amount"]
+    assert deliver({"f1": "sales_none.csv"}, suite).status == "ERROR"
