@@ -12,7 +12,7 @@ from dqspark.functions.predicates import Scope
 from dqspark.functions.types import OUTPUT_TYPES, TYPE_CODES, matches_code, simple_type
 from dqspark.functions.values import field_of, named, number, number_text
 from dqspark.operators.metrics import EMAIL_PATTERN
-from dqspark.operators.scan import Probe, Scan, long_values
+from dqspark.operators.scan import Scan
 
 METRIC_TEST_SCHEMA = T.StructType([
     T.StructField("test_id", T.StringType()),
@@ -204,25 +204,23 @@ def count_rows(
 
 
 def _counts(df: DataFrame, test_id: str, rows, scan: Scan, where: str | None) -> DataFrame:
-    """COUNTS_SCHEMA rows computed lazily in one scan."""
-    spec = local_frame(df.sparkSession, [
-        (i, test_id, r["column"], r["lower"], r["upper"], r["state"], r["problem"], r["needs_values"])
-        for i, r in enumerate(rows)
-    ], "i int, test_id string, column string, lower double, upper double, state string, "
-       "problem string, needs_values boolean")
-    if not scan.build(Scope()):
-        answers = spec.select("i", F.lit(0).alias("checked"), F.lit(0).alias("violations"))
-    else:
-        keep = F.expr(where) if where else None
-        long = long_values([Probe(test_id, "", df, scan, keep, where)])
-        answers = long.groupBy(F.split("name", "_")[0].cast("int").alias("i")).agg(
-            F.sum(F.when(F.col("name").endswith("_checked"), F.col("value"))).alias("checked"),
-            F.sum(F.when(F.col("name").endswith("_violations"), F.col("value"))).alias("violations"),
-        )
-    return spec.join(answers, "i", "left").select(*[
-        F.coalesce(F.col(f.name), F.lit(0)).cast("bigint").alias(f.name)
-        if f.name in ("checked", "violations") else F.col(f.name) for f in COUNTS_SCHEMA.fields
-    ])
+    """COUNTS_SCHEMA rows computed lazily: one aggregate over the rows, unfolded into its columns."""
+    values = scan.build(Scope())
+    if not values:
+        return local_frame(df.sparkSession, count_rows(test_id, rows, {}), COUNTS_SCHEMA)
+    counted = (df.filter(F.expr(where)) if where else df).agg(*[c.alias(n) for n, c in values.items()])
+
+    def cell(field: T.StructField, i: int, row) -> Column:
+        if field.name in ("checked", "violations"):
+            name = f"{i}_{field.name}"
+            value = named(name) if name in values else F.lit(0)
+        else:
+            value = F.lit(test_id if field.name == "test_id" else row[field.name])
+        return value.cast(field.dataType).alias(field.name)
+
+    return counted.select(F.inline(F.array(*[
+        F.struct(*[cell(f, i, row) for f in COUNTS_SCHEMA.fields]) for i, row in enumerate(rows)
+    ])))
 
 
 def verdicts(counts: DataFrame) -> DataFrame:
