@@ -104,6 +104,7 @@ def value_filter_prechecks(
     """One row per rule and one for the default, and the reason the filter is blocked, if it is."""
     problems = check_value_filter(schema, spec)
     reason = " ; ".join(problems) if problems else None
+    # Fixed formats: a control id such as STR_ZON_T-001, and a control's name.
     prefix = f"{stream[:3].upper()}_{zone[:3].upper()}"
     entries = [(r["column"], r["code"], f"{r['column']}::D={r['code']}") for r in _rules(spec)]
     if "default" in spec:

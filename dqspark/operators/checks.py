@@ -41,6 +41,21 @@ COUNTS_SCHEMA = T.StructType([
 # Comparison operators a threshold may name.
 OPERATORS = ("=", "==", "!=", ">=", "<=", ">", "<")
 
+# The wording of verdicts, which reports and their readers rely on.
+OK = "OK"
+NO_BOUND = "Define at least one bound (min or max)."
+INCOMPARABLE = "Incomparable types: "
+NOT_FOUND = " not found or not computed."
+BELOW = " < min "
+ABOVE = " > max "
+OUT_OF_RANGE = " out of range "
+OUT_OF_BOUNDS = "out of bounds in"
+MISSING_COLUMNS = "Missing columns: "
+NO_NUMBERS = "Columns without numeric values: "
+UNBOUNDED = "No bounds configured for: "
+ALL_VALUES = "All values ("
+WITHIN_BOUNDS = ") respect the configured bounds."
+
 
 # --- tests on a metric's value
 
@@ -58,7 +73,7 @@ def _metric_test_row(spec: Mapping[str, Any]) -> tuple:
         try:
             bounds[name] = None if value is None else float(value)
         except (TypeError, ValueError):
-            error = f"Incomparable types: '{value}' is not a number"
+            error = f"{INCOMPARABLE}'{value}' is not a number"
     op = spec.get("op")
     if error is None and kind == "threshold":
         if op not in OPERATORS:
@@ -66,9 +81,9 @@ def _metric_test_row(spec: Mapping[str, Any]) -> tuple:
         elif bounds["target"] is None:
             error = "A threshold needs a value."
     if error is None and kind == "range" and None in (bounds["lower"], bounds["upper"]):
-        error = "Incomparable types: a range needs both bounds"
+        error = f"{INCOMPARABLE}a range needs both bounds"
     if error is None and kind == "interval_check" and bounds["lower"] is bounds["upper"] is None:
-        error = "Define at least one bound (min or max)."
+        error = NO_BOUND
     if error is None and not spec.get("metric_id"):
         error = "The test names no metric."
     return (spec["id"], kind, spec.get("metric_id"), bounds["lower"], bounds["upper"],
@@ -99,14 +114,14 @@ def metric_checks(tests: DataFrame, metrics: DataFrame) -> DataFrame:
         else 'FAIL' end"""
     message = f"""case
         when spec_error is not null then spec_error
-        when metric_status is null then concat("Metric '", metric_id, "' not found or not computed.")
+        when metric_status is null then concat("Metric '", metric_id, "'{NOT_FOUND}")
         when status = 'SKIPPED' then concat_ws(': ', concat("Metric '", metric_id, "' is ", metric_status), error)
         when found is null or isnan(found) then concat("Metric '", metric_id, "' has no numeric value.")
-        when status = 'SUCCESS' then 'OK'
+        when status = 'SUCCESS' then '{OK}'
         when type = 'interval_check' then concat_ws('; ',
-            if(found < lower, concat({value}, ' < min ', {lower}), null),
-            if(found > upper, concat({value}, ' > max ', {upper}), null))
-        when type = 'range' then concat('value ', {value}, ' out of range ', if(inclusive, '[', '('),
+            if(found < lower, concat({value}, '{BELOW}', {lower}), null),
+            if(found > upper, concat({value}, '{ABOVE}', {upper}), null))
+        when type = 'range' then concat('value ', {value}, '{OUT_OF_RANGE}', if(inclusive, '[', '('),
             {lower}, ', ', {upper}, if(inclusive, ']', ')'))
         else concat({value}, ' is not ', op, ' ', {target}) end"""
     return (
@@ -157,7 +172,7 @@ def bounds_scan(
         state = "missing" if c not in df.columns else (
             "unbounded" if low is None and high is None else "checked")
         rows.append({"column": c, "lower": low, "upper": high, "state": state,
-                     "problem": "out of bounds in", "needs_values": True})
+                     "problem": OUT_OF_BOUNDS, "needs_values": True})
 
     def build(scope: Scope):
         values = {}
@@ -245,11 +260,11 @@ def verdicts(counts: DataFrame) -> DataFrame:
         "first(needs_values) as numeric")])
     return grouped.selectExpr(
         "test_id", "cast(bad as double) as value", "bad = 0 and unusable = 0 as passed",
-        """concat_ws('; ', if(missing <> '', concat('Missing columns: ', missing), null),
+        f"""concat_ws('; ', if(missing <> '', concat('{MISSING_COLUMNS}', missing), null),
             if(size(broken) > 0, array_join(broken, '; '), null),
-            if(empty <> '', concat('Columns without numeric values: ', empty), null),
-            if(unbounded <> '', concat('No bounds configured for: ', unbounded), null)) as problems""",
-        "concat('All values (', seen, if(numeric, ') respect the configured bounds.', ') match.')) as fine",
+            if(empty <> '', concat('{NO_NUMBERS}', empty), null),
+            if(unbounded <> '', concat('{UNBOUNDED}', unbounded), null)) as problems""",
+        f"concat('{ALL_VALUES}', seen, if(numeric, '{WITHIN_BOUNDS}', ') match.')) as fine",
     ).selectExpr("test_id", "value", "passed", "if(passed, 'SUCCESS', 'FAIL') as status",
                  "if(problems = '', fine, problems) as message")
 

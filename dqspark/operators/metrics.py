@@ -46,6 +46,7 @@ class MetricType:
     label: str = ""
     group: str = ""
     output: Mapping[str, str] = field(default_factory=dict)
+    params: tuple[str, ...] = ()  # parameters that must be given
     own_filter: bool = False  # the type reads `filter` itself: it is what it counts
 
 
@@ -60,11 +61,15 @@ def _builtin(*names: str, label: str, group: str, own_filter: bool = False):
     return register
 
 
-def metric(name: str, label: str = "", group: str = "Custom", output: Mapping[str, str] | None = None):
+def metric(
+    name: str, label: str = "", group: str = "Custom", params: Sequence[str] = (),
+    output: Mapping[str, str] | None = None,
+):
     """Register a metric of the user's own: ``fn(df, params)``.
 
     It returns an aggregate Column, a dict of them with a ``value`` entry, or a DataFrame.
-    ``output`` declares the columns of that DataFrame as string, int, float, bool or date.
+    ``params`` names the parameters a definition must give, ``output`` declares the columns of that
+    DataFrame as string, int, float, bool or date.
     """
     def register(fn):
         def build(df, params, datasets):
@@ -73,13 +78,14 @@ def metric(name: str, label: str = "", group: str = "Custom", output: Mapping[st
                 return Table(made)
             values = {"value": made} if isinstance(made, Column) else dict(made)
             return Frame(df.agg(*[c.alias(n) for n, c in values.items()]))
-        METRIC_TYPES[name] = MetricType(name, build, label or name, group, dict(output or {}))
+        METRIC_TYPES[name] = MetricType(name, build, label or name, group, dict(output or {}), tuple(params))
         return fn
     return register
 
 
 def default_id(type_name: str, dataset: str | None, params: Mapping[str, Any]) -> str:
     """stream.project.zone.metric.type.dataset, then the column and the filter if there are any."""
+    # Fixed format.
     parts = [params.get(k) or "?" for k in ("stream", "project", "zone")]
     parts += ["metric", type_name, dataset or "?"]
     column = params.get("column") or params.get("columns")
@@ -98,6 +104,9 @@ def build_probe(
     if m.type not in METRIC_TYPES:
         raise ValueError(f"unknown metric type: {m.type}")
     kind = METRIC_TYPES[m.type]
+    lacking = [name for name in kind.params if m.params.get(name) is None]
+    if lacking:
+        raise ValueError(f"metric type '{m.type}' needs the parameters {lacking}")
     where = pick_where(m.params, ("where",) if kind.own_filter else
                        ("where", "filter", "condition", "filter_condition"))
     keep, keep_id = None, None

@@ -12,6 +12,14 @@ from dqspark.functions.values import how_many, quarter_label
 from dqspark.plans.suite import INVESTIGATIONS_SCHEMA, SuiteResult
 from dqspark.sources.sinks import write_sample
 
+# The columns of the two report tables.
+METRICS_REPORT = (
+    "ID", "Type", "Name", "Description", "Comments", "Export", "Owner", "Dataset", "Column", "Filter",
+    "Execution_Status", "Value", "Error", "Timestamp")
+TESTS_REPORT = (
+    "quarter", "project", "run_version", "control_id", "dataset", "category", "blocking",
+    "execution_status", "result", "description", "comments", "error", "user", "timestamp")
+
 # How an execution status reads in the tests report.
 RESULT_WORDS = {"SUCCESS": "PASS", "FAIL": "FAIL", "ERROR": "ERROR", "SKIPPED": "SKIPPED"}
 
@@ -60,15 +68,12 @@ def run_summary(
 def metrics_report(result: SuiteResult, timestamp: str | None = None) -> DataFrame:
     """One row per metric in the 14 columns of the metrics sheet."""
     info = result.info.filter("kind = 'metric'")
+    cells = (
+        F.col("metric_id"), F.col("type"), _text("name"), _text("description"), _text("comments"),
+        F.coalesce("export", F.lit(True)), _text("owner"), _text("dataset"), _text("column"),
+        _text("filter"), F.col("status"), F.col("value"), _text("error"), _moment(timestamp))
     return result.metrics.join(info, F.col("metric_id") == F.col("id"), "left").select(
-        F.col("metric_id").alias("ID"), F.col("type").alias("Type"),
-        _text("name").alias("Name"), _text("description").alias("Description"),
-        _text("comments").alias("Comments"), F.coalesce("export", F.lit(True)).alias("Export"),
-        _text("owner").alias("Owner"), _text("dataset").alias("Dataset"),
-        _text("column").alias("Column"), _text("filter").alias("Filter"),
-        F.col("status").alias("Execution_Status"), F.col("value").alias("Value"),
-        _text("error").alias("Error"), _moment(timestamp).alias("Timestamp"),
-    )
+        *[cell.alias(name) for name, cell in zip(METRICS_REPORT, cells)])
 
 
 def tests_report(result: SuiteResult, run_info: Mapping[str, Any] | None = None) -> DataFrame:
@@ -81,21 +86,17 @@ def tests_report(result: SuiteResult, run_info: Mapping[str, Any] | None = None)
     info = result.info.filter("kind = 'test'").select(
         "id", "description", "comments", "category", "control_id")
     words = F.create_map(*[F.lit(x) for pair in RESULT_WORDS.items() for x in pair])
+    cells = (
+        F.lit(given["quarter"]) if given.get("quarter") else quarter_label(moment),
+        F.lit(given.get("project", "")),
+        F.lit(given["run_version"]) if given.get("run_version") else F.date_format(moment, "yyyyMMdd_HHmmss"),
+        F.coalesce("control_id", "test_id"), _text("dataset"), F.coalesce("category", F.lit("Business")),
+        F.when(F.col("blocking"), "Yes").otherwise("No"), F.col("status"),
+        F.coalesce(words[F.col("status")], F.lit("NOT_RUN")), _text("description"), _text("comments"),
+        F.when(F.col("status") == "SUCCESS", "").otherwise(_text("message")),
+        F.lit(given.get("user", "")), F.date_format(moment, "yyyy-MM-dd HH:mm:ss"))
     return result.tests.join(info, F.col("test_id") == F.col("id"), "left").select(
-        (F.lit(given["quarter"]) if given.get("quarter") else quarter_label(moment)).alias("quarter"),
-        F.lit(given.get("project", "")).alias("project"),
-        (F.lit(given["run_version"]) if given.get("run_version")
-         else F.date_format(moment, "yyyyMMdd_HHmmss")).alias("run_version"),
-        F.coalesce("control_id", "test_id").alias("control_id"), _text("dataset").alias("dataset"),
-        F.coalesce("category", F.lit("Business")).alias("category"),
-        F.when(F.col("blocking"), "Yes").otherwise("No").alias("blocking"),
-        F.col("status").alias("execution_status"),
-        F.coalesce(words[F.col("status")], F.lit("NOT_RUN")).alias("result"),
-        _text("description").alias("description"), _text("comments").alias("comments"),
-        F.when(F.col("status") == "SUCCESS", "").otherwise(_text("message")).alias("error"),
-        F.lit(given.get("user", "")).alias("user"),
-        F.date_format(moment, "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-    )
+        *[cell.alias(name) for name, cell in zip(TESTS_REPORT, cells)])
 
 
 def _text(name: str) -> Column:

@@ -147,12 +147,13 @@ def _test_of(item: dict[str, Any], severity: str = "medium") -> dict[str, Any]:
     bounds = item.get("bounds") or {}
     test["metric_id"] = _first_of(item, "metric_id", "metric", "associated_metric_id") or (
         general.get("associated_metric_id"))
-    test["lower"] = _first_of({**bounds, **item}, "lower", "lower_value", "low", "min")
-    test["upper"] = _first_of({**bounds, **item}, "upper", "upper_value", "high", "max")
-    if item.get("lower_enabled") is False:
-        test["lower"] = None
-    if item.get("upper_enabled") is False:
-        test["upper"] = None
+    for side, names in (("lower", ("lower", "low", "min")), ("upper", ("upper", "high", "max"))):
+        test[side] = _first_of({**bounds, **item}, *names)
+        # A bound written as lower_value or upper_value counts only when it is switched on.
+        if test[side] is None and item.get(f"{side}_enabled"):
+            test[side] = _number(item.get(f"{side}_value"))
+        if item.get(f"{side}_enabled") is False:
+            test[side] = None
     threshold = item.get("threshold")
     if isinstance(threshold, Mapping):
         test["op"], test["target"] = threshold.get("op"), _number(threshold.get("value"))
@@ -447,7 +448,7 @@ def _column_scan(df: DataFrame, test):
     if not bounds:
         raise ValueError("select at least one column or define column_rules to evaluate")
     if all(b == (None, None) for b in bounds.values()):
-        raise ValueError("define at least one bound (min or max)")
+        raise ValueError(checks.NO_BOUND)
     test["columns"] = list(bounds)
     test["resolved"] = bounds
     return checks.bounds_scan(df, bounds, bool(test.get("inclusive", True)))
@@ -533,7 +534,7 @@ def _output_schema_verdict(run: _Run, test) -> None:
     source = test["metric_id"]
     status, error = run.metric_status.get(source, (None, None))
     if status is None:
-        return run.verdict(test, False, "FAIL", f"Metric '{source}' not found or not computed.")
+        return run.verdict(test, False, "FAIL", f"Metric '{source}'{checks.NOT_FOUND}")
     if status != "SUCCESS":
         return run.verdict(test, None, "SKIPPED", f"Metric '{source}' is {status}: {error}")
     metric = run.metrics[source]

@@ -181,7 +181,7 @@ def metric_batch(spark, sf):
         "metric_id", F.round("value", 4).alias("value"))
 
 
-@metric("revenue", label="Revenue", group="Sales")
+@metric("revenue", label="Revenue", group="Sales", params=("price", "discount"))
 def _revenue(df, params):
     return F.sum(F.col(params["price"]) * (1 - F.col(params["discount"])))
 

@@ -134,3 +134,25 @@ def test_plan_reads_only_the_checked_columns(spark, tmp_path, amounts):
     df = spark.read.parquet(str(tmp_path / "a"))
     plan = interval_check_columns(df, ["quantity"], 0, 1)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<quantity:int>" in plan
+
+
+def test_random_bounds_against_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(11)
+    texts = np.array(["5", " 7.5 ", "-1e2", "abc", "", "1_000", "inf", "NaN", None], dtype=object)
+    for n in (1, 60, 500):
+        pdf = pd.DataFrame({"t": rng.choice(texts, n), "d": rng.choice([1.0, -3.5, np.nan, 250.0], n),
+                            "i": rng.integers(-5, 5, n)})
+        df = spark.createDataFrame([(r.t, float(r.d), int(r.i)) for r in pdf.itertuples()], "t string, d double, i bigint")
+        for low, high in ((0, 10), (None, 3), (-100, None)):
+            found = {r["column"]: r for r in interval_check_columns(
+                df, ["t", "d", "i"], low, high, per_column=True).collect()}
+            for c in ("t", "d", "i"):
+                values = pd.to_numeric(pdf[c], errors="coerce").dropna()
+                bad = pd.Series(False, index=values.index)
+                if low is not None:
+                    bad |= values < low
+                if high is not None:
+                    bad |= values > high
+                assert (found[c]["checked"], found[c]["violations"]) == (len(values), bad.sum())

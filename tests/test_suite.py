@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dqspark import DatasetRegistry, check, consolidate, metric, run_suite
 from dqspark.functions import local_frame
+from dqspark.operators import METRIC_TYPES
 from dqspark.operators.scan import collect_values
 from dqspark.plans import (
     check_ids, check_refs, investigation_report, metrics_report, run_summary, status_counts,
@@ -51,9 +52,11 @@ def test_definition_shape_with_specific_and_bounds_switches(spark, people):
                 "lower_value": 0, "upper_enabled": True, "upper_value": 0.05}},
             "off": {"type": "interval_check", "specific": {
                 "metric_id": "email_missing", "lower_enabled": False, "lower_value": 1,
-                "upper_enabled": True, "upper_value": 0.5}}}}
+                "upper_enabled": True, "upper_value": 0.5}},
+            "not_on": {"type": "interval_check", "specific": {
+                "metric_id": "email_missing", "lower_value": 1, "upper_enabled": True, "upper_value": 0.5}}}}
     result = run_suite(spark, {"people": people}, suite)
-    assert statuses(result) == {"on": "FAIL", "off": "SUCCESS"}
+    assert statuses(result) == {"on": "FAIL", "off": "SUCCESS", "not_on": "SUCCESS"}
     assert rows(result.investigations)[0]["total_problematic_rows"] == 12
 
 
@@ -296,6 +299,20 @@ def _spread(df, params):
     return df.groupBy("region").agg((F.max(params["column"]) - F.min(params["column"])).cast("bigint").alias("spread"))
 
 
+@metric("suite_test_param", label="With a parameter", params=("column",))
+def _param(df, params):
+    return F.max(params["column"])
+
+
+def test_metric_types_declare_themselves(spark, people):
+    for name, kind in METRIC_TYPES.items():
+        assert kind.name == name and kind.label and kind.group and callable(kind.build)
+    result = run_suite(spark, {"people": people}, {"metrics": [
+        {"id": "given", "type": "suite_test_param", "column": "age"}, {"id": "lacking", "type": "suite_test_param"}]})
+    got = {r["metric_id"]: r["error"] for r in result.metrics.collect()}
+    assert got["given"] is None and "needs the parameters ['column']" in got["lacking"]
+
+
 @metric("suite_test_ratio")
 def _ratio(df, params):
     return {"value": F.sum("age") / F.count("age"), "oldest": F.max("age")}
