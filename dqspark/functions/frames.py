@@ -1,11 +1,11 @@
-"""Small frames whose rows the driver already holds: specifications and collected results."""
+"""Small frames: rows the driver already holds, and the first rows of large ones."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
 
 _ARROW = {
     T.StringType: pa.string(), T.DoubleType: pa.float64(), T.LongType: pa.int64(),
@@ -23,3 +23,21 @@ def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructT
         for f, values in zip(schema.fields, columns)
     })
     return spark.createDataFrame(table, schema)
+
+
+LAST_TASK_ROWS = 20_000_000  # rows that may reach the one task that ends a top-n
+
+
+def few_tasks(df: DataFrame, n: int) -> DataFrame:
+    """The same rows read by fewer tasks, where there are so many that ``n`` rows of each are a lot.
+
+    Neighbouring splits are read one after another, without a shuffle. A scan of a hundred terabytes
+    has most of a million splits; the ``n`` rows each would send on are bounded here instead.
+    """
+    return df.coalesce(max(200, min(8192, LAST_TASK_ROWS // max(n, 1))))
+
+
+def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order, or any ``n`` without one."""
+    df = few_tasks(df, n)
+    return (df.orderBy(*order) if order else df).limit(n)

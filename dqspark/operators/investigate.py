@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dqspark.functions.frames import few_tasks, first_rows
 from dqspark.functions.predicates import resolve_columns
 from dqspark.functions.values import key_digest, missing, named, number
 from dqspark.operators.checks import outside
@@ -21,7 +22,7 @@ Bounds = Mapping[str, tuple[float | None, float | None]]
 
 
 def _first(df: DataFrame, key: str | Sequence[str], n: int) -> DataFrame:
-    return df.orderBy(*[named(k) for k in _keys(key)]).limit(n)
+    return first_rows(df, [named(k) for k in _keys(key)], n)
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -69,7 +70,7 @@ def samples_of_masks(
     that most rows fail sends no more of them than any other.
     """
     failing = F.array_compact(F.array(*[F.when(mask, F.lit(test_id)) for test_id, mask in masks.items()]))
-    bad = df.filter(fold(list(masks.values()), lambda a, b: a | b))
+    bad = few_tasks(df.filter(fold(list(masks.values()), lambda a, b: a | b)), n)
     tagged = bad.select(F.struct("*").alias("row"), F.explode(failing).alias("test_id"))
     order = [F.col("row")[k] for k in key] or [F.xxhash64("row")]
     ranked = tagged.withColumn("place", F.row_number().over(Window.partitionBy("test_id").orderBy(*order)))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dqspark.functions.frames import first_rows
 from dqspark.functions.values import how_many
 from dqspark.operators.skew import salted_join
 
@@ -82,7 +83,7 @@ def channel_stats(submissions: DataFrame) -> DataFrame:
 def recent(submissions: DataFrame, channel: str | None = None, n: int = 100) -> DataFrame:
     """The latest submissions, of one channel or of all; ties go to the smaller id."""
     rows = submissions if channel is None else submissions.filter(F.col("channel_id") == F.lit(channel))
-    return rows.orderBy(F.col("submitted_at").desc(), "submission_id").limit(n)
+    return first_rows(rows, [F.col("submitted_at").desc(), F.col("submission_id")], n)
 
 
 # --- inventory

@@ -27,7 +27,7 @@ from typing import Any
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from dqspark.functions.frames import local_frame
+from dqspark.functions.frames import first_rows, local_frame
 from dqspark.functions.predicates import pick_where, predicate_columns, resolve_columns
 from dqspark.functions.value_filters import keep_column, value_filter_prechecks
 from dqspark.functions.values import named, number
@@ -735,7 +735,7 @@ def _investigate(run: _Run, tests, planned, rows):
             separate.append(_as_json(test["id"], samples[test["id"]]))
         else:
             bad = kept.filter(suspects.mask)
-            samples[test["id"]] = bad.orderBy(*[named(k) for k in order]).limit(n) if order else bad.limit(n)
+            samples[test["id"]] = first_rows(bad, [named(k) for k in order], n)
             mask = suspects.mask if suspects.keep is None else suspects.keep & suspects.mask
             shared.setdefault((suspects.dataset, tuple(order)), {})[test["id"]] = mask
         report.append((test["id"], test["type"], suspects.description, suspects.dataset, total,

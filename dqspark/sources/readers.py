@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from dqspark.functions.frames import local_frame
+from dqspark.functions.frames import first_rows, local_frame
 from dqspark.functions.predicates import resolve_columns
 from dqspark.functions.values import how_many, named
 
@@ -134,12 +134,12 @@ def sample(
         order = [F.xxhash64(*order, F.lit(seed)), *order]
     elif mode != "head":
         raise ValueError(f"unknown sampling mode '{mode}': use full, head or random")
-    return df.orderBy(*order).limit(limit).select(*[named(c) for c in kept])
+    return first_rows(df, order, limit).select(*[named(c) for c in kept])
 
 
 def preview(df: DataFrame, n: int = 10, key: str | Sequence[str] | None = None) -> DataFrame:
     """The first rows, by key when one is given."""
-    return df.limit(n) if key is None else sample(df, "head", n, key=key)
+    return first_rows(df, [], n) if key is None else sample(df, "head", n, key=key)
 
 
 def schema_table(df: DataFrame) -> DataFrame:
