@@ -64,7 +64,7 @@ def investigate_bounds(
 def samples_of_masks(
     df: DataFrame, masks: Mapping[str, Column], key: Sequence[str], n: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """The samples of several tests of one dataset in one scan, as (test_id, row as JSON).
+    """The samples of several tests of one dataset in one scan, as (test_id, row).
 
     ``row_number() <= n`` is cut short in each task before the shuffle, as a top-n is, so a test
     that most rows fail sends no more of them than any other.
@@ -74,7 +74,7 @@ def samples_of_masks(
     tagged = bad.select(F.struct("*").alias("row"), F.explode(failing).alias("test_id"))
     order = [F.col("row")[k] for k in key] or [F.xxhash64("row")]
     ranked = tagged.withColumn("place", F.row_number().over(Window.partitionBy("test_id").orderBy(*order)))
-    return ranked.filter(F.col("place") <= n).select("test_id", F.to_json("row").alias("row"))
+    return ranked.filter(F.col("place") <= n).select("test_id", "row")
 
 
 def investigate_duplicates(

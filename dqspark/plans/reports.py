@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.frames import local_frame
 from dqspark.functions.values import how_many, quarter_label
-from dqspark.plans.suite import INVESTIGATIONS_SCHEMA, SuiteResult
+from dqspark.plans.suite import SuiteResult
 from dqspark.sources.sinks import write_sample
 
 # The columns of the two report tables.
@@ -111,10 +111,12 @@ def investigation_report(result: SuiteResult, folder: str | None = None, stamp:
     """Test, description, total of bad rows, sample size and, once written, the sample's file."""
     if folder is None:
         return result.investigations
-    files = [
-        (test_id, write_sample(rows, folder, test_id, "sample", stamp))
-        for test_id, rows in result.samples.items()
-    ]
+    files = []
+    for ids, frame in result.sampled:
+        kept = frame.persist()  # one scan of the dataset, however many of its tests failed
+        for test_id in ids:
+            rows = kept.filter(F.col("test_id") == test_id).select("row.*")
+            files.append((test_id, write_sample(rows, folder, test_id, "sample", stamp)))
+        kept.unpersist()
     written = local_frame(result.spark, files, "test_id string, sample_file string")
-    names = result.spark.createDataFrame([], INVESTIGATIONS_SCHEMA).columns
-    return result.investigations.drop("sample_file").join(written, "test_id", "left").select(*names)
+    return result.investigations.drop("sample_file").join(written, "test_id", "left")

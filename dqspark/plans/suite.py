@@ -71,7 +71,7 @@ class SuiteResult:
     info: DataFrame
     investigations: DataFrame
     samples: dict[str, DataFrame] = field(default_factory=dict)
-    sampled: DataFrame | None = None
+    sampled: list[tuple[list[str], DataFrame]] = field(default_factory=list)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     prechecks: DataFrame | None = None
     scripts: int = 0
@@ -365,7 +365,7 @@ def run_suite(
     rows = _in_suite_order([tuple(r) for r in decided], [t["id"] for t in tests])
     tests_df = local_frame(spark, rows, TESTS_SCHEMA)
 
-    samples, sampled, report = {}, None, []
+    samples, sampled, report = {}, [], []
     if investigations:
         samples, sampled, report = _investigate(run, tests, planned, rows)
     info = _info_rows(metric_items, tests) + [
@@ -700,7 +700,7 @@ def _metric_suspects(run: _Run, metric: Metric) -> _Suspects | None:
 
 
 def _investigate(run: _Run, tests, planned, rows):
-    """Per failed test a lazy sample, all samples as one frame, and the rows of the report."""
+    """Per failed test a lazy sample, the samples of each dataset as one frame, and the report's rows."""
     failed = {r[1] for r in rows if r[8] == "FAIL"}
     found = []
     for test in tests:
@@ -720,7 +720,7 @@ def _investigate(run: _Run, tests, planned, rows):
                             test["id"] if suspects.keep is not None else None))
     totals, _ = collect_values(probes)
     n, keys = run.sample_rows, run.suite.get("keys") or {}
-    samples, report, shared, separate = {}, [], {}, []
+    samples, report, shared, sampled = {}, [], {}, []
     for test, suspects in found:
         total = int(totals.get(test["id"], {}).get("value") or 0)
         if total == 0:
@@ -732,7 +732,8 @@ def _investigate(run: _Run, tests, planned, rows):
         if suspects.duplicates_of:
             samples[test["id"]] = investigate.investigate_duplicates(
                 kept, suspects.duplicates_of, order or df.columns, n, suspects.digest)
-            separate.append(_as_json(test["id"], samples[test["id"]]))
+            sampled.append(([test["id"]], samples[test["id"]].select(
+                F.lit(test["id"]).alias("test_id"), F.struct("*").alias("row"))))
         else:
             bad = kept.filter(suspects.mask)
             samples[test["id"]] = first_rows(bad, [named(k) for k in order], n)
@@ -740,14 +741,10 @@ def _investigate(run: _Run, tests, planned, rows):
             shared.setdefault((suspects.dataset, tuple(order)), {})[test["id"]] = mask
         report.append((test["id"], test["type"], suspects.description, suspects.dataset, total,
                        min(total, n), None))
-    frames = separate + [
-        investigate.samples_of_masks(run.registry[dataset], masks, order, n)
-        for (dataset, order), masks in shared.items()]
-    return samples, reduce(DataFrame.unionByName, frames) if frames else None, report
-
-
-def _as_json(test_id: str, sample: DataFrame) -> DataFrame:
-    return sample.select(F.lit(test_id).alias("test_id"), F.to_json(F.struct("*")).alias("row"))
+    for (dataset, order), masks in shared.items():
+        frame = investigate.samples_of_masks(run.registry[dataset], masks, order, n)
+        sampled.append((list(masks), frame))
+    return samples, sampled, report
 
 
 def consolidate(results: Sequence[tuple[str, SuiteResult]]) -> SuiteResult:
@@ -769,8 +766,8 @@ def consolidate(results: Sequence[tuple[str, SuiteResult]]) -> SuiteResult:
         info=united([tagged(n, r.info, "id") for n, r in results]),
         investigations=united([tagged(n, r.investigations, "test_id") for n, r in results]),
         samples={f"{n}_{t}": df for n, r in results for t, df in r.samples.items()},
-        sampled=united(p) if (p := [
-            tagged(n, r.sampled, "test_id") for n, r in results if r.sampled is not None]) else None,
+        sampled=[([f"{n}_{t}" for t in ids], tagged(n, frame, "test_id"))
+                 for n, r in results for ids, frame in r.sampled],
         tables={f"{n}_{a}": df for n, r in results for a, df in r.tables.items()},
         prechecks=united(p) if (p := [r.prechecks for _, r in results if r.prechecks is not None]) else None,
         scripts=sum(r.scripts for _, r in results), held=[df for _, r in results for df in r.held],

@@ -27,12 +27,13 @@ def write_results(result: SuiteResult, path: str, fmt: str = "parquet") -> dict[
     as JSON rows so that samples of different datasets fit one table, and those of one dataset are
     drawn in one scan of it; tests whose id contains "script" are left out of them.
     """
-    samples = result.sampled
+    place = F.row_number().over(Window.partitionBy("test_id").orderBy("row"))
+    samples = None
+    for _, frame in result.sampled:
+        rows = frame.filter(~F.lower("test_id").contains("script")).select("test_id", F.to_json("row").alias("row"))
+        samples = rows if samples is None else samples.unionByName(rows)
     if samples is not None:
-        place = F.row_number().over(Window.partitionBy("test_id").orderBy("row"))
-        samples = (
-            samples.filter(~F.lower("test_id").contains("script")).withColumn("place", place)
-            .filter(F.col("place") <= SAMPLE_ROWS_WRITTEN).drop("place"))
+        samples = samples.withColumn("place", place).filter(F.col("place") <= SAMPLE_ROWS_WRITTEN).drop("place")
     written = {}
     for name, df in {
         "summary": result.summary(), "metrics": result.metrics, "tests": result.tests,

@@ -1,5 +1,3 @@
-import json
-
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -158,9 +156,11 @@ def test_samples(spark, people):
     assert [r["customer_id"] for r in result.samples["t_mail"].collect()] == [0, 10, 20]
     assert [r["customer_id"] for r in result.samples["t_dup"].collect()] == [0, 1, 2]
     together = {}
-    for r in result.sampled.collect():
-        together.setdefault(r["test_id"], []).append(json.loads(r["row"])["customer_id"])
-    assert {t: sorted(ids) for t, ids in together.items()} == {
+    for ids, frame in result.sampled:
+        assert {r["test_id"] for r in frame.collect()} == set(ids)
+        for r in frame.collect():
+            together.setdefault(r["test_id"], []).append(r["row"]["customer_id"])
+    assert {t: sorted(found) for t, found in together.items()} == {
         t: [r["customer_id"] for r in df.collect()] for t, df in result.samples.items()}
     assert "total_problematic_rows" in investigation_report(result).columns
 
