@@ -14,7 +14,7 @@ from dqspark.functions.frames import few_tasks, first_rows
 from dqspark.functions.predicates import resolve_columns
 from dqspark.functions.values import key_digest, missing, named, number
 from dqspark.operators.checks import outside
-from dqspark.operators.scan import fold
+from dqspark.operators.scan import fold, frequencies
 
 SAMPLE_ROWS = 100  # rows of a sample when none are asked for
 
@@ -110,6 +110,5 @@ def investigate_duplicates(
 
 def duplicate_total(df: DataFrame, columns: str | Sequence[str], digest: bool = False) -> DataFrame:
     """How many rows have a repeated key, as one row."""
-    from dqspark.operators.scan import frequencies
     counted = frequencies(df, _keys(columns), digest)
     return counted.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("value"))

@@ -6,13 +6,13 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.predicates import Scope, pick_where, resolve_columns
 from dqspark.functions.types import is_numeric, simple_type
 from dqspark.functions.value_filters import keep_column
 from dqspark.functions.values import absent, field_of, how_many, missing, named, number, share
-from dqspark.operators.scan import Frame, Keys, Probe, Scan, Table, fold, long_values
+from dqspark.operators.scan import Frame, Keys, Probe, Scan, Table, fold, frequencies, long_values
 
 # Fixed value: what a regular-expression check looks for when no pattern is given.
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -146,7 +146,6 @@ def metric_details(df: DataFrame, m: Metric, datasets: Datasets | None = None) -
     if isinstance(made.ask, Frame):
         return made.ask.frame
     if isinstance(made.ask, Keys):
-        from dqspark.operators.scan import frequencies
         rows = df if made.keep is None else df.filter(made.keep)
         counted = frequencies(rows, made.ask.columns, made.ask.digest)
         return counted.agg(*[c.alias(n) for n, c in made.ask.build(counted).items()])

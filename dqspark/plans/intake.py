@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dqspark.operators.scan import first_line
 from dqspark.plans.deliveries import verdict
-from dqspark.plans.suite import SuiteResult, consolidate, run_suite
+from dqspark.plans.result import SuiteResult, consolidate
+from dqspark.plans.suite import run_suite
 from dqspark.sources.readers import load
 from dqspark.sources.registry import DatasetRegistry
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.frames import local_frame
 from dqspark.functions.values import how_many, quarter_label
-from dqspark.plans.suite import SuiteResult
+from dqspark.plans.result import SuiteResult
 from dqspark.sources.sinks import write_sample
 
 # The columns of the two report tables.

@@ -1,207 +1,35 @@
-"""Running a suite: metrics, then tests, then samples of the offending rows.
-
-A suite is a plain dict::
-
-    {"id": "sales_quality",
-     "context": {"stream": "A", "project": "P1", "zone": "raw"},
-     "metrics": [{"id": "m", "type": "missing_rate", "dataset": "sales", "column": "amount"}],
-     "tests": [{"id": "t", "type": "interval_check", "metric_id": "m", "upper": 0.1}],
-     "scripts": [{"id": "s", "check": "name", "params": {}, "execute_on": "post_dq"}],
-     "filters": {"north": {"conditions": [...], "default": False}},
-     "keys": {"sales": "sale_id"}}
-
-``metrics`` and ``tests`` may also be mappings from id to body, and parameters may sit under
-``specific``. ``filters`` are named value filters a metric's ``filter`` may refer to, and ``keys``
-name the columns that order the samples of a dataset.
-"""
+"""Running a suite: metrics, then tests, then samples of the offending rows."""
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Mapping
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dqspark.functions.frames import first_rows, local_frame
-from dqspark.functions.predicates import pick_where, predicate_columns, resolve_columns
-from dqspark.functions.value_filters import keep_column, value_filter_prechecks
-from dqspark.functions.values import named, number
+from dqspark.functions.frames import local_frame
+from dqspark.functions.predicates import pick_where, predicate_columns
+from dqspark.functions.value_filters import value_filter_prechecks
 from dqspark.operators import checks, custom, investigate
-from dqspark.operators.metrics import (
-    EMAIL_PATTERN, METRIC_TYPES, Metric, build_probe, declared_output, default_id, orphan_count,
-)
+from dqspark.operators.metrics import Metric, build_probe, declared_output, orphan_count
 from dqspark.operators.scan import Frame, Probe, Scan, Table, collect_values, first_line
-from dqspark.sources.registry import VIRTUAL, DatasetRegistry
-
-METRICS_SCHEMA = (
-    "suite_id string, metric_id string, type string, dataset string, column string, "
-    "value double, status string, error string"
-)
-TESTS_SCHEMA = (
-    "suite_id string, test_id string, type string, metric_id string, dataset string, column string, "
-    "value double, passed boolean, status string, message string, severity string, blocking boolean"
+from dqspark.plans.definition import (
+    info_rows, metric_of, reference, refuse_shared_ids, split_rules, suite_items, test_of,
 )
-DETAILS_SCHEMA = "metric_id string, name string, value double"
-INFO_SCHEMA = (
-    "kind string, id string, name string, description string, comments string, export boolean, "
-    "owner string, filter string, category string, control_id string"
-)
-INVESTIGATIONS_SCHEMA = (
-    "test_id string, test_type string, description string, dataset string, "
-    "total_problematic_rows bigint, sample_size bigint, sample_file string"
+from dqspark.plans.result import (
+    DETAILS_SCHEMA, INFO_SCHEMA, INVESTIGATIONS_SCHEMA, METRICS_SCHEMA, TESTS_SCHEMA, SuiteResult,
 )
+from dqspark.plans.samples import sample_failures
+from dqspark.sources.registry import VIRTUAL, DatasetRegistry
 
 _ON_METRIC = ("interval_check", "range", "threshold")
 _ON_COLUMNS = ("interval_check", "range", "regex")
 
 
-@dataclass
-class SuiteResult:
-    spark: SparkSession
-    suite_id: str
-    run_id: str
-    metrics: DataFrame
-    tests: DataFrame
-    details: DataFrame
-    info: DataFrame
-    investigations: DataFrame
-    samples: dict[str, DataFrame] = field(default_factory=dict)
-    sampled: list[tuple[list[str], DataFrame]] = field(default_factory=list)
-    tables: dict[str, DataFrame] = field(default_factory=dict)
-    prechecks: DataFrame | None = None
-    scripts: int = 0
-    held: list[DataFrame] = field(default_factory=list)
-
-    def summary(self) -> DataFrame:
-        from dqspark.plans.reports import run_summary
-        return run_summary(self)
-
-    def release(self) -> None:
-        """Let go of the rows of custom checks."""
-        for df in self.held:
-            df.unpersist()
-        self.held.clear()
-
-
-# --- reading the suite
-
-def _items(section: Any) -> list[dict[str, Any]]:
-    """Metrics or tests as flat dicts, in order."""
-    if isinstance(section, Mapping):
-        section = [{"id": key, **body} for key, body in section.items()]
-    flat = []
-    for item in section or []:
-        item = {**item, **(item.get("specific") or {}), **(item.get("params") or {})}
-        item.pop("specific", None)
-        item.pop("params", None)
-        item["dataset"] = next(
-            (item[k] for k in ("dataset", "database", "value_from_dataset") if item.get(k)), None)
-        flat.append(item)
-    return flat
-
-
-def _metric_of(item: dict[str, Any], context: Mapping[str, Any]) -> Metric:
-    params = {k: v for k, v in item.items() if k not in _DESCRIPTIVE}
-    for k in ("stream", "project", "zone"):
-        if not params.get(k) and context.get(k):
-            params[k] = context[k]
-    return Metric(item["type"], item.get("id"), item.get("dataset"), **params)
-
-
-_DESCRIPTIVE = ("id", "type", "dataset", "database", "value_from_dataset", "nature", "general",
-                "identification")
-
-
-def _number(value: Any) -> Any:
-    return None if value == "" else value
-
-
-def _first_of(item: Mapping[str, Any], *names: str) -> Any:
-    return next((_number(item[n]) for n in names if item.get(n) is not None), None)
-
-
-def suite_items(suite: Mapping[str, Any]) -> tuple[list[dict[str, Any]], list[dict[str, Any]]]:
-    """The metrics and the tests of a suite as flat dicts, each with its id and dataset."""
-    metrics, context = _items(suite.get("metrics")), suite.get("context") or {}
-    for item in metrics:
-        if not item.get("id"):
-            item["id"] = default_id(item.get("type"), item.get("dataset"), {**context, **item})
-    return metrics, _items(suite.get("tests"))
-
-
-def _refuse_shared_ids(metrics: list[str], tests: list[str]) -> None:
-    shared = sorted(i for i, n in Counter(metrics + tests).items() if n > 1)
-    if shared:
-        raise ValueError(f"ids used more than once in the suite: {shared}")
-
-
-def _test_of(item: dict[str, Any], severity: str = "medium") -> dict[str, Any]:
-    """One test with its bounds, operator and target under the names the checks use."""
-    test = dict(item)
-    general = item.get("general") or {}
-    bounds = item.get("bounds") or {}
-    test["metric_id"] = _first_of(item, "metric_id", "metric", "associated_metric_id") or (
-        general.get("associated_metric_id"))
-    for side, names in (("lower", ("lower", "low", "min")), ("upper", ("upper", "high", "max"))):
-        test[side] = _first_of({**bounds, **item}, *names)
-        # A bound written as lower_value or upper_value counts only when it is switched on.
-        if test[side] is None and item.get(f"{side}_enabled"):
-            test[side] = _number(item.get(f"{side}_value"))
-        if item.get(f"{side}_enabled") is False:
-            test[side] = None
-    threshold = item.get("threshold")
-    if isinstance(threshold, Mapping):
-        test["op"], test["target"] = threshold.get("op"), _number(threshold.get("value"))
-    elif threshold is not None:
-        test["op"], test["target"] = "=", threshold
-    else:
-        test["op"] = _first_of(item, "operator", "op") or "="
-        test["target"] = _first_of(item, "value", "target")
-    columns = item.get("columns") or item.get("column") or []
-    test["columns"] = [columns] if isinstance(columns, str) else list(columns)
-    test["severity"] = item.get("severity") or general.get("criticality") or severity
-    test["blocking"] = bool(item.get("stop_on_failure", general.get("stop_on_failure", False)))
-    mode = item.get("target_mode")
-    test["mode"] = mode or ("metric_value" if test["metric_id"] else "dataset_columns")
-    return test
-
-
-def _split_rules(test: dict[str, Any]) -> list[dict[str, Any]]:
-    """Column rules of a metric test address the metric's output table."""
-    rules = test.get("column_rules") or []
-    if test["mode"] != "metric_value" or not rules or not test["metric_id"]:
-        return [test]
-    on_table = {**test, "mode": "dataset_columns", "dataset": VIRTUAL + test["metric_id"]}
-    if test["lower"] is None and test["upper"] is None:
-        return [on_table]
-    return [test, {**on_table, "id": f"{test['id']}:columns", "lower": None, "upper": None}]
-
-
-def _info_rows(metrics, tests) -> list[tuple]:
-    rows = []
-    for kind, items in (("metric", metrics), ("test", tests)):
-        for item in items:
-            nature, general = item.get("nature") or {}, item.get("general") or {}
-            ident = item.get("identification") or {}
-            rows.append((
-                kind, item["id"], nature.get("name") or item.get("name") or ident.get("control_name") or "",
-                nature.get("description") or item.get("description") or "",
-                nature.get("comments") or nature.get("preliminary_comments") or "",
-                bool(general.get("export", True)), general.get("owner", ""), pick_where(item) or "",
-                item.get("category") or nature.get("category")
-                or nature.get("functional_category_1") or "Business",
-                ident.get("control_id") or ident.get("test_id") or item["id"],
-            ))
-    return rows
-
-
-# --- running it
-
 class _Run:
     """The state of one run: what to compute, and what is already decided."""
 
@@ -322,15 +150,15 @@ def run_suite(
     run = _Run(spark, registry, suite, sample_rows or settings.get("sample_size") or investigate.SAMPLE_ROWS)
     context = suite.get("context") or {}
     metric_items, test_items = suite_items(suite)
-    _refuse_shared_ids([i["id"] for i in metric_items], [i["id"] for i in test_items])
+    refuse_shared_ids([i["id"] for i in metric_items], [i["id"] for i in test_items])
     severity = settings.get("default_severity", "medium")
-    tests = [t for item in test_items for t in _split_rules(_test_of(item, severity))]
+    tests = [t for item in test_items for t in split_rules(test_of(item, severity))]
     held: list[DataFrame] = []
     scripts = _Scripts(run, held)
     scripts.phase("pre_dq")
 
     for item in metric_items:
-        run.plan_metric(_metric_of(item, context))
+        run.plan_metric(metric_of(item, context))
     column_tests = [t for t in tests if t["mode"] == "dataset_columns" and t["type"] in _ON_COLUMNS]
     key_tests = [t for t in tests if t["type"] == "foreign_key"]
     first, planned = [], {}
@@ -367,8 +195,8 @@ def run_suite(
 
     samples, sampled, report = {}, [], []
     if investigations:
-        samples, sampled, report = _investigate(run, tests, planned, rows)
-    info = _info_rows(metric_items, tests) + [
+        samples, sampled, report = sample_failures(run, tests, planned, rows)
+    info = info_rows(metric_items, tests) + [
         ("test", r[1], r[1], r[9], "", True, "", "", "Technical", f"TECH_{r[1]}") for r in technical
     ]
     details = [(m, name, v) for m, found in run.values.items() for name, v in found.items()]
@@ -405,7 +233,7 @@ def _plan_test(run: _Run, test, planned) -> Probe | None:
         test["dataset"] = run.dataset_of(test["dataset"])
         df = run.registry[test["dataset"]]
         if test["type"] == "foreign_key":
-            ref, ref_column = _reference(test)
+            ref, ref_column = reference(test)
             if ref not in run.registry:
                 raise KeyError(f"reference dataset '{ref}' is unknown")
             where = pick_where(test)
@@ -454,15 +282,6 @@ def _column_scan(df: DataFrame, test):
     return checks.bounds_scan(df, bounds, bool(test.get("inclusive", True)))
 
 
-def _reference(test) -> tuple[str, str | Sequence[str]]:
-    """Reference dataset and column, given apart or as 'dataset.column'."""
-    ref = test.get("ref") or test.get("ref_dataset")
-    column = test.get("ref_column")
-    if not column and isinstance(ref, str) and "." in ref:
-        ref, column = ref.rsplit(".", 1)
-    return ref, column or test["columns"]
-
-
 def _metric_verdicts(run: _Run, tests, metrics: DataFrame) -> DataFrame | None:
     chosen = [t for t in tests if t["mode"] == "metric_value" and t["type"] in _ON_METRIC]
     if not chosen:
@@ -491,7 +310,7 @@ def _column_verdicts(run: _Run, planned, answers, errors) -> DataFrame | None:
             run.verdict(test, None, "SKIPPED", plan["skipped"])
         elif test["type"] == "foreign_key":
             orphans = answers[key]["value"]
-            ref, _ = _reference(test)
+            ref, _ = reference(test)
             text = "OK" if orphans == 0 else f"{int(orphans)} rows refer to no row of '{ref}'"
             run.verdict(test, orphans == 0, "SUCCESS" if orphans == 0 else "FAIL", text, orphans)
         else:
@@ -629,146 +448,3 @@ class _Scripts:
             nothing.alias("metric_id"), nothing.alias("dataset"), nothing.alias("column"), "value",
             "passed", F.when(F.col("passed"), "SUCCESS").otherwise("FAIL").alias("status"), "message",
             F.lit(row["severity"]).alias("severity"), F.lit(row["blocking"]).alias("blocking")))
-
-
-# --- samples of failed tests
-
-@dataclass(frozen=True)
-class _Suspects:
-    """The offending rows of one failed test."""
-    dataset: str
-    description: str
-    mask: Column | None = None
-    keep: Column | None = None
-    duplicates_of: tuple[str, ...] = ()
-    digest: bool = False
-
-
-def _suspects(run: _Run, test, planned) -> _Suspects | None:
-    if test["mode"] == "metric_value":
-        metric = run.metrics.get(test["metric_id"])
-        if metric is None or metric.dataset not in run.registry:
-            return None
-        return _metric_suspects(run, metric)
-    plan = planned.get(test["id"])
-    if plan is None or plan.get("rows") is None:
-        return None
-    df = run.registry[test["dataset"]]
-    where = pick_where(test)
-    keep = F.expr(where) if where else None
-    listed = ", ".join(test["columns"])
-    if test["type"] == "regex":
-        present = [c for c in test["columns"] if c in df.columns]
-        if not present:
-            return None
-        pattern = test.get("pattern") or EMAIL_PATTERN
-        misses = [~named(c).cast("string").rlike(pattern) for c in present]
-        mask = reduce(lambda a, b: a | b, [F.coalesce(m, F.lit(False)) for m in misses])
-        return _Suspects(test["dataset"], f"Values not matching {pattern} in {listed}", mask, keep)
-    mask = investigate.any_outside(df, test["resolved"], bool(test.get("inclusive", True)))
-    limits = ", ".join(f"{c} [{low}, {high}]" for c, (low, high) in test["resolved"].items())
-    return _Suspects(test["dataset"], f"Values out of bounds: {limits}", mask, keep)
-
-
-def _metric_suspects(run: _Run, metric: Metric) -> _Suspects | None:
-    df, p = run.registry[metric.dataset], metric.params
-    own = METRIC_TYPES[metric.type].own_filter if metric.type in METRIC_TYPES else False
-    where = pick_where(p, ("where",)) if own else pick_where(p)
-    keep = F.expr(where) if where else None
-    if p.get("value_filter"):
-        by_value = keep_column(p["value_filter"])
-        keep = by_value if keep is None else keep & by_value
-    column = p.get("column") or p.get("columns")
-    if metric.type == "missing_rate":
-        columns = resolve_columns(df, column)
-        found = run.values.get(metric.id, {})
-        columns = [c for c in columns if found.get(f"{c}_missing_number")] or columns
-        return _Suspects(metric.dataset, f"Rows with missing values in {', '.join(columns)}",
-                         investigate.any_missing(df, columns), keep)
-    if metric.type in ("count_where", "count_condition"):
-        expr = p.get("expr") or p.get("filter") or p.get("condition")
-        return _Suspects(metric.dataset, f"Rows matching: {expr}", F.expr(expr), keep)
-    if metric.type == "count_out_of_range":
-        low, high = p.get("low", 0.01), p.get("high", 1_000_000)
-        return _Suspects(metric.dataset, f"Values out of bounds: {column} [{low}, {high}]",
-                         checks.outside(number(df, column), low, high), keep)
-    if metric.type == "duplicate_count":
-        columns = tuple([column] if isinstance(column, str) else column)
-        return _Suspects(metric.dataset, f"Rows with a repeated {', '.join(columns)}", None, keep,
-                         columns, bool(p.get("digest")))
-    return None
-
-
-def _investigate(run: _Run, tests, planned, rows):
-    """Per failed test a lazy sample, the samples of each dataset as one frame, and the report's rows."""
-    failed = {r[1] for r in rows if r[8] == "FAIL"}
-    found = []
-    for test in tests:
-        if test["id"] in failed:
-            suspects = _suspects(run, test, planned)
-            if suspects is not None:
-                found.append((test, suspects))
-    probes = []
-    for test, suspects in found:
-        df = run.registry[suspects.dataset]
-        if suspects.duplicates_of:
-            kept = df if suspects.keep is None else df.filter(suspects.keep)
-            total = Frame(investigate.duplicate_total(kept, suspects.duplicates_of, suspects.digest))
-        else:
-            total = Scan(lambda scope, mask=suspects.mask: {"value": scope.count_if(mask)})
-        probes.append(Probe(test["id"], suspects.dataset, df, total, suspects.keep,
-                            test["id"] if suspects.keep is not None else None))
-    totals, _ = collect_values(probes)
-    n, keys = run.sample_rows, run.suite.get("keys") or {}
-    samples, report, shared, sampled = {}, [], {}, []
-    for test, suspects in found:
-        total = int(totals.get(test["id"], {}).get("value") or 0)
-        if total == 0:
-            continue
-        df = run.registry[suspects.dataset]
-        key = test.get("sample_key") or keys.get(suspects.dataset)
-        order = [key] if isinstance(key, str) else list(key or ())
-        kept = df if suspects.keep is None else df.filter(suspects.keep)
-        if suspects.duplicates_of:
-            samples[test["id"]] = investigate.investigate_duplicates(
-                kept, suspects.duplicates_of, order or df.columns, n, suspects.digest)
-            sampled.append(([test["id"]], samples[test["id"]].select(
-                F.lit(test["id"]).alias("test_id"), F.struct("*").alias("row"))))
-        else:
-            bad = kept.filter(suspects.mask)
-            samples[test["id"]] = first_rows(bad, [named(k) for k in order], n)
-            mask = suspects.mask if suspects.keep is None else suspects.keep & suspects.mask
-            shared.setdefault((suspects.dataset, tuple(order)), {})[test["id"]] = mask
-        report.append((test["id"], test["type"], suspects.description, suspects.dataset, total,
-                       min(total, n), None))
-    for (dataset, order), masks in shared.items():
-        frame = investigate.samples_of_masks(run.registry[dataset], masks, order, n)
-        sampled.append((list(masks), frame))
-    return samples, sampled, report
-
-
-def consolidate(results: Sequence[tuple[str, SuiteResult]]) -> SuiteResult:
-    """Several results as one, every id prefixed with its suite's name."""
-    def tagged(name: str, df: DataFrame, *columns: str) -> DataFrame:
-        for c in columns:
-            df = df.withColumn(c, F.concat(F.lit(f"{name}_"), F.col(c)))
-        return df
-
-    def united(frames: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, frames)
-
-    head = results[0][1]
-    return SuiteResult(
-        spark=head.spark, suite_id="consolidated", run_id=f"consolidated_{head.run_id}",
-        metrics=united([tagged(n, r.metrics, "metric_id") for n, r in results]),
-        tests=united([tagged(n, r.tests, "test_id", "metric_id") for n, r in results]),
-        details=united([tagged(n, r.details, "metric_id") for n, r in results]),
-        info=united([tagged(n, r.info, "id") for n, r in results]),
-        investigations=united([tagged(n, r.investigations, "test_id") for n, r in results]),
-        samples={f"{n}_{t}": df for n, r in results for t, df in r.samples.items()},
-        sampled=[([f"{n}_{t}" for t in ids], tagged(n, frame, "test_id"))
-                 for n, r in results for ids, frame in r.sampled],
-        tables={f"{n}_{a}": df for n, r in results for a, df in r.tables.items()},
-        prechecks=united(p) if (p := [r.prechecks for _, r in results if r.prechecks is not None]) else None,
-        scripts=sum(r.scripts for _, r in results), held=[df for _, r in results for df in r.held],
-    )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dqspark.functions.frames import local_frame
 from dqspark.functions.values import how_many
 from dqspark.operators.skew import salted_join
-from dqspark.plans.suite import suite_items
+from dqspark.plans.definition import suite_items
 
 
 def check_ids(suites: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, Window, functions as F
 
 if TYPE_CHECKING:
-    from dqspark.plans.suite import SuiteResult
+    from dqspark.plans.result import SuiteResult
 
 SAMPLE_ROWS_WRITTEN = 1000  # rows of each sample the result sink keeps
 

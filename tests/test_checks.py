@@ -8,7 +8,7 @@ from dqspark.operators import (
     assert_output_schema, columns_present, columns_typed, interval_check_columns, metric_checks,
     metric_tests, range_columns, regex_check, resolve_bounds,
 )
-from dqspark.plans.suite import METRICS_SCHEMA
+from dqspark.plans.result import METRICS_SCHEMA
 
 
 @pytest.fixture(scope="module")
