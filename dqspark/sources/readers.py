@@ -9,12 +9,14 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from dqspark.functions.frames import first_rows, local_frame
 from dqspark.functions.predicates import resolve_columns
 from dqspark.functions.values import how_many, named
 
+TOP_N_LIMIT = 100_000  # rows a random draw takes as a top-n
+
 _SUFFIXES = {
     ".parquet": "parquet", ".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl",
 }
@@ -122,7 +124,9 @@ def sample(
     """``full``: all rows; ``head``: the first rows by key; ``random``: a repeatable random draw.
 
     The random draw takes the rows with the smallest hash of key and seed, so it is the same
-    however the rows are partitioned. Both are a top-n: each task keeps only ``limit`` rows.
+    however the rows are partitioned. Both are a top-n: each task keeps only ``limit`` rows. A random
+    draw of more than ``TOP_N_LIMIT`` rows is cut by hash ranges instead, which sends no row through
+    a single task.
     """
     kept = resolve_columns(df, columns)
     if mode == "full":
@@ -132,11 +136,30 @@ def sample(
     order = [named(k) for k in ([key] if isinstance(key, str) else key)]
     if mode == "random":
         order = [F.xxhash64(*order, F.lit(seed)), *order]
+        if limit > TOP_N_LIMIT:
+            return _draw_by_ranges(df, order, limit).select(*[named(c) for c in kept])
     elif mode != "head":
         raise ValueError(f"unknown sampling mode '{mode}': use full, head or random")
     return first_rows(df, order, limit).select(*[named(c) for c in kept])
 
 
+def _draw_by_ranges(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """The ``limit`` rows with the smallest hashes, ``order[0]``, as :func:`sample` draws them.
+
+    Counting the rows per range of hashes, of which there are at most a million, tells which ranges
+    belong to the draw as a whole; only in the one range that is split are rows put in order.
+    """
+    reach = F.shiftright(order[0], 44)
+    counts = df.groupBy(reach.alias("reach")).agg(F.count(F.lit(1)).alias("n"))
+    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("reach")))
+    cut = running.filter(F.col("upto") >= limit).orderBy("reach").select("reach", "upto", "n").first()
+    if cut is None:
+        return df
+    left = limit - (cut["upto"] - cut["n"])
+    return df.filter(reach < cut["reach"]).unionByName(
+        first_rows(df.filter(reach == cut["reach"]), order, left))
+
+
 def preview(df: DataFrame, n: int = 10, key: str | Sequence[str] | None = None) -> DataFrame:
     """The first rows, by key when one is given."""
     return first_rows(df, [], n) if key is None else sample(df, "head", n, key=key)
