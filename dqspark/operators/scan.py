@@ -19,6 +19,10 @@ from dqspark.functions.values import key_digest, named
 
 Values = Mapping[str, Column]
 
+# Aggregates one scan computes. Spark generates code for up to a hundred columns; beyond that, reading
+# the columns again for the next lot costs less than interpreting every aggregate for every row.
+SCAN_AGGREGATES = 90
+
 
 @dataclass(frozen=True)
 class Scan:
@@ -99,9 +103,8 @@ def _wide_frames(
         shared = group[0].keep_id is not None and len({p.keep_id for p in group}) == 1
         if shared:
             df = df.filter(group[0].keep)
-        frames.append(_aggregate(df, [
-            (p, p.ask.build(Scope(None if shared else p.keep))) for p in group
-        ], details))
+        asked = [(p, p.ask.build(Scope(None if shared else p.keep))) for p in group]
+        frames += [_aggregate(df, lot, details) for lot in _lots(asked, details)]
     for (_, _, columns, digest), group in keyed.items():
         df = group[0].df if group[0].keep is None else group[0].df.filter(group[0].keep)
         counted = frequencies(df, columns, digest)
@@ -109,6 +112,19 @@ def _wide_frames(
     return frames
 
 
+def _lots(asked, details):
+    """Probes in lots of at most SCAN_AGGREGATES aggregates; a larger probe is a lot of its own."""
+    lots, size = [], 0
+    for probe, values in asked:
+        wanted = len(values) if details else 1
+        if not lots or size + wanted > SCAN_AGGREGATES:
+            lots.append([])
+            size = 0
+        lots[-1].append((probe, values))
+        size += wanted
+    return lots
+
+
 def _aggregate(df, asked, details):
     slots = [
         (probe.key, name, column) for probe, values in asked for name, column in values.items()
@@ -120,18 +136,20 @@ def _aggregate(df, asked, details):
 
 def long_values(probes: Sequence[Probe], details: bool = True) -> DataFrame:
     """All answers as rows (key, name, value), lazily."""
-    parts = [
-        frame.select(F.inline(F.array(*[
-            F.struct(
-                F.lit(key).alias("key"), F.lit(name).alias("name"),
-                F.col(f"s{i}").cast("double").alias("value"),
-            ) for i, (key, name) in enumerate(slots)
-        ])))
-        for frame, slots in _wide_frames(probes, details)
-    ]
+    parts = []
+    for frame, slots in _wide_frames(probes, details):
+        cells = ", ".join(
+            f"struct({_quoted(key)} as key, {_quoted(name)} as name, cast(s{i} as double) as value)"
+            for i, (key, name) in enumerate(slots))
+        parts.append(frame.selectExpr(f"inline(array({cells}))"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _quoted(text: str) -> str:
+    """A SQL string literal; the escaped dollar keeps Spark from reading ``${...}`` as a variable."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
 def collect_values(
     probes: Sequence[Probe],
 ) -> tuple[dict[str, dict[str, float | None]], dict[str, str]]:

@@ -228,3 +228,14 @@ def test_table_metrics_have_no_value_of_their_own(spark, sales):
         {"id": "g", "type": "row_count", "group_by": "region"}]})
     assert rows(result.metrics)[0]["value"] == 3
     assert sorted(result.tables) == ["virtual:g"]
+
+
+def test_any_id_and_many_metrics(spark, sales):
+    odd = ["it's", 'say "x"', "back\\slash", "${spark.app.name}", "a.b|c`d", "é\n"]
+    got = {r["metric_id"]: r["value"] for r in compute_metrics(sales, [
+        Metric("count_where", id=name, filter=f"quantity > {i}") for i, name in enumerate(odd)]).collect()}
+    assert got == {name: 4.0 for name in odd}
+    many = [Metric("count_where", id=f"m{i}", filter=f"quantity > {i % 30}") for i in range(200)]
+    frame = compute_metrics(sales, many)
+    assert {r["metric_id"]: r["value"] for r in frame.collect()} == {
+        f"m{i}": sum(q > i % 30 for q in (10, 20, 15, 25)) for i in range(200)}
