@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.llm import chat, lines, mixing, sharding
+from dqspark.llm import chat, lines, mixing, neardup, sharding
 from dqspark.llm.common import table
 
 
@@ -40,6 +40,11 @@ from documents d left join kept on d.doc_id = kept.doc_id
 """
 
 
+def neardup_query(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(d, k=3, at_least=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def mixing_query(spark, sf):
     d = table(spark, sf, "documents")
     sized = d.select("doc_id", "source", mixing.words(d["text"]).alias("words"))
@@ -71,6 +76,7 @@ from parts group by conv_id, part, n_turns, copies
 QUERIES = {
     "op2_stratified_sharding": sharding_query,
     "op5_line_winnowing": lines_query,
+    "op6_tensored_minhash": neardup_query,
     "op8_curriculum_mixing": mixing_query,
     "op10_chat_collapse": chat_query,
 }
