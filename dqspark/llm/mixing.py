@@ -105,7 +105,7 @@ def curriculum(df: DataFrame, size: Column, source: str = "source", key: str = "
                    columns, ["size", "source_size", "target", "taken", "occurrences"])
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each time a row is taken, range-sorted by ``position``."""
+def training_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for each time a row is taken, range-sorted by ``position`` and key."""
     columns = [c for c in mixed.columns if c != "occurrences"]
-    return mixed.select(*[mixed[c] for c in columns], F.inline("occurrences")).orderBy("position")
+    return mixed.select(*[mixed[c] for c in columns], F.inline("occurrences")).orderBy("position", key)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.llm import chat, lines, mixing, neardup, sharding
+from dqspark.llm import chat, decontam, lines, mixing, neardup, sharding
 from dqspark.llm.common import table
 
 
@@ -51,7 +51,54 @@ def mixing_query(spark, sf):
     mixed = mixing.curriculum(sized, F.col("words"))
     first = F.array_min(F.transform("occurrences", lambda o: o["position"]))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("occurrences").alias("times"),
-                        first.alias("first_position"), "source").orderBy("first_position")
+                        first.alias("first_position"), "source").orderBy("first_position", "doc_id")
+
+
+def decontam_query(spark, sf):
+    found = decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "windows", "of")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _template_sql(source: str, key: str) -> str:
+    """Windows of eight templates, or of a whole shorter text of five or more, in DuckDB's SQL."""
+    number, name, ends = (_quoted(x) for x in (decontam.NUMBER, decontam.NAME, decontam.ENDS))
+    units = ", ".join(_quoted(u) for u in decontam.UNITS.split())
+    return f"""(
+    with w as (
+        select {key} as key, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from {source} where text is not null),
+    u as (select key, unnest(w) as w, unnest(range(1, len(w) + 1)) as i, len(w) as n from w),
+    b as (select *, lower(trim(w, {_quoted(decontam.EDGES)})) as bare, lag(w) over (partition by key order by i) as before from u),
+    k as (select *, case when regexp_matches(w, {number}) then '<number>'
+        when regexp_matches(w, {name}) and i > 1 and not regexp_matches(before, {ends}) then '<name>'
+        when bare in ({units}) and i > 1 and regexp_matches(before, {number}) then '<unit>' end as kind from b),
+    t as (select key, list({{'t': coalesce(kind, bare), 'v': case when kind is not null then bare end}} order by i) as tokens, count(*) as n from k group by key)
+    select key, n, tokens from t where n >= 5)"""
+
+
+def _decontam_sql() -> str:
+    return f"""
+with d as (select * from {_template_sql('documents', 'doc_id')}),
+b as (select * from {_template_sql('benchmark', 'item_id')}),
+bw as (select key as item, unnest(range(0, greatest(n - 8, 0) + 1)) as item_at, least(n, 8) as long, tokens from b),
+bx as (select item, item_at, long, tokens[item_at + 1:item_at + long] as part from bw),
+by_ as (select *, list_transform(part, lambda x: x.t) as window from bx where len(list_filter(part, lambda x: x.v is null and x.t <> '')) >= 5),
+lens as (select distinct long from by_),
+dw as (select key, long, unnest(range(0, n - long + 1)) as p, tokens from d, lens where n >= long),
+dx as (select key, p, long, list_transform(tokens[p + 1:p + long], lambda x: x.t) as window, tokens from dw),
+m as (select dx.key, item, p - item_at as shift, item_at, part, tokens[p + 1:p + dx.long] as own from dx join by_ on dx.window = by_.window and dx.long = by_.long),
+f as (select key, item, shift, unnest(part).v as slot, unnest(own).v as value from m),
+broken as (select distinct key, item, shift from (select key, item, shift, slot from f where slot is not null group by all having min(value) <> max(value))),
+s as (select key, item, shift, count(*) as windows from m group by all),
+n as (select item, count(distinct item_at) as cnt from by_ group by item)
+select s.key as doc_id, s.item as item_id, max(windows) as windows, max(cnt) as "of"
+from s join n on s.item = n.item
+where not exists (select 1 from broken x where x.key = s.key and x.item = s.item and x.shift = s.shift) and windows >= least(6, cnt)
+group by all
+"""
 
 
 def chat_query(spark, sf):
@@ -78,10 +125,12 @@ QUERIES = {
     "op5_line_winnowing": lines_query,
     "op6_tensored_minhash": neardup_query,
     "op8_curriculum_mixing": mixing_query,
+    "op9_template_decontamination": decontam_query,
     "op10_chat_collapse": chat_query,
 }
 
 ORACLES = {
     "op5_line_winnowing": LINES_SQL,
+    "op9_template_decontamination": _decontam_sql(),
     "op10_chat_collapse": CHAT_SQL,
 }
