@@ -2,12 +2,56 @@
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from dqspark.llm import decontam, mixing, neardup, sharding, toxicity
+from dqspark.llm.common import table, work_folder
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a model fitted on the labels finds toxic go."""
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose sets of five-word shingles share 80 per cent or more, one stays."""
+    return neardup.one_of_each(docs, k=5, at_least=80)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other numbers and names, go."""
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources take them, whole each time, in training order."""
+    mixed = mixing.curriculum(docs, mixing.words(docs["text"]), whole=True)
+    return mixing.training_order(mixed).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard, of which all show the same mixture, and its place there."""
+    return sharding.interleave(docs, shards=8)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing to target weights", mix_sources),
+    ("sharding", shard),
+]
+
+#: No SQL expresses the first stage, a trained network.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each kept in the shared folder before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = work_folder(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

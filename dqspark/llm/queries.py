@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.llm import chat, decontam, lines, mixing, neardup, sharding
+from dqspark.llm import chat, decontam, lines, mixing, neardup, sharding, toxicity
 from dqspark.llm.common import table
 
 
@@ -59,6 +59,12 @@ def decontam_query(spark, sf):
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "windows", "of")
 
 
+def toxicity_query(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fitted(d, table(spark, sf, "labels"))
+    return toxicity.scored(d, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -124,6 +130,7 @@ QUERIES = {
     "op2_stratified_sharding": sharding_query,
     "op5_line_winnowing": lines_query,
     "op6_tensored_minhash": neardup_query,
+    "op7_toxicity_gru": toxicity_query,
     "op8_curriculum_mixing": mixing_query,
     "op9_template_decontamination": decontam_query,
     "op10_chat_collapse": chat_query,
