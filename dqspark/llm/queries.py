@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.llm import chat, decontam, lines, mixing, neardup, sharding, toxicity
+from dqspark.llm import chat, decontam, hamming, lines, mixing, neardup, sharding, toxicity
 from dqspark.llm.common import table
 
 
@@ -16,6 +16,23 @@ def sharding_query(spark, sf):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def hamming_query(spark, sf):
+    e = table(spark, sf, "embeddings")
+    codes = e.select("vec_id", hamming.sign_code(e["embedding"]).alias("code"))
+    return hamming.top_k(codes, codes.where("vec_id % 50 = 0"), k=10)
+
+
+HAMMING_SQL = """
+with c as (select vec_id, list_transform(embedding, lambda x: x > 0) as code from embeddings),
+d as (
+    select q.vec_id as query_id, r.vec_id as neighbour_id,
+        len(list_filter(list_zip(q.code, r.code), lambda z: z[1] <> z[2])) as distance
+    from c q join c r on q.vec_id % 50 = 0 and q.vec_id <> r.vec_id),
+n as (select *, row_number() over (partition by query_id order by distance, neighbour_id) as nth from d)
+select query_id, cast(nth as integer) as rank, neighbour_id, cast(distance as integer) as distance from n where nth <= 10
+"""
+
+
 def lines_query(spark, sf):
     out = lines.drop_repeated_runs(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5("kept_text").alias("kept_md5"))
@@ -128,6 +145,7 @@ from parts group by conv_id, part, n_turns, copies
 
 QUERIES = {
     "op2_stratified_sharding": sharding_query,
+    "op3_multi_index_hashing": hamming_query,
     "op5_line_winnowing": lines_query,
     "op6_tensored_minhash": neardup_query,
     "op7_toxicity_gru": toxicity_query,
@@ -137,6 +155,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_multi_index_hashing": HAMMING_SQL,
     "op5_line_winnowing": LINES_SQL,
     "op9_template_decontamination": _decontam_sql(),
     "op10_chat_collapse": CHAT_SQL,
