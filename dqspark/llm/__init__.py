@@ -1 +1,10 @@
-"""Operators for preparing training corpora; nothing else in the library imports this subpackage."""
+"""Operators for preparing training corpora; nothing else in the library imports this subpackage.
+
+Its functions travel to the executors by value, so these need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -16,6 +16,8 @@ SIDE = 8          # keys in each of the two collections; tables are their 64 pai
 HASHES_A_KEY = 2  # minima joined into one key of a collection
 HASHES = 2 * SIDE * HASHES_A_KEY
 PAIRS_A_TASK = 256   # members compared with one copy of a pivot's set
+NEAR = 35            # per cent shared with a pivot from which a set is compared by how it differs from the pivot
+SLACK = 1e-6         # rounding of sizes times a fraction
 ROWS_A_BLOCK = 512   # rows of a table compared with each other at once
 SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
 FACTORS = mix(np.arange(101, HASHES + 101, dtype=np.uint64)) | np.uint64(1)
@@ -77,20 +79,11 @@ def crossed(rows: DataFrame) -> DataFrame:
         "sid", F.xxhash64("t", first, second).alias("table_key"))
 
 
-def alike(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
-    """The pairs whose sizes allow the similarity and whose minima agree often enough."""
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("sid").alias(side), F.col("sig").alias(f"sig_{side}"),
-                                       F.col("n_shingles").alias(f"n_{side}")), side)
-    same = F.aggregate(
-        F.sequence(F.lit(0), F.lit(HASHES - 1)), F.lit(0),
-        lambda acc, i: acc + (F.substring(F.col("sig_a"), 4 * i + 1, F.lit(4)) == F.substring(F.col("sig_b"), 4 * i + 1, F.lit(4))).cast("int"))
-    return pairs.where(100 * F.least("n_a", "n_b") >= at_least * F.greatest("n_a", "n_b")).where(
-        same >= agreement(at_least)).select("a", "b")
-
-
 def verified(pairs: DataFrame, shingles: DataFrame, at_least: int) -> DataFrame:
-    """Pairs ``a``, ``b`` with ``linked``, decided on the full sets.
+    """Pairs ``a``, ``b`` with ``linked``, decided on the full sets, and how they differ.
+
+    ``near`` pairs share ``NEAR`` per cent, with ``apart`` the shingles that one of them lacks. ``far``
+    pairs share less than that and the distance of a link together.
 
     Members are sent to their pivot ``a``; a pivot with many members is copied, once for each
     ``PAIRS_A_TASK`` of them, so that no key gathers a whole group.
@@ -103,14 +96,22 @@ def verified(pairs: DataFrame, shingles: DataFrame, at_least: int) -> DataFrame:
 
     def decide(batches):
         for batch in batches:
-            linked = []
+            out = [[] for _ in range(6)]
             for x, y in zip(batch.column("of_a"), batch.column("of_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                linked.append(100 * both >= at_least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                apart = np.setxor1d(x, y, assume_unique=True)
+                union = (len(x) + len(y) + len(apart)) // 2
+                both = union - len(apart)
+                near = 100 * both >= NEAR * union
+                for column, value in zip(out, (len(x), len(y), 100 * both >= at_least * union, near, 100 * both < (NEAR + 100 - at_least) * union,
+                                               apart.view(np.int64) if near else None)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[
+                pa.array(column, kind) for column, kind in zip(out, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int64())))]],
+                ["a", "b", "n_a", "n_b", "linked", "near", "far", "apart"])
 
-    return members.join(pivots, ["a", "copy"]).select("a", "b", "of_a", "of_b").mapInArrow(decide, "a binary, b binary, linked boolean")
+    return members.join(pivots, ["a", "copy"]).select("a", "b", "of_a", "of_b").mapInArrow(
+        decide, "a binary, b binary, n_a long, n_b long, linked boolean, near boolean, far boolean, apart array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -139,8 +140,40 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct())
 
 
+def links_by_difference(checked: DataFrame, roots: DataFrame, at_least: int) -> DataFrame:
+    """Links ``a``, ``b`` between sets near one pivot of which stars left at least one outside the pivot's component.
+
+    Sets x and y that differ from the pivot by Dx and Dy differ from each other by |Dx| + |Dy| - 2 |Dx & Dy|
+    shingles. A link allows a fixed part c of both sizes, so with w = |D| - c n it needs 2 |Dx & Dy| >= wx + wy,
+    which is above 0 if x is not linked with the pivot. Shingles that stand in one difference only are
+    shared by nobody; sets without enough others left for any partner of their star drop out; what remains
+    meets in an inverted index of the shared shingles, whose counts decide the link exactly.
+    """
+    c = (100 - at_least) / (100 + at_least)
+    root = roots.toDF("sid", "root")
+    near = checked.where("near").join(root.toDF("b", "root_b"), "b", "left").join(root.toDF("a", "root_a"), "a", "left").select(
+        "a", "b", F.coalesce("root_b", "b").alias("root"), (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("out"),
+        (F.size("apart") - c * F.col("n_b")).alias("w"), "apart")
+    busy = near.groupBy("a").agg(F.count_if("out").alias("outs"), F.count("*").alias("members")).where("outs > 0 and members > 1").select("a")
+    members = keep(near.join(busy, "a", "left_semi"), "members")
+    own = members.select("a", "b", "root", "out", "w", F.explode("apart").alias("e"))
+    for _ in range(3):
+        shared = own.groupBy("a", "e").agg(F.count("*").alias("df"), F.count_if("out").alias("outs")).where("df > 1 and outs > 0").select("a", "e")
+        left = keep(own.join(shared, ["a", "e"], "left_semi"), "shared")
+        m = left.groupBy("a", "b", "out", "w").agg(F.count("*").alias("m")).withColumn("g", 2 * F.col("m") - F.col("w"))
+        star = m.groupBy("a").agg(F.max("g").alias("max_g"), F.min("w").alias("min_w"))
+        live = m.join(star, "a").where(f"out and w <= max_g + {SLACK} and g >= min_w - {SLACK}").select("a", "b", "w", "g")
+        need = live.groupBy("a").agg(F.min("w").alias("least_w"), F.max("g").alias("most_g"))
+        stay = m.join(need, "a").where(f"g >= least_w - {SLACK} and w <= most_g + {SLACK}").select("a", "b").union(live.select("a", "b")).distinct()
+        own = keep(left.join(stay, ["a", "b"], "left_semi"), "left")
+    x = own.where("out").select("a", "e", F.col("b").alias("x"), F.col("w").alias("w_x"), F.col("root").alias("root_x"))
+    y = own.select("a", "e", F.col("b").alias("y"), F.col("w").alias("w_y"), F.col("root").alias("root_y"))
+    met = x.join(y, ["a", "e"]).where("root_x <> root_y").groupBy("a", "x", "y", "w_x", "w_y").agg(F.count("*").alias("both"))
+    return met.where(f"2 * both >= w_x + w_y - {SLACK}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def unlike_blocks(buckets: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
-    """Candidates ``a``, ``b`` of one bucket (``table_key``, ``sid``, ``root``) that stars left in different components.
+    """Candidates ``a``, ``b`` of different components among the rows of one bucket (``table_key``, ``sid``, ``root``).
 
     The rows of a bucket are dealt into blocks by their hashes; two blocks at a time meet in a task,
     which compares minima and sizes and gives the pairs that pass.
@@ -178,8 +211,9 @@ def near_components(rows: DataFrame, k: int, at_least: int, text: str, key: str)
     Equal sets are one set from here on. A set meets others in 64 tables, whose keys pair each of 8 keys
     with each of 8 others, so that 32 minima serve for what 128 would be needed for; at the threshold of 85
     a pair shares no table in one of 7 000 cases. In each table the set with most company in all tables is
-    the pivot that the rest is compared with. What is then still in different components of a table is
-    compared block by block, so no candidate is left out. Links are decided on whole shingle sets.
+    the pivot that the rest is compared with, on whole shingle sets. Candidates that stars leave in different
+    components are not paired: near the pivot their differences from it are matched, and the few far from
+    it are compared block by block. No candidate is left out.
     """
     own = rows.where("sid is not null").select("sid", "sig", "n_shingles", F.col("row").getField(key).alias("key"))
     sets = keep(own.groupBy("sid").agg(F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"), F.min("key").alias("key")), "sets")
@@ -189,8 +223,8 @@ def near_components(rows: DataFrame, k: int, at_least: int, text: str, key: str)
     company = buckets.groupBy("sid").agg(F.sum("rows").alias("company"))
     weighed = buckets.select("table_key", "sid").join(company, "sid")
     pivots = weighed.groupBy("table_key").agg(F.max(F.struct("company", "sid")).alias("top")).select("table_key", F.col("top.sid").alias("a"))
-    stars = buckets.join(pivots, "table_key").where("sid <> a").select("a", F.col("sid").alias("b")).distinct()
-    stars = keep(alike(stars, sets, at_least), "stars")
+    stars = buckets.join(pivots, "table_key").where("sid <> a")
+    pairs = keep(stars.select("a", F.col("sid").alias("b")).distinct(), "stars")
 
     def sets_for(pairs):
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "key"), "sid")
@@ -198,16 +232,21 @@ def near_components(rows: DataFrame, k: int, at_least: int, text: str, key: str)
             wanted.withColumnRenamed("sid", "s"), F.col("sid").eqNullSafe(F.col("s")) & F.col("k").eqNullSafe(F.col("key")))
         return keep(sets_of(texts, k).groupBy("sid").agg(F.max("shingles").alias("shingles")), "shingles")
 
-    checked = keep(verified(stars, sets_for(stars), at_least), "checked")
+    checked = keep(verified(pairs, sets_for(pairs), at_least), "checked")
     links = checked.where("linked").select("a", "b")
     roots = components(links)
-    labelled = buckets.select("table_key", "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    split = labelled.groupBy("table_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("table_key")
+    more = keep(links_by_difference(checked, roots, at_least), "more")
+    if not more.isEmpty():
+        links = links.union(more)
+        roots = components(links)
+    # sets far from the pivot of a table can only be linked with others of that table that are not near it
+    aside = stars.join(checked.where("far").select("a", F.col("b").alias("sid")), ["a", "sid"], "left_semi").select("table_key", "sid")
+    aside = aside.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    split = aside.groupBy("table_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("table_key")
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = keep(unlike_blocks(labelled.join(split, "table_key", "left_semi"), sets, at_least).join(done, ["a", "b"], "left_anti"), "rest")
+    rest = keep(unlike_blocks(aside.join(split, "table_key", "left_semi"), sets, at_least).join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = verified(rest, sets_for(rest), at_least).where("linked").select("a", "b")
-        roots = components(links.union(more))
+        roots = components(links.union(verified(rest, sets_for(rest), at_least).where("linked").select("a", "b")))
     roots = keep(roots, "roots")
     named = roots.join(sets.select("sid", "key"), "sid")
     lowest = named.groupBy("root").agg(F.min("key").alias("component"))

@@ -153,7 +153,6 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     names = df.columns
     schema = T.StructType([T.StructField("row", df.schema), T.StructField("score", T.DoubleType())])
-    sent = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, gates = gru.Vocabulary(), None
@@ -163,7 +162,7 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for i in range(0, len(texts), 1000):
                 if len(words.words) > VOCABULARY:
                     words, gates = gru.Vocabulary(), None
-                found, gates = sent.value.scores(texts[i:i + 1000], words, gates)
+                found, gates = model.scores(texts[i:i + 1000], words, gates)
                 out += found
             yield pa.RecordBatch.from_arrays([row, pa.array(out, pa.float64())], ["row", "score"])
 

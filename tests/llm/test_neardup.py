@@ -99,3 +99,27 @@ def test_query_equals_all_pairs(spark):
     want = {k: v for (k, _), v in zip(rows, plain_components(rows, 3, 85))}
     got = queries.QUERIES["op6_tensored_minhash"](spark, SF).collect()
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
+
+
+def test_chains_around_a_pivot_and_far_groups(spark):
+    """Copies of copies, and groups that share tables with a pivot they do not resemble."""
+    r = random.Random(4)
+    rows, base = [], [f"w{i}" for i in range(90)]
+    for _ in range(25):
+        copy = list(base)
+        for _ in range(r.randint(1, 6)):
+            copy[r.randrange(90)] = f"x{r.randint(0, 99)}"
+        rows.append((len(rows), " ".join(copy)))
+        for _ in range(r.randint(0, 4)):  # copies of the copy
+            for _ in range(2):
+                copy[r.randrange(90)] = f"y{r.randint(0, 999)}"
+            rows.append((len(rows), " ".join(copy)))
+    for g in range(6):
+        mixed = base[:40 + 5 * g] + [f"g{g}_{i}" for i in range(60 - 5 * g)]
+        for j in range(4):
+            copy = list(mixed)
+            copy[r.randrange(95)] = f"z{j}"
+            rows.append((len(rows), " ".join(copy)))
+    for k, at_least in ((3, 85), (3, 80), (1, 70)):
+        got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, at_least).collect()}
+        assert got == {i: c for (i, _), (_, c) in zip(rows, plain_components(rows, k, at_least))}
