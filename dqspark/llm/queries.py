@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.llm import chat, decontam, hamming, lines, mixing, neardup, sharding, toxicity
+from dqspark.llm import chat, decontam, hamming, lines, mixing, neardup, secrets, sharding, toxicity
 from dqspark.llm.common import table
 
 
+def secrets_query(spark, sf):
+    found = secrets.scan(table(spark, sf, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "nth", F.sha2("candidate", 256).alias("sha256"), "length", "score", "secret")
+
+
 def sharding_query(spark, sf):
     d = table(spark, sf, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -144,6 +149,7 @@ from parts group by conv_id, part, n_turns, copies
 """
 
 QUERIES = {
+    "op1_secret_forest": secrets_query,
     "op2_stratified_sharding": sharding_query,
     "op3_multi_index_hashing": hamming_query,
     "op5_line_winnowing": lines_query,
