@@ -24,7 +24,8 @@ EDGES = "\"'()[]{}<>.,;:!?*#$%&|_~`^=+-/@" + "\\"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The words of a text; of a blank one a single empty word."""
+    return F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
 def template(found: Column) -> Column:
@@ -32,8 +33,9 @@ def template(found: Column) -> Column:
     def one(w, i):
         bare = F.lower(F.btrim(w, F.lit(EDGES)))
         before = F.get(found, i - 1)
-        kind = (F.when(w.rlike(NUMBER), F.lit("<number>"))
-                .when(w.rlike(NAME) & (i > 0) & ~before.rlike(ENDS), F.lit("<name>"))
+        plain = F.ascii(w).between(97, 122)  # most words begin with a small letter, so are no numbers or names
+        kind = (F.when(~plain & w.rlike(NUMBER), F.lit("<number>"))
+                .when(~plain & w.rlike(NAME) & (i > 0) & ~before.rlike(ENDS), F.lit("<name>"))
                 .when(bare.isin(UNITS.split()) & (i > 0) & before.rlike(NUMBER), F.lit("<unit>")))
         return F.struct(F.coalesce(kind, bare).alias("t"), F.when(kind.isNotNull(), bare).alias("v"))
     return F.transform(found, one)
@@ -77,8 +79,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
     lengths = [r.long for r in wanted.select("long").distinct().limit(WINDOW).collect()] or [WINDOW]
     hashes = wanted.select("long", "window").distinct()
     small = wanted.count() <= BROADCAST_ROWS
-    found = docs.select(docs[doc_key].alias("key"), F.xxhash64(docs[doc_text]).alias("digest"), words(docs[doc_text]).alias("w"))
-    found = found.where(F.size("w") >= LITERALS)
+    texts = docs.select(docs[doc_key].alias("key"), F.xxhash64(docs[doc_text]).alias("digest"), docs[doc_text].alias("text"))
+    found = texts.select("key", "digest", words(F.col("text")).alias("w")).where(F.size("w") >= LITERALS)
 
     # hashes first, so that words are only handled for documents with a hit
     h = found.select("key", "digest", _hashed(template(F.col("w"))).alias("h"))
@@ -91,9 +93,12 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
     hits = keep(h.select("key", "digest", F.inline(each)).join(
         F.broadcast(hashes) if small else hashes, ["long", "window"]).distinct(), "hits")
 
+    held = hits.select(F.col("key").alias("k"), F.col("digest").alias("d")).distinct()
+    held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
+    of_doc = F.col("digest").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k"))
+    found = texts.join(held, of_doc, "left_semi").dropDuplicates(["key", "digest"]).select("key", "digest", words(F.col("text")).alias("w"))
     doc = hits.groupBy(F.col("key").alias("k"), F.col("digest").alias("d")).agg(F.collect_set(F.struct("long", "at", "window")).alias("hits"))
-    own = found.join(doc, F.col("digest").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k"))).dropDuplicates(["key", "digest"])
-    met = own.select("key", "digest", template(F.col("w")).alias("tokens"), "hits").select("key", "digest", "tokens", F.inline("hits")).select(
+    met = found.join(doc, of_doc).select("key", "digest", template(F.col("w")).alias("tokens"), "hits").select("key", "digest", "tokens", F.inline("hits")).select(
         "key", "digest", "long", "window", "at", F.slice("tokens", F.col("at") + 1, F.col("long")).alias("own")).join(wanted, ["long", "window"])
     same = met.where(F.transform("own", lambda x: x["t"]) == F.transform("part", lambda x: x["t"])).select(
         "key", "digest", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "own", "part")
