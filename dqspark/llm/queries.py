@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.llm import chat, decontam, hamming, lines, mixing, neardup, secrets, sharding, toxicity
+from dqspark.llm import chat, decontam, hamming, lines, mixing, neardup, repeats, secrets, sharding, toxicity
 from dqspark.llm.common import table
 
 
@@ -38,6 +38,11 @@ select query_id, cast(nth as integer) as rank, neighbour_id, cast(distance as in
 """
 
 
+def repeats_query(spark, sf):
+    out = repeats.drop_repeats(table(spark, sf, "documents").select("doc_id", "text"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def lines_query(spark, sf):
     out = lines.drop_repeated_runs(table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5("kept_text").alias("kept_md5"))
@@ -152,6 +157,7 @@ QUERIES = {
     "op1_secret_forest": secrets_query,
     "op2_stratified_sharding": sharding_query,
     "op3_multi_index_hashing": hamming_query,
+    "op4_suffix_repeats": repeats_query,
     "op5_line_winnowing": lines_query,
     "op6_tensored_minhash": neardup_query,
     "op7_toxicity_gru": toxicity_query,
