@@ -32,12 +32,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     Of rows with several labels the larger counts. Rows of either class are taken in the order of a hash.
     """
     known = labels.where(labels[key].isNotNull() & labels[label].isNotNull()).groupBy(labels[key].alias("k")).agg(F.max(labels[label]).alias("toxic"))
-    own = docs.select(docs[key].alias("k"), docs[text].alias("text")).where(
+    own = docs.select(docs[key].alias("k"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("digest")).where(
         ~held_out(F.col("k")) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    rows = own.join(known, "k").withColumn("h", F.xxhash64(F.lit(7), "k"))
-    parts = [rows.where(F.col("toxic") == c).orderBy("h", "k", "text").limit(n).select("text", "toxic")
-             for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    return parts[0].union(parts[1])
+    # texts are fetched for the chosen keys alone, which are few whatever the size of the tables
+    rows = own.select("k", "digest").distinct().join(known, "k").withColumn("h", F.xxhash64(F.lit(7), "k"))
+    chosen = [rows.where(F.col("toxic") == c).orderBy("h", "k", "digest").limit(n).select("k", "digest", "toxic")
+              for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    return own.join(F.broadcast(chosen[0].union(chosen[1])), ["k", "digest"]).dropDuplicates(["k", "digest"]).select("text", "toxic")
 
 
 def windows_of(places: Sequence[int]) -> np.ndarray:
