@@ -1,4 +1,4 @@
-from dqspark.functions.frames import few_tasks, first_rows, local_frame  # noqa: F401
+from dqspark.functions.frames import first_rows, local_frame  # noqa: F401
 from dqspark.functions.predicates import (  # noqa: F401
     WHERE_KEYS, Scope, pick_where, predicate_columns, resolve_columns,
 )

@@ -25,19 +25,9 @@ def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructT
     return spark.createDataFrame(table, schema)
 
 
-LAST_TASK_ROWS = 20_000_000  # rows that may reach the one task that ends a top-n
-
-
-def few_tasks(df: DataFrame, n: int) -> DataFrame:
-    """The same rows read by fewer tasks, where there are so many that ``n`` rows of each are a lot.
+def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order, or any ``n`` without one.
 
-    Neighbouring splits are read one after another, without a shuffle. A scan of a hundred terabytes
-    has most of a million splits; the ``n`` rows each would send on are bounded here instead.
+    Spark plans both with a limit in each task in front of the exchange; the scan keeps its tasks.
     """
-    return df.coalesce(max(200, min(8192, LAST_TASK_ROWS // max(n, 1))))
-
-
-def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows in an order, or any ``n`` without one."""
-    df = few_tasks(df, n)
     return (df.orderBy(*order) if order else df).limit(n)

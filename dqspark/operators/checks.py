@@ -59,6 +59,14 @@ WITHIN_BOUNDS = ") respect the configured bounds."
 
 # --- tests on a metric's value
 
+def bound(value: Any) -> float:
+    """A bound as a number; NaN, which nothing exceeds, is none."""
+    number_ = float(value)
+    if number_ != number_:
+        raise ValueError(f"{INCOMPARABLE}'{value}' is not a number")
+    return number_
+
+
 def metric_tests(spark: SparkSession, specs: Iterable[Mapping[str, Any]]) -> DataFrame:
     """Test specifications as rows; a bound that is no number is kept as the row's error."""
     return local_frame(spark, [_metric_test_row(s) for s in specs], METRIC_TEST_SCHEMA)
@@ -71,7 +79,7 @@ def _metric_test_row(spec: Mapping[str, Any]) -> tuple:
     for name in bounds:
         value = spec.get(name)
         try:
-            bounds[name] = None if value is None else float(value)
+            bounds[name] = None if value is None else bound(value)
         except (TypeError, ValueError):
             error = f"{INCOMPARABLE}'{value}' is not a number"
     op = spec.get("op")
@@ -148,7 +156,7 @@ def resolve_bounds(
                 overrides[c] = (low, high)
     names = dict.fromkeys([c for c in columns if c] + list(overrides))
     return {
-        c: tuple(None if b is None else float(b) for b in overrides.get(c, (lower, upper)))
+        c: tuple(None if b is None else bound(b) for b in overrides.get(c, (lower, upper)))
         for c in names
     }
 

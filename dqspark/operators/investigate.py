@@ -10,13 +10,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dqspark.functions.frames import few_tasks, first_rows
+from dqspark.functions.frames import first_rows
 from dqspark.functions.predicates import resolve_columns
 from dqspark.functions.values import key_digest, missing, named, number
 from dqspark.operators.checks import outside
 from dqspark.operators.scan import fold, frequencies
 
-SAMPLE_ROWS = 100  # rows of a sample when none are asked for
+SAMPLE_ROWS = 100    # rows of a sample when none are asked for
+SAMPLE_PARTS = 1024  # parts of a test's failing rows that are ranked side by side
 
 Bounds = Mapping[str, tuple[float | None, float | None]]
 
@@ -66,15 +67,21 @@ def samples_of_masks(
 ) -> DataFrame:
     """The samples of several tests of one dataset in one scan, as (test_id, row).
 
-    ``row_number() <= n`` is cut short in each task before the shuffle, as a top-n is, so a test
-    that most rows fail sends no more of them than any other.
+    Rows are ranked in two steps: among those of a test that share a part of the order's hash, of
+    which ``n`` each remain, and then among these. However many rows fail a test, no task ranks them
+    all; for small ``n`` Spark cuts each step short in front of its shuffle too.
     """
     failing = F.array_compact(F.array(*[F.when(mask, F.lit(test_id)) for test_id, mask in masks.items()]))
-    bad = few_tasks(df.filter(fold(list(masks.values()), lambda a, b: a | b)), n)
+    bad = df.filter(fold(list(masks.values()), lambda a, b: a | b))
     tagged = bad.select(F.struct("*").alias("row"), F.explode(failing).alias("test_id"))
-    order = [F.col("row")[k] for k in key] or [F.xxhash64("row")]
-    ranked = tagged.withColumn("place", F.row_number().over(Window.partitionBy("test_id").orderBy(*order)))
-    return ranked.filter(F.col("place") <= n).select("test_id", "row")
+    # The text of a row also orders rows with maps, which have no hash.
+    tagged = tagged.withColumn("digest", F.xxhash64(F.to_json("row")))
+    order = [*[F.col("row")[k] for k in key], F.col("digest")]
+    parts = tagged.withColumn("part", F.pmod("digest", F.lit(SAMPLE_PARTS)))
+    for within in (["test_id", "part"], ["test_id"]):
+        place = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+        parts = parts.withColumn("place", place).filter(F.col("place") <= n).drop("place")
+    return parts.select("test_id", "row")
 
 
 def investigate_duplicates(
@@ -84,8 +91,9 @@ def investigate_duplicates(
     """The first ``n`` rows whose ``columns`` occur more than once.
 
     Each of these rows belongs to one of the ``n`` repeated keys whose first row comes earliest, so
-    those keys are found with one pre-aggregated ``groupBy`` and broadcast (never more than ``n``
-    rows), and the second pass over the data shuffles nothing, however hot a key is.
+    those keys are found with one pre-aggregated ``groupBy``, and the second pass over the data looks
+    them up. There are ``n`` of them at most, so Spark broadcasts them by its own size check unless
+    ``n`` is large, and then splits hot keys at run time.
     ``digest`` groups long texts by their SHA-256.
     """
     columns = _keys(columns)
@@ -105,7 +113,7 @@ def investigate_duplicates(
     )
     same = fold([F.col(f"k{i}").eqNullSafe(F.col(f"r{i}")) for i in range(len(columns))],
                 lambda a, b: a & b)
-    return _first(marked.join(F.broadcast(repeated), same, "left_semi").select("row.*"), key, n)
+    return _first(marked.join(repeated, same, "left_semi").select("row.*"), key, n)
 
 
 def duplicate_total(df: DataFrame, columns: str | Sequence[str], digest: bool = False) -> DataFrame:

@@ -23,18 +23,27 @@ from dqspark.operators.scan import first_line
 from dqspark.plans.deliveries import verdict
 from dqspark.plans.result import SuiteResult, consolidate
 from dqspark.plans.suite import run_suite
-from dqspark.sources.readers import load
+from dqspark.sources.readers import file_columns, load
 from dqspark.sources.registry import DatasetRegistry
 
 
 @dataclass
 class Delivery:
-    """What became of a delivery. ``status`` is ERROR, REJECTED, DQ_FAILED or DQ_SUCCESS."""
+    """What became of a delivery. ``status`` is ERROR, REJECTED, DQ_FAILED or DQ_SUCCESS.
+
+    ``errors`` are those of its files; of its checks, ``errored`` counts those that broke, and
+    ``broken`` lists them with their messages.
+    """
     submission_id: str
     status: str
     accepted: bool
     errors: list[str] = field(default_factory=list)
     result: SuiteResult | None = None
+    errored: int = 0
+
+    @property
+    def broken(self) -> DataFrame | None:
+        return None if self.result is None else self.result.tests.filter("status = 'ERROR'")
 
 
 def process_delivery(
@@ -67,8 +76,8 @@ def process_delivery(
     merged = results[0][1] if len(results) == 1 else consolidate(results)
     judged = verdict(merged.tests.withColumn("submission_id", F.lit(submission_id))).first()
     status = judged["verdict"] if judged else "DQ_SUCCESS"
-    failed = [f"{r['test_id']}: {r['message']}" for r in merged.tests.filter("status = 'ERROR'").take(100)]
-    return Delivery(submission_id, status, accept_by_hand or status == "DQ_SUCCESS", failed, merged)
+    errored = judged["dq_errors"] if judged else 0
+    return Delivery(submission_id, status, accept_by_hand or status == "DQ_SUCCESS", [], merged, errored)
 
 
 def _file_errors(specs: Mapping[str, Mapping[str, Any]], files: Mapping[str, str]) -> list[str]:
@@ -89,10 +98,10 @@ def _file_errors(specs: Mapping[str, Mapping[str, Any]], files: Mapping[str, str
 
 
 def _load(spark: SparkSession, spec: Mapping[str, Any], path: str) -> DataFrame:
-    df = load(spark, path, spec.get("format"), schema=spec.get("schema"), options=spec.get("options"),
-              null_tokens=spec.get("null_tokens") or ())
     if spec.get("schema_validation"):
-        absent = [c for c in spec.get("expected_columns") or [] if c not in df.columns]
+        there = set(file_columns(spark, path, spec.get("format"), spec.get("options")))
+        absent = [c for c in spec.get("expected_columns") or [] if c not in there]
         if absent:
             raise ValueError(f"columns are missing: {', '.join(absent)}")
-    return df
+    return load(spark, path, spec.get("format"), schema=spec.get("schema"), options=spec.get("options"),
+                null_tokens=spec.get("null_tokens") or ())

@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from dqspark.functions.frames import first_rows
 from dqspark.functions.predicates import pick_where, resolve_columns
 from dqspark.functions.value_filters import keep_column
 from dqspark.functions.values import named, number
@@ -118,8 +117,6 @@ def sample_failures(run, tests, planned, rows):
             sampled.append(([test["id"]], samples[test["id"]].select(
                 F.lit(test["id"]).alias("test_id"), F.struct("*").alias("row"))))
         else:
-            bad = kept.filter(suspects.mask)
-            samples[test["id"]] = first_rows(bad, [named(k) for k in order], n)
             mask = suspects.mask if suspects.keep is None else suspects.keep & suspects.mask
             shared.setdefault((suspects.dataset, tuple(order)), {})[test["id"]] = mask
         report.append((test["id"], test["type"], suspects.description, suspects.dataset, total,
@@ -127,4 +124,7 @@ def sample_failures(run, tests, planned, rows):
     for (dataset, order), masks in shared.items():
         frame = investigate.samples_of_masks(run.registry[dataset], masks, order, n)
         sampled.append((list(masks), frame))
+        for test_id, mask in masks.items():
+            samples[test_id] = investigate.samples_of_masks(
+                run.registry[dataset], {test_id: mask}, order, n).select("row.*")
     return samples, sampled, report

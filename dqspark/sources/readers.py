@@ -9,14 +9,12 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dqspark.functions.frames import first_rows, local_frame
 from dqspark.functions.predicates import resolve_columns
 from dqspark.functions.values import how_many, named
 
-TOP_N_LIMIT = 100_000  # rows a random draw takes as a top-n
-
 _SUFFIXES = {
     ".parquet": "parquet", ".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl",
 }
@@ -85,25 +83,56 @@ def _read_text(spark, src, fmt, schema, options, null_tokens) -> DataFrame:
     options = {"header": True, **options}
     if fmt == "tsv":
         options["sep"] = "\t"
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     if not null_tokens:
-        if schema is not None:
-            return spark.read.options(**options).schema(schema).csv(src)
-        return spark.read.options(inferSchema=True, **options).csv(src)
+        if wanted is None:
+            return spark.read.options(inferSchema=True, **options).csv(src)
+        if str(options["header"]).lower() != "true":
+            return spark.read.options(**options).schema(wanted).csv(src)
+        return _read_by_name(spark, src, options, wanted)
     raw = spark.read.options(inferSchema=False, **options).csv(src)
     raw = raw.select(*[
         F.when(~F.trim(named(c)).isin(list(null_tokens)), named(c)).alias(c) for c in raw.columns
     ])
-    if schema is None:
+    if wanted is None:
         return _infer_types(raw)
-    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    _refuse_absent([f.name for f in wanted.fields], raw.columns)
     return raw.select(*[named(f.name).try_cast(f.dataType).alias(f.name) for f in wanted.fields])
 
 
+def _read_by_name(spark, src, options, wanted: T.StructType) -> DataFrame:
+    """Columns found by the header's names, whatever their order; a file with another header is an error."""
+    header = spark.read.options(inferSchema=False, **options).csv(src).columns
+    _refuse_absent([f.name for f in wanted.fields], header)
+    kinds = {f.name.lower(): f.dataType for f in wanted.fields}
+    given = T.StructType([T.StructField(c, kinds.get(c.lower(), T.StringType())) for c in header])
+    raw = spark.read.options(**{"enforceSchema": False, **options}).schema(given).csv(src)
+    return raw.select(*[named(f.name).alias(f.name) for f in wanted.fields])
+
+
+def _refuse_absent(expected: Sequence[str], present: Sequence[str]) -> None:
+    there = {c.lower() for c in present}
+    absent = [c for c in expected if c.lower() not in there]
+    if absent:
+        raise ValueError(f"columns are missing: {', '.join(absent)}")
+
+
+def file_columns(
+    spark: SparkSession, src: str, fmt: str | None = None, options: dict[str, Any] | None = None,
+) -> list[str]:
+    """The columns a file itself has: a text file's header, without reading on, or the schema of others."""
+    fmt = fmt or _SUFFIXES.get(posixpath.splitext(src.rstrip("/"))[1].lower())
+    if fmt in ("csv", "tsv"):
+        given = {"header": True, **({"sep": "\t"} if fmt == "tsv" else {}), **(options or {})}
+        return spark.read.options(inferSchema=False, **given).csv(src).columns
+    return load(spark, src, fmt, options=options).columns
+
+
 def _infer_types(raw: DataFrame) -> DataFrame:
-    """Long, double or timestamp for the text columns whose every value reads as one, in one scan."""
-    candidates = ("bigint", "double", "timestamp")
+    """The first of Spark's own candidates that every value of a text column reads as, in one scan."""
+    candidates = ("int", "bigint", "double", "date", "timestamp", "boolean")
     fits = raw.agg(*[
-        how_many(named(c).isNotNull() & named(c).try_cast(t).isNull()).alias(f"{i}_{t}")
+        how_many(named(c).isNotNull() & ~_reads_as(named(c), t)).alias(f"{i}_{t}")
         for i, c in enumerate(raw.columns) for t in candidates
     ] + [F.count(named(c)).alias(f"{i}_n") for i, c in enumerate(raw.columns)]).first()
     chosen = []
@@ -113,6 +142,13 @@ def _infer_types(raw: DataFrame) -> DataFrame:
     return raw.select(*chosen)
 
 
+def _reads_as(text: Column, kind: str) -> Column:
+    """Whether text is a value of a type as the CSV reader infers it, which is stricter than a cast."""
+    forms = {"date": r"^\d{4}-\d{1,2}-\d{1,2}$", "boolean": "(?i)^(true|false)$"}
+    fits = text.try_cast(kind).isNotNull()
+    return fits & text.rlike(forms[kind]) if kind in forms else fits
+
+
 def sample(
     df: DataFrame,
     mode: str = "head",
@@ -123,10 +159,8 @@ def sample(
 ) -> DataFrame:
     """``full``: all rows; ``head``: the first rows by key; ``random``: a repeatable random draw.
 
-    The random draw takes the rows with the smallest hash of key and seed, so it is the same
-    however the rows are partitioned. Both are a top-n: each task keeps only ``limit`` rows. A random
-    draw of more than ``TOP_N_LIMIT`` rows is cut by hash ranges instead, which sends no row through
-    a single task.
+    The random draw takes the rows with the smallest MD5 of seed and key, so it is the same however
+    the rows are partitioned, and in any engine. Both are a top-n: each task keeps only ``limit`` rows.
     """
     kept = resolve_columns(df, columns)
     if mode == "full":
@@ -135,31 +169,13 @@ def sample(
         raise ValueError(f"sampling mode '{mode}' needs a key that orders the rows")
     order = [named(k) for k in ([key] if isinstance(key, str) else key)]
     if mode == "random":
-        order = [F.xxhash64(*order, F.lit(seed)), *order]
-        if limit > TOP_N_LIMIT:
-            return _draw_by_ranges(df, order, limit).select(*[named(c) for c in kept])
+        parts = [F.coalesce(o.cast("string"), F.lit("")) for o in order]
+        order = [F.md5(F.concat_ws("|", F.lit(str(seed)), *parts)), *order]
     elif mode != "head":
         raise ValueError(f"unknown sampling mode '{mode}': use full, head or random")
     return first_rows(df, order, limit).select(*[named(c) for c in kept])
 
 
-def _draw_by_ranges(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    """The ``limit`` rows with the smallest hashes, ``order[0]``, as :func:`sample` draws them.
-
-    Counting the rows per range of hashes, of which there are at most a million, tells which ranges
-    belong to the draw as a whole; only in the one range that is split are rows put in order.
-    """
-    reach = F.shiftright(order[0], 44)
-    counts = df.groupBy(reach.alias("reach")).agg(F.count(F.lit(1)).alias("n"))
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("reach")))
-    cut = running.filter(F.col("upto") >= limit).orderBy("reach").select("reach", "upto", "n").first()
-    if cut is None:
-        return df
-    left = limit - (cut["upto"] - cut["n"])
-    return df.filter(reach < cut["reach"]).unionByName(
-        first_rows(df.filter(reach == cut["reach"]), order, left))
-
-
 def preview(df: DataFrame, n: int = 10, key: str | Sequence[str] | None = None) -> DataFrame:
     """The first rows, by key when one is given."""
     return first_rows(df, [], n) if key is None else sample(df, "head", n, key=key)

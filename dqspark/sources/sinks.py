@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import posixpath
 from typing import TYPE_CHECKING
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from dqspark.functions.frames import local_frame
+from dqspark.functions.value_filters import PRECHECK_SCHEMA
 
 if TYPE_CHECKING:
     from dqspark.plans.result import SuiteResult
 
-SAMPLE_ROWS_WRITTEN = 1000  # rows of each sample the result sink keeps
-
-
 def write_sample(df: DataFrame, folder: str, test_id: str, suffix: str, stamp: str) -> str:
     """One sample as CSV with a header; returns its path."""
     path = posixpath.join(folder, f"{test_id}_{suffix}_{stamp}.csv")
@@ -23,30 +24,31 @@ def write_sample(df: DataFrame, folder: str, test_id: str, suffix: str, stamp: s
 def write_results(result: SuiteResult, path: str, fmt: str = "parquet") -> dict[str, str]:
     """The tables of a run, one folder each, partitioned by run_id; returns their paths.
 
-    A rerun of the same run replaces only its own partition. Samples keep at most 1000 rows each,
-    as JSON rows so that samples of different datasets fit one table, and those of one dataset are
-    drawn in one scan of it; tests whose id contains "script" are left out of them.
+    A rerun replaces its own partition of every table and no other, also where it has nothing to
+    write now. Samples are whole, as JSON rows so that samples of different datasets fit one table;
+    those of one dataset are drawn in one scan of it.
     """
-    place = F.row_number().over(Window.partitionBy("test_id").orderBy("row"))
-    samples = None
+    samples = local_frame(result.spark, [], "test_id string, row string")
     for _, frame in result.sampled:
-        rows = frame.filter(~F.lower("test_id").contains("script")).select("test_id", F.to_json("row").alias("row"))
-        samples = rows if samples is None else samples.unionByName(rows)
-    if samples is not None:
-        samples = samples.withColumn("place", place).filter(F.col("place") <= SAMPLE_ROWS_WRITTEN).drop("place")
+        samples = samples.unionByName(frame.select("test_id", F.to_json("row").alias("row")))
+    prechecks = result.prechecks
+    if prechecks is None:
+        prechecks = local_frame(result.spark, [], PRECHECK_SCHEMA).withColumn("metric_id", F.lit(None).cast("string"))
     written = {}
     for name, df in {
         "summary": result.summary(), "metrics": result.metrics, "tests": result.tests,
         "details": result.details, "investigations": result.investigations,
-        "prechecks": result.prechecks, "samples": samples,
+        "prechecks": prechecks, "samples": samples,
     }.items():
-        if df is not None:
-            written[name] = posixpath.join(path, name)
-            overwrite_part(df.withColumn("run_id", F.lit(result.run_id)), written[name], "run_id", fmt)
+        written[name] = posixpath.join(path, name)
+        replace_part(df, written[name], "run_id", result.run_id, fmt)
     return written
 
 
-def overwrite_part(df: DataFrame, path: str, part: str, fmt: str = "parquet") -> None:
-    """Replace the partitions a frame holds and no others, in files of a sensible size."""
-    (df.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy(part).format(fmt).save(path))
+def replace_part(df: DataFrame, path: str, part: str, value: str | int, fmt: str = "parquet") -> None:
+    """Make a frame's rows the whole of one partition of a table, in files of a sensible size.
+
+    The partition's own folder is overwritten, so that no rows are left in it if there are none now.
+    """
+    folder = posixpath.join(path, f"{part}={quote(str(value), safe=' -_.~')}")
+    df.hint("rebalance").write.mode("overwrite").format(fmt).save(folder)

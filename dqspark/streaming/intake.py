@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dqspark.plans.deliveries import verdict
 from dqspark.plans.suite import run_suite
-from dqspark.sources.readers import work_folder
-from dqspark.sources.sinks import overwrite_part
+from dqspark.sources.sinks import replace_part
 
 
 def watch_deliveries(
@@ -37,11 +36,16 @@ def watch_deliveries(
 
     Batches keep no state, so there is no watermark. A batch repeated after a failure writes the
     same ``batch_id`` partitions again and so changes nothing. ``references`` are the other
-    datasets the suite reads. The folder's schema is fixed, as a file stream asks for.
+    datasets the suite reads. The folder's schema is fixed, as a file stream asks for: a CSV file whose
+    header names other columns, or the same in another order, makes its batch an error instead of being
+    read into the wrong columns.
+
+    What has been read is remembered below ``sink`` unless ``checkpoint`` names another place, so a
+    query started again goes on with new files and new batch ids.
     """
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False)
     reader = reader.options(**dict(options or {}))
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -52,11 +56,10 @@ def watch_deliveries(
             session, {**(references or {}), alias: rows}, suite, run_id=f"batch_{batch_id}", investigations=False)
         decided = verdict(result.tests.withColumn("submission_id", F.lit(f"batch_{batch_id}")))
         for name, table in {"metrics": result.metrics, "tests": result.tests, "verdicts": decided}.items():
-            overwrite_part(table.withColumn("batch_id", F.lit(batch_id).cast("bigint")),
-                           posixpath.join(sink, name), "batch_id")
+            replace_part(table, posixpath.join(sink, name), "batch_id", batch_id)
         result.release()
 
     writer = (
         reader.load(path).writeStream.foreachBatch(check_batch)
-        .option("checkpointLocation", checkpoint or work_folder(spark, "intake")))
+        .option("checkpointLocation", checkpoint or posixpath.join(sink, "_checkpoint")))
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dqspark.functions import local_frame
 from dqspark.plans import (
     channel_stats, definition_stats, definition_values, filename_check, flatten_inventory,
     missing_files, process_delivery, recent, verdict, zone_counts,
@@ -106,7 +107,7 @@ def definition_lists(spark, sf):
 
 def delivery_run(spark, sf):
     """Two files of one channel, put through two suites and judged."""
-    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders").drop("o_orderdate")
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
     folder = work_folder(spark, "delivery")
     customers.write.csv(f"{folder}/customers", header=True)
     orders.write.json(f"{folder}/orders")
@@ -128,6 +129,30 @@ def delivery_run(spark, sf):
         F.lit(done.status).alias("delivery_status"), F.lit(done.accepted).alias("accepted"), "test_id", "value", "status")
 
 
+def delivery_columns(spark, sf):
+    """Three deliveries of one file: as declared, without a column, and with columns in another order."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_brand")
+    folder = work_folder(spark, "columns")
+    parts.write.csv(f"{folder}/whole", header=True)
+    parts.drop("p_retailprice").write.csv(f"{folder}/lacking", header=True)
+    parts.select("p_brand", "p_retailprice", "p_partkey").write.csv(f"{folder}/swapped", header=True)
+    channel = {
+        "channel_id": "parts",
+        "files": [{"file_id": "part", "name": "Parts", "format": "csv", "schema": parts.schema,
+                   "schema_validation": True, "expected_columns": parts.columns}],
+        "suites": [{"id": "sums", "metrics": [
+            {"id": "keys", "type": "sum", "dataset": "part", "column": "p_partkey"},
+            {"id": "dearest", "type": "max", "dataset": "part", "column": "p_retailprice"}]}]}
+    rows = None
+    for name in ("whole", "lacking", "swapped"):
+        done = process_delivery(spark, channel, name, {"part": f"{folder}/{name}"})
+        found = local_frame(spark, [("error", None)], "metric_id string, value double") if done.result is None \
+            else done.result.metrics.select("metric_id", "value")
+        found = found.select(F.lit(name).alias("delivery"), F.lit(done.status).alias("status"), "metric_id", "value")
+        rows = found if rows is None else rows.unionByName(found)
+    return rows
+
+
 INTAKE_SUITE = {
     "metrics": [
         {"id": "rows", "type": "row_count"},
@@ -137,14 +162,15 @@ INTAKE_SUITE = {
 
 
 def stream_intake(spark, sf):
-    """Orders landing as CSV files, checked batch by batch; the batches' counts add up to the table."""
-    orders = table(spark, sf, "orders").drop("o_orderdate")
+    """Orders landing as CSV files, half of them while the query rests; its batches add up to the table."""
+    orders = table(spark, sf, "orders")
     landing, sink = work_folder(spark, "landing"), work_folder(spark, "intake-results")
-    orders.write.csv(landing, header=True)
-    query = watch_deliveries(
-        spark, landing, INTAKE_SUITE, sink, schema=orders.schema, alias="orders", files_per_batch=1000,
-        available_now=True)
-    query.awaitTermination()
+    for half in (0, 1):
+        orders.filter(F.col("o_orderkey") % 2 == half).write.mode("append").csv(landing, header=True)
+        query = watch_deliveries(
+            spark, landing, INTAKE_SUITE, sink, schema=orders.schema, alias="orders", files_per_batch=1000,
+            available_now=True)
+        query.awaitTermination()
     metrics = spark.read.parquet(f"{sink}/metrics").groupBy(F.col("metric_id").alias("id")).agg(
         F.sum("value").alias("value"))
     tests = spark.read.parquet(f"{sink}/tests").groupBy(F.col("test_id").alias("id")).agg(
@@ -157,7 +183,8 @@ QUERIES = {
     "submission_verdict": submission_verdict, "channel_stats": channel_statistics,
     "recent_submissions": recent_submissions, "flatten_inventory": inventory_rows,
     "zone_counts": counts_per_zone, "definition_stats": definition_totals,
-    "definition_values": definition_lists, "delivery_run": delivery_run, "stream_intake": stream_intake,
+    "definition_values": definition_lists, "delivery_run": delivery_run,
+    "delivery_columns": delivery_columns, "stream_intake": stream_intake,
 }
 
 _ZONES = """
@@ -185,6 +212,11 @@ _TOTALS = """select count(*) as total_definitions, sum(metrics_count)::bigint as
         select unnest(datasets) as x from {source})) as total_datasets, '{asked}' as asked from {source}"""
 
 ORACLES = {
+    "delivery_columns": """
+        select delivery, 'DQ_SUCCESS' as status, metric_id, value from (values ('whole'), ('swapped')) d(delivery), (
+            select 'keys' as metric_id, sum(p_partkey)::double as value from part
+            union all select 'dearest', max(p_retailprice)::double from part)
+        union all select 'lacking', 'ERROR', 'error', null""",
     "missing_files": """
         with e as (select o_orderkey as submission_id, o_orderpriority as channel_id, f as file_id
                    from orders, (select unnest([1, 2]) as f))

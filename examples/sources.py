@@ -78,6 +78,34 @@ def sample_random(spark, sf):
     return sample(table(spark, sf, "events"), "random", 500, ["event_id", "event_type"], "event_id", seed=7)
 
 
+def scan_parquet_full(spark, sf):
+    return load(spark, f"{sf}/orders.parquet")
+
+
+def scan_json_array(spark, sf):
+    """Each file one array of records, as other tools write them."""
+    parts = table(spark, sf, "supplier")
+    path = work_folder(spark, "array")
+    records = parts.groupBy(F.pmod(F.xxhash64("s_suppkey"), F.lit(4)).alias("file")).agg(
+        F.to_json(F.collect_list(F.struct(*parts.columns))).alias("value"))
+    records.write.partitionBy("file").text(path)
+    return load(spark, path, "json", schema=parts.schema).drop("file")
+
+
+def sink_samples(spark, sf):
+    """Every table of a run read back: the samples are as long as the reports say."""
+    suite = {**RESULT_SUITE, "keys": {"customer": "c_custkey"}, "globals": {"sample_size": 3000}, "tests": [
+        {"id": "script_free", "type": "threshold", "metric": "negative", "operator": "<=", "value": 0},
+        {"id": "named", "type": "interval_check", "metric_id": "segment_missing", "upper": 0}]}
+    paths = write_results(run_suite(spark, {"customer": dirty_customer(spark, sf)}, suite, run_id="r1"),
+                          work_folder(spark, "results"))
+    read = {name: spark.read.parquet(path) for name, path in paths.items()}
+    rows = read["samples"].groupBy("run_id", "test_id").agg(F.count(F.lit(1)).alias("rows"))
+    return read["tests"].select("run_id", "test_id", "status").join(
+        read["investigations"].select("test_id", "total_problematic_rows", "sample_size"), "test_id").join(
+        rows, ["run_id", "test_id"])
+
+
 def profile_schema(spark, sf):
     lineitem = table(spark, sf, "lineitem")
     filled = compute_metrics(lineitem, [
@@ -197,7 +225,8 @@ QUERIES = {
     "scan_memory": scan_memory, "scan_query": scan_query, "sample_head": sample_head,
     "sample_random": sample_random, "schema_table": profile_schema, "preview": first_rows,
     "registry_lookup": registry_lookup, "virtual_dataset": virtual_dataset, "sink_csv": sink_csv,
-    "sink_results": sink_results, "value_filter": value_filter,
+    "sink_results": sink_results, "sink_samples": sink_samples, "scan_parquet_full": scan_parquet_full,
+    "scan_json_array": scan_json_array, "value_filter": value_filter,
     "value_filter_check": value_filter_check, "value_filter_prechecks": filter_prechecks,
 }
 
@@ -214,6 +243,17 @@ ORACLES = {
     "scan_parquet": "select o_orderkey, o_orderstatus, o_totalprice from orders where o_totalprice > 400000",
     "scan_fallback": "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal from customer",
     "scan_csv": "select * from part",
+    "scan_parquet_full": "select * from orders",
+    "scan_json_array": "select * from supplier",
+    "sample_random": """
+        select event_id, event_type from events order by md5('7|' || cast(event_id as varchar)), event_id limit 500""",
+    "sink_samples": f"""
+        with d as ({DIRTY_SQL}),
+        n as (select count(*) filter (c_acctbal < 0) as negative,
+                     count(*) filter (c_mktsegment is null or trim(c_mktsegment) = '') as missing from d)
+        select 'r1' as run_id, 'script_free' as test_id, 'FAIL' as status, negative as total_problematic_rows,
+               least(negative, 3000) as sample_size, least(negative, 3000) as rows from n
+        union all select 'r1', 'named', 'FAIL', missing, least(missing, 3000), least(missing, 3000) from n""",
     "scan_tsv": "select * from supplier",
     "scan_json": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders",
     "scan_table": "select * from labels",

@@ -1,3 +1,4 @@
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -182,3 +183,33 @@ def test_process_delivery(spark, tmp_path):
     (tmp_path / "sales_x.csv").write_text("x\n1\n")
     assert deliver({"f1": "sales_x.csv"}, suite).errors == ["Sales: columns are missing: id, amount"]
     assert deliver({"f1": "sales_none.csv"}, suite).status == "ERROR"
+    many = {"id": "m", "metrics": broken["metrics"],
+            "tests": [{"id": f"odd{i}", "type": "odd", "metric_id": "m"} for i in range(130)]}
+    errored = deliver(both, many)
+    assert (errored.status, errored.errored, errored.broken.count(), errored.errors) == ("ERROR", 130, 130, [])
+
+
+def test_declared_columns_are_looked_for_in_the_file(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("customer,amount\n1,2\n")
+    channel = {"channel_id": "c", "files": [
+        {"file_id": "f", "name": "F", "format": "csv", "schema": "id int, amount int, branch string",
+         "schema_validation": True, "expected_columns": ["id", "amount", "branch"]}]}
+    done = process_delivery(spark, channel, "s", {"f": str(tmp_path / "f.csv")})
+    assert (done.status, done.errors) == ("ERROR", ["F: columns are missing: id, branch"])
+
+
+def test_a_stream_started_again_goes_on(spark, tmp_path):
+    landing, sink = tmp_path / "in", str(tmp_path / "out")
+    landing.mkdir()
+    suite = {"metrics": [{"id": "n", "type": "sum", "column": "id"}]}
+    for i in range(2):
+        (landing / f"f{i}.csv").write_text("id,amount\n" + "1,2\n" * (i + 2))
+        watch_deliveries(spark, str(landing), suite, sink, schema="id int, amount int", alias="d",
+                         available_now=True).awaitTermination()
+    got = spark.read.parquet(f"{sink}/metrics").select("batch_id", "value").collect()
+    assert sorted(map(tuple, got)) == [(0, 2.0), (1, 3.0)]
+    (landing / "g.csv").write_text("amount,id\n1,2\n")
+    watch_deliveries(spark, str(landing), suite, sink, schema="id int, amount int", alias="d",
+                     available_now=True).awaitTermination()
+    swapped = spark.read.parquet(f"{sink}/metrics").filter("batch_id = 2").first()
+    assert (swapped["status"], swapped["value"]) == ("ERROR", None)

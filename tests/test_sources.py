@@ -2,6 +2,7 @@ import json
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
 
 from dqspark import DatasetRegistry, load, run_suite
@@ -93,10 +94,9 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert rows(schema_table(df)) == [{"position": 0, "column": "k", "type": "bigint"}]
 
 
-def test_a_large_draw_takes_the_same_rows(spark, monkeypatch):
+def test_a_large_draw_takes_the_same_rows(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
     want = {n: {r["k"] for r in sample(df, "random", n, key="k", seed=2).collect()} for n in (1, 777, 4999, 5000)}
-    monkeypatch.setattr("dqspark.sources.readers.TOP_N_LIMIT", 0)
     for n, ids in want.items():
         got = [r["k"] for r in sample(df.repartition(6), "random", n, key="k", seed=2).collect()]
         assert len(got) == n and set(got) == ids
@@ -138,7 +138,8 @@ def test_sinks(spark, tmp_path):
     metrics = spark.read.parquet(paths["metrics"])
     assert {(r["run_id"], r["metric_id"]) for r in metrics.collect()} == {("r1", "m"), ("r2", "m")}
     samples = spark.read.parquet(paths["samples"]).filter("run_id = 'r1'").collect()
-    assert {r["test_id"] for r in samples} == {"t"} and len(samples) == 6
+    assert {r["test_id"] for r in samples} == {"t", "my_script_test"}
+    assert sum(r["test_id"] == "t" for r in samples) == 6
     report = investigation_report(result, str(tmp_path / "samples"), "20250101").collect()
     assert {r["sample_file"].rsplit("/", 1)[1] for r in report} == {
         "t_sample_20250101.csv", "my_script_test_sample_20250101.csv"}
@@ -195,3 +196,27 @@ def test_value_filter_problems(spark):
     frame, reason = value_filter_prechecks(spark, "f", schema, {"conditions": good[:1], "default": True}, "sales", "raw")
     assert reason is None
     assert [(r["control_id"], r["result"]) for r in frame.collect()] == [("SAL_RAW_T-001", "Pass"), ("SAL_RAW_T-002", "Pass")]
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("amount,id,more\n8,2,x\n9,3,y\n")
+    df = load(spark, str(tmp_path / "a.csv"), schema="id int, amount double")
+    assert rows(df, "id") == [{"id": 2, "amount": 8.0}, {"id": 3, "amount": 9.0}]
+    with pytest.raises(ValueError, match="branch"):
+        load(spark, str(tmp_path / "a.csv"), schema="id int, branch string")
+    with pytest.raises(ValueError, match="branch"):
+        load(spark, str(tmp_path / "a.csv"), schema="id int, branch string", null_tokens=["NA"])
+
+
+def test_null_tokens_do_not_change_the_types(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b,c,d\n1,true,1.5,2024-01-02\n2,false,2,2024-02-03\n")
+    plain, tokens = (load(spark, str(tmp_path / "t.csv"), null_tokens=t) for t in ((), ("NA",)))
+    assert plain.dtypes == tokens.dtypes
+
+
+@pytest.mark.parametrize("n", (100, 10_000, 1_000_000))
+def test_first_rows_are_cut_in_every_task_and_the_scan_keeps_its_tasks(spark, n):
+    df = spark.range(0, 1000, numPartitions=8).select(F.explode(F.array("id")).alias("k"))  # of unknown length
+    for frame in (sample(df, "head", n, key="k"), sample(df, "random", n, key="k"), preview(df, n, "k")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Coalesce" not in plan and ("TakeOrderedAndProject" in plan or "LocalLimit" in plan)

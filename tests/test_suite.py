@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from dqspark import DatasetRegistry, check, consolidate, metric, run_suite
 from dqspark.functions import local_frame
+from dqspark.sources import write_results
 from dqspark.operators import METRIC_TYPES
 from dqspark.operators.scan import collect_values
 from dqspark.plans import (
@@ -383,3 +386,32 @@ def test_nothing_to_compute(spark, people):
     result = run_suite(spark, {"people": people}, {})
     assert result.metrics.count() == result.tests.count() == 0
     assert rows(run_summary(result))[0]["status"] == "SUCCESS"
+
+
+def test_written_samples_are_whole_and_a_rerun_leaves_none_behind(spark, tmp_path):
+    suite = {"id": "s", "keys": {"d": "id"}, "metrics": [{"id": "m", "type": "missing_rate", "dataset": "d", "column": "v"}],
+             "tests": [{"id": "script_like", "type": "interval_check", "metric_id": "m", "upper": 0}]}
+    df = spark.range(4000).selectExpr("id", "cast(null as string) as v", "map('a', id) as m")
+    for run in ("r1", "r2"):
+        result = run_suite(spark, {"d": df}, suite, run_id=run, sample_rows=3000)
+        paths = write_results(result, str(tmp_path))
+    written = spark.read.parquet(paths["samples"]).filter("run_id = 'r1'")
+    ids = [json.loads(r["row"])["id"] for r in written.collect()]
+    assert sorted(ids) == list(range(3000))
+    assert sorted(r["id"] for r in result.samples["script_like"].collect()) == list(range(3000))
+    unkeyed = run_suite(spark, {"d": df}, {**suite, "keys": {}}, sample_rows=50)
+    (_, frame), = unkeyed.sampled
+    assert {r["id"] for r in unkeyed.samples["script_like"].collect()} == {r["row"]["id"] for r in frame.collect()}
+    clean = run_suite(spark, {"d": df.withColumn("v", F.lit("x"))}, suite, run_id="r1")
+    paths = write_results(clean, str(tmp_path))
+    for name in ("samples", "investigations"):
+        assert [r["run_id"] for r in spark.read.parquet(paths[name]).select("run_id").distinct().collect()] == ["r2"]
+
+
+def test_no_bound_is_nan(spark):
+    df = spark.range(5)
+    tests = [{"id": "a", "type": "interval_check", "metric_id": "n", "upper": "nan"},
+             {"id": "b", "type": "interval_check", "dataset": "d", "columns": ["id"], "upper": float("nan")},
+             {"id": "c", "type": "threshold", "metric": "n", "operator": "!=", "value": "nan"}]
+    result = run_suite(spark, {"d": df}, {"id": "s", "metrics": [{"id": "n", "type": "row_count", "dataset": "d"}], "tests": tests})
+    assert {r["status"] for r in result.tests.collect()} <= {"FAIL", "ERROR"}
