@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from dqspark.llm.common import keep, unboxed
+from dqspark.llm.shingles import mix
 from dqspark.llm.suffix import common_prefixes, joined, suffix_array
 
 GRAM = 32                 # bytes of the hashes of which each string's smallest is taken
@@ -57,6 +58,20 @@ def segments(raw: bytes, length: int) -> list[tuple[int, int, int, bool]]:
     return list(zip(m[at].astype(np.int64).tolist(), at.tolist(), last.tolist(), again))
 
 
+def string_hashes(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the ``length``-byte strings at these places, from running sums of the text's bytes times powers."""
+    out = []
+    n = len(text)
+    for base, seed in ((0x9E3779B97F4A7C15, 1), (0xD6E8FEB86659FD93, 2)):
+        table = mix(np.arange(256, dtype=np.uint64) + np.uint64(seed << 32))
+        power = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64)
+        sums = np.r_[np.uint64(0), np.cumsum(table[text] * power, dtype=np.uint64)]
+        # divided by the power of the place: its inverse modulo 2^64 is a power of the base's inverse
+        inverse = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(base, -1, 2**64), np.uint64)], dtype=np.uint64)
+        out.append(mix((sums[at + length] - sums[at]) * inverse[at]).view(np.int64))
+    return out[0], out[1]
+
+
 def _raw(t: str | None) -> bytes:
     return t.encode("utf-8", "surrogatepass") if t else b""
 
@@ -129,25 +144,21 @@ def in_shards(segs: DataFrame, length: int) -> DataFrame:
         total = np.add.reduceat(weight[owner], starts) if len(starts) else np.empty(0, np.int64)
         sizes = np.diff(np.r_[starts, len(group)])
         repeated = np.repeat(total > 1, sizes)
-        out = [[] for _ in names]
-
-        def add(*values):
-            for column, value in zip(out, values):
-                column.append(value)
-
         hit = np.lexsort((at[repeated], owner[repeated]))
         o, p = owner[repeated][hit], at[repeated][hit]
         edges = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.empty(0, np.int64)
-        for a, b in zip(edges, np.r_[edges[1:], len(o)]):
-            k = o[a]
-            add(int(anchor[k]), int(sd[k]), _runs(p[a:b] - begins[k], length), None, None, None, None)
-        for s, t in zip(starts, total):
-            k = owner[s]
-            if parts[k] > 1:
-                place = int(at[s] - begins[k])
-                d = xxhash.xxh3_128_intdigest(raw[k][place:place + length])
-                add(int(anchor[k]), int(sd[k]), None, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, int(t), place if t == 1 else None)
-        return pa.table([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
+        runs = [_runs(p[x:y] - begins[o[x]], length) for x, y in zip(edges, np.r_[edges[1:], len(o)])]
+        split = starts[parts[owner[starts]] > 1] if len(starts) else starts
+        of, place = owner[split], at[split] - begins[owner[split]]
+        weights = total[np.searchsorted(starts, split)]
+        hi, lo = string_hashes(text, at[split], length)
+        none, n = len(runs), len(split)
+        columns = [np.r_[anchor[o[edges]], anchor[of]], np.r_[sd[o[edges]], sd[of]], runs + [None] * n]
+        columns += [np.r_[np.zeros(none, np.int64), x] for x in (hi, lo, weights, place)]
+        first = np.arange(none + n) < none
+        alone = np.r_[np.zeros(none, bool), weights == 1]
+        masks = [None, None, None, first, first, first, ~alone]
+        return pa.table([pa.array(x, k, mask=m) if m is not None else pa.array(x, k) for x, k, m in zip(columns, kinds, masks)], names=names)
 
     return segs.groupBy("shard").applyInArrow(
         run, "anchor long, sd long, runs array<struct<from int, to int>>, hi long, lo long, weight long, place int")
@@ -191,9 +202,13 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     distinct = keep(distinct.select("anchor", "sd", "weight", F.col("at.rid").alias("rid"), F.col("at.first").alias("first"), F.col("at.last").alias("last"), "again"), "distinct")
     size = F.col("last") - F.col("first") + length
     # a segment whose anchor stands nowhere else has nothing to equal
-    anchors = distinct.groupBy("anchor").agg(F.sum("weight").alias("all"), F.sum(size.cast("bigint")).alias("total"), F.bool_or("again").alias("again")).where(
-        "all > 1 or again").select("anchor", "total", F.ceil(F.col("total") / SHARD_BYTES).cast("int").alias("parts"))
-    anchors = keep(anchors, "anchors")
+    anchors = distinct.groupBy("anchor").agg(F.sum("weight").alias("all"), F.sum(size.cast("bigint")).alias("total"), F.bool_or("again").alias("again"),
+                                            F.count("*").alias("kinds")).where("all > 1 or again")
+    anchors = keep(anchors.select("anchor", "total", F.ceil(F.col("total") / SHARD_BYTES).cast("int").alias("parts"),
+                                  (F.expr("kinds = 1 and not again")).alias("sole")), "anchors")
+    # equal segments that are all of their anchor have nothing else to equal: their strings stand as often as they do
+    sole = distinct.join(anchors.where("sole"), "anchor").select("anchor", "sd", F.array(F.struct(F.lit(0).alias("from"), size.cast("int").alias("to"))).alias("runs"))
+    anchors = anchors.where("not sole").drop("sole")
     shards = max(1, -(-(anchors.agg(F.sum("total")).first()[0] or 0) // SHARD_BYTES))
     segs = fetched(rows, distinct.drop("again").join(anchors, "anchor"), length)
     shard = F.pmod(F.xxhash64("anchor", F.pmod("sd", "parts")), F.lit(shards))
@@ -202,6 +217,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     classes = found.where("runs is null").select("anchor", "sd", "hi", "lo", "weight", "place")
     if not classes.isEmpty():
         runs = runs.union(merged(classes, length))
+    runs = runs.union(sole)
     spans = runs.groupBy("anchor", "sd").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
     placed = pieces.join(spans, ["anchor", "sd"]).select("rid", F.transform("runs", lambda r: F.struct(
         (r["from"] + F.col("first")).alias("from"), (r["to"] + F.col("first")).alias("to"))).alias("runs"))
@@ -216,8 +232,8 @@ def drop_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length:
     compared as UTF-8 bytes as they were given.
 
     Places are dealt by the smallest hash within the string that starts there. Runs of places with one
-    such anchor are segments; equal segments are one, with a weight. Anchors that stand once are done.
-    The others' segments go to shards of bounded size by their anchor; the suffix array of a shard
+    such anchor are segments; equal segments are one, with a weight. Anchors that stand once are done, and
+    those all of whose segments are equal. The others' segments go to shards of bounded size by their anchor; the suffix array of a shard
     orders its strings and Kasai's lengths group them. An anchor with more segments than a shard should
     hold is dealt over several, whose strings are merged by binary search.
 

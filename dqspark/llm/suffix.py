@@ -48,7 +48,10 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     for k in range(FIRST):
         key = (key << np.uint64(9)) | np.where(left > k, symbols[k:k + n], np.uint64(0))
     ends = left < FIRST
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
+    short = np.flatnonzero(ends[sa])
+    own = sa[short]
+    sa[short] = own[np.lexsort((own, key[own]))]
     ordered = key[sa]
     fresh = np.r_[True, (ordered[1:] != ordered[:-1]) | ends[sa][1:] | ends[sa][:-1]]
     group = np.empty(n, np.int64)
@@ -61,7 +64,7 @@ def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(open_)
         some = sa[at]
         own, ahead = group[some], group[np.minimum(some + h, n - 1)]
-        order = np.argsort((own.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64), kind="stable")
+        order = np.argsort((own.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64))
         some, own, ahead = some[order], own[order], ahead[order]
         sa[at] = some
         fresh = np.r_[True, (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])]
