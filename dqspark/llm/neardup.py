@@ -140,32 +140,77 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct())
 
 
-def links_by_difference(checked: DataFrame, roots: DataFrame, at_least: int) -> DataFrame:
-    """Links ``a``, ``b`` between sets near one pivot of which stars left at least one outside the pivot's component.
-
-    Sets x and y that differ from the pivot by Dx and Dy differ from each other by |Dx| + |Dy| - 2 |Dx & Dy|
-    shingles. A link allows a fixed part c of both sizes, so with w = |D| - c n it needs 2 |Dx & Dy| >= wx + wy,
-    which is above 0 if x is not linked with the pivot. Shingles that stand in one difference only are
-    shared by nobody; sets without enough others left for any partner of their star drop out; what remains
-    meets in an inverted index of the shared shingles, whose counts decide the link exactly.
+def _unsettled(checked: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pivots ``a`` with a near member that links have not brought into their component."""
+    of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+    near = checked.where("near and not linked").select("a", "b").join(of_b, "b", "left").join(of_a, "a", "left")
+    return near.where(F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).select("a").distinct()
+
+
+def centred(checked: DataFrame, at_least: int) -> tuple[DataFrame, DataFrame]:
+    """Sets near one pivot by how they differ from the middle of their star: (``a``, ``b``, ``w``) and their shingles (``a``, ``b``, ``e``).
+
+    Sets that differ from the pivot by Dx and Dy differ from each other by Dx ^ Dy, which stays the same if
+    the shingles in which most members differ from the pivot are swapped in all. What is left, of size d, is
+    small for most. A link allows a fixed part c of both sizes; ``w`` = d - c n is what a set exceeds its own
+    part by.
     """
     c = (100 - at_least) / (100 + at_least)
-    root = roots.toDF("sid", "root")
-    near = checked.where("near").join(root.toDF("b", "root_b"), "b", "left").join(root.toDF("a", "root_a"), "a", "left").select(
-        "a", "b", F.coalesce("root_b", "b").alias("root"), (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("out"),
-        (F.size("apart") - c * F.col("n_b")).alias("w"), "apart")
-    busy = near.groupBy("a").agg(F.count_if("out").alias("outs"), F.count("*").alias("members")).where("outs > 0 and members > 1").select("a")
-    members = keep(near.join(busy, "a", "left_semi"), "members")
-    own = members.select("a", "b", "root", "out", "w", F.explode("apart").alias("e"))
-    for _ in range(3):
-        shared = own.groupBy("a", "e").agg(F.count("*").alias("df"), F.count_if("out").alias("outs")).where("df > 1 and outs > 0").select("a", "e")
-        left = keep(own.join(shared, ["a", "e"], "left_semi"), "shared")
-        m = left.groupBy("a", "b", "out", "w").agg(F.count("*").alias("m")).withColumn("g", 2 * F.col("m") - F.col("w"))
-        star = m.groupBy("a").agg(F.max("g").alias("max_g"), F.min("w").alias("min_w"))
-        live = m.join(star, "a").where(f"out and w <= max_g + {SLACK} and g >= min_w - {SLACK}").select("a", "b", "w", "g")
-        need = live.groupBy("a").agg(F.min("w").alias("least_w"), F.max("g").alias("most_g"))
-        stay = m.join(need, "a").where(f"g >= least_w - {SLACK} and w <= most_g + {SLACK}").select("a", "b").union(live.select("a", "b")).distinct()
-        own = keep(left.join(stay, ["a", "b"], "left_semi"), "left")
+    members = checked.where("near").select("a", "b", F.col("n_b").alias("n"), "apart")
+    crowded = members.groupBy("a").agg(F.count("*").alias("members")).where("members > 1")
+    members = keep(members.join(crowded, "a"), "members")
+    own = members.select("a", "b", "members", F.explode("apart").alias("e"))
+    usual = keep(own.groupBy("a", "e", "members").agg(F.count("*").alias("df")).where("2 * df > members").select("a", "e"), "usual")
+    rare = own.join(usual, ["a", "e"], "left_anti").select("a", "b", "e")
+    lacking = members.select("a", "b").join(usual, "a").join(own.select("a", "b", "e"), ["a", "b", "e"], "left_anti").select("a", "b", "e")
+    shingles = keep(rare.union(lacking), "differences")
+    d = shingles.groupBy("a", "b").agg(F.count("*").alias("d"))
+    sized = members.select("a", "b", "n").join(d, ["a", "b"], "left").select("a", "b", (F.coalesce("d", F.lit(0)) - c * F.col("n")).alias("w"))
+    return keep(sized, "sized"), shingles
+
+
+def links_at_the_middle(sized: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Sure links ``a``, ``b``, with one witness for each set or shingle.
+
+    If w of both together is not above 0, their differences cannot add up to too much; the member with
+    the smallest w has such a link with every other that has one. If it is not above 2, one shingle that
+    both differences hold is enough; of its holders the one with the smallest w links all such others.
+    """
+    top = F.min(F.struct("w", "b")).alias("top")
+    middle = sized.groupBy("a").agg(top)
+    sure = sized.join(middle, "a").where("b <> top.b and w + top.w <= 0").select(F.col("top.b").alias("a"), "b")
+    held = sized.join(shingles, ["a", "b"])
+    witness = held.groupBy("a", "e").agg(top)
+    more = held.join(witness, ["a", "e"]).where("b <> top.b and w + top.w <= 2").select(F.col("top.b").alias("a"), "b")
+    return sure.union(more).distinct()
+
+
+def links_by_difference(sized: DataFrame, shingles: DataFrame, roots: DataFrame, at_least: int) -> DataFrame:
+    """Links ``a``, ``b`` of members outside the component of their star's middle, with one another or with others.
+
+    These need shared differences: 2 |Dx & Dy| >= wx + wy > 0, hence with m shingles left in x that others
+    hold and g = 2 m - w both gx >= wy and gy >= wx. A shingle is dropped from a set if no other holder
+    fulfils this, which lowers m, and so on until none is; what remains meets in an inverted index, whose
+    counts decide the link exactly.
+    """
+    root = roots.toDF("r_sid", "r_root")
+    named = sized.join(root, F.col("b") == F.col("r_sid"), "left").select("a", "b", "w", F.coalesce("r_root", "b").alias("root"))
+    middle = named.groupBy("a").agg(F.min(F.struct("w", "b", "root")).alias("top")).select("a", F.col("top.root").alias("main"))
+    named = named.join(middle, "a").select("a", "b", "w", "root", (F.col("root") != F.col("main")).alias("out"))
+    busy = named.where("out").select("a").distinct()
+    own = keep(named.join(busy, "a", "left_semi").join(shingles, ["a", "b"]), "left")
+    rows = None
+    while (left := own.count()) != rows and left:
+        rows = left
+        m = own.groupBy("a", "b").agg(F.count("*").alias("m"))
+        sided = own.join(m, ["a", "b"]).withColumn("g", 2 * F.col("m") - F.col("w")).drop("m")
+        outer = lambda c: F.when(F.col("out"), F.col(c))
+        of_e = sided.groupBy("a", "e").agg(
+            F.count("*").alias("df"), F.min("w").alias("least_w"), F.max("g").alias("most_g"),
+            F.min(outer("w")).alias("least_out_w"), F.max(outer("g")).alias("most_out_g")).where("df > 1 and least_out_w is not null")
+        own = keep(sided.join(of_e, ["a", "e"]).where(
+            f"out and w <= most_g + {SLACK} and g >= least_w - {SLACK} "
+            f"or w <= most_out_g + {SLACK} and g >= least_out_w - {SLACK}").select("a", "b", "w", "root", "out", "e"), "left")
     x = own.where("out").select("a", "e", F.col("b").alias("x"), F.col("w").alias("w_x"), F.col("root").alias("root_x"))
     y = own.select("a", "e", F.col("b").alias("y"), F.col("w").alias("w_y"), F.col("root").alias("root_y"))
     met = x.join(y, ["a", "e"]).where("root_x <> root_y").groupBy("a", "x", "y", "w_x", "w_y").agg(F.count("*").alias("both"))
@@ -235,7 +280,10 @@ def near_components(rows: DataFrame, k: int, at_least: int, text: str, key: str)
     checked = keep(verified(pairs, sets_for(pairs), at_least), "checked")
     links = checked.where("linked").select("a", "b")
     roots = components(links)
-    more = keep(links_by_difference(checked, roots, at_least), "more")
+    sized, shingles = centred(checked.join(_unsettled(checked, roots), "a", "left_semi"), at_least)
+    links = keep(links.union(links_at_the_middle(sized, shingles)), "links")
+    roots = components(links)
+    more = keep(links_by_difference(sized, shingles, roots, at_least), "more")
     if not more.isEmpty():
         links = links.union(more)
         roots = components(links)
