@@ -4,7 +4,7 @@ from dqspark.operators.checks import (  # noqa: F401
 )
 from dqspark.operators.custom import CheckContext, check, run_check  # noqa: F401
 from dqspark.operators.investigate import (  # noqa: F401
-    duplicate_total, investigate_bounds, investigate_duplicates, investigate_missing,
+    duplicate_total, investigate_bounds, investigate_duplicates, investigate_missing, investigate_orphans,
     investigate_where,
 )
 from dqspark.operators.metrics import (  # noqa: F401

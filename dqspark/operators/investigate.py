@@ -116,6 +116,19 @@ def investigate_duplicates(
     return _first(marked.join(repeated, same, "left_semi").select("row.*"), key, n)
 
 
+def investigate_orphans(
+    df: DataFrame, key: str | Sequence[str], ref_df: DataFrame, ref_key: str | Sequence[str],
+    order: str | Sequence[str] = (), n: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """The first ``n`` rows whose key is not among the reference keys; a null key is no orphan."""
+    keys, ref_keys = _keys(key), _keys(ref_key)
+    marked = df.filter(fold([named(k).isNotNull() for k in keys], lambda a, b: a & b)).select(
+        F.struct("*").alias("row"), *[named(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    known = ref_df.select(*[named(k).alias(f"k{i}") for i, k in enumerate(ref_keys)]).distinct()
+    lost = marked.join(known, [f"k{i}" for i in range(len(keys))], "left_anti").select("row.*")
+    return _first(lost, order, n)
+
+
 def duplicate_total(df: DataFrame, columns: str | Sequence[str], digest: bool = False) -> DataFrame:
     """How many rows have a repeated key, as one row."""
     counted = frequencies(df, _keys(columns), digest)

@@ -314,8 +314,8 @@ def _regex_share(df, params, datasets):
     return Scan(build)
 
 
-@_builtin("date_share", label="Share of valid dates in a range", group="Validity")
-def _date_share(df, params, datasets):
+def dates_inside(df: DataFrame, params: Mapping[str, Any]) -> tuple[Column, Column]:
+    """The moment a column's value stands for, null if none, and whether it is within the bounds."""
     name = _one(df, params)
     kind = simple_type(field_of(df, name).dataType)
     if params.get("fmt") and kind == "string":
@@ -330,6 +330,12 @@ def _date_share(df, params, datasets):
         target = "timestamp_ntz" if ":" in str(bound) else "date"
         value, limit = moment.cast(target), F.lit(str(bound)).try_cast(target)
         inside = inside & ((value >= limit) if low else (value <= limit))
+    return moment, inside
+
+
+@_builtin("date_share", label="Share of valid dates in a range", group="Validity")
+def _date_share(df, params, datasets):
+    moment, inside = dates_inside(df, params)
     return Scan(lambda scope: {
         "value": share(scope.count_if(inside), scope.rows()),
         "valid": scope.count_if(inside),

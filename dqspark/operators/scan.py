@@ -12,6 +12,10 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import (
+    AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException,
+    IllegalArgumentException, NumberFormatException, PySparkException, PythonException,
+)
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dqspark.functions.predicates import Scope
@@ -179,17 +183,41 @@ def collect_values(
 
 
 def _run(probes: Sequence[Probe], united: DataFrame):
-    """Answers from one job. If it fails it is halved until the guilty probe stands alone, so that
-    the others still share scans."""
-    try:
-        return _gather(united), {}
-    except Exception as error:
-        if len(probes) == 1:
-            return {}, {probes[0].key: first_line(error)}
-    half = len(probes) // 2
-    left, left_errors = _run(probes[:half], long_values(probes[:half]))
-    right, right_errors = _run(probes[half:], long_values(probes[half:]))
-    return left | right, left_errors | right_errors
+    """Answers from one job, or from few if a value breaks an expression in one of the probes.
+
+    The guilty probe is searched by halves: if the first half runs, the second holds it and need not be
+    run as it is. Halves that are no longer suspected are answered together, in one job. Any other
+    failure, such as that of a cluster, is no probe's fault and is raised.
+    """
+    answers, errors, waiting = {}, {}, list(probes)
+    while waiting:
+        suspects, waiting = waiting, []
+        try:
+            return answers | _gather(long_values(suspects) if united is None else united), errors
+        except Exception as error:
+            if not breaks_a_value(error):
+                raise
+            last, united = error, None
+        while len(suspects) > 1:
+            first, second = suspects[:len(suspects) // 2], suspects[len(suspects) // 2:]
+            try:
+                answers |= _gather(long_values(first))
+                suspects = second
+            except Exception as error:
+                if not breaks_a_value(error):
+                    raise
+                last, suspects, waiting = error, first, waiting + second
+        errors[suspects[0].key] = first_line(last)
+    return answers, errors
+
+
+def breaks_a_value(error: BaseException) -> bool:
+    """Whether an error comes from data an expression cannot take, so that asking again without it helps."""
+    if isinstance(error, (ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException,
+                          NumberFormatException, PythonException, AnalysisException)):
+        return True
+    state = error.getSqlState() if isinstance(error, PySparkException) else None
+    return bool(state) and state.startswith(("22", "42"))
 
 
 def _gather(df: DataFrame) -> dict[str, dict[str, float | None]]:

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from dqspark.functions.values import named
 
-HOT_KEYS = 10_000   # keys that may be spread; any other has less than a ten-thousandth of the rows
 HOT_ROWS = 100_000  # rows below which a key is no burden to one task
-SALTS = 64          # shares a hot key is split into
+PARTS = 10_000      # a key with more than one of so many parts of the rows is split, into such parts
 
 
 def salted_join(
@@ -19,23 +18,27 @@ def salted_join(
 ) -> DataFrame:
     """``left.join(right, on, how)`` for inner, left, left_semi and left_anti joins.
 
-    The most frequent left keys are counted first, summed in part before the shuffle. They are at
-    most ``HOT_KEYS`` rows, so they can be broadcast to mark both sides: a marked left row goes to
-    the share its ``spread_by`` columns hash to, and a marked right row is copied to every share.
-    Other rows are left as they are, so nothing else is copied. ``counted`` gives the rows per
-    left key, as ``n``, where the caller has them already.
+    Left keys are counted first, summed in part before the shuffle. A key with more than its part of
+    all rows goes to as many shares as it has parts: a left row to the one its ``spread_by`` columns
+    hash to, a right row to every one. There are at most ``PARTS`` such keys, whatever the size of
+    the tables, so they can be broadcast to mark both sides; other rows are left as they are. Left
+    rows with a null key match nothing and are spread too. ``counted`` gives the rows per left key,
+    as ``n``, where the caller has them already.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a {how} join cannot copy its right side")
     if counted is None:
         counted = left.groupBy(*[named(c) for c in on]).agg(F.count(F.lit(1)).alias("n"))
-    hot = (
-        counted.filter(F.col("n") >= HOT_ROWS).orderBy(F.col("n").desc()).limit(HOT_KEYS)
-        .select(*[named(c) for c in on], F.lit(True).alias("__hot")))
-    share = F.pmod(F.xxhash64(*[named(c) for c in spread_by]), F.lit(SALTS)).cast("int")
+    part = F.greatest(F.lit(HOT_ROWS), (counted.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar() / PARTS).cast("bigint") + 1)
+    hot = counted.withColumn("__part", part).filter(F.col("n") > F.col("__part")).select(
+        *[named(c) for c in on], F.ceil(F.col("n") / F.col("__part")).cast("int").alias("__shares"))
+    spread = F.xxhash64(*[named(c) for c in spread_by])
+    nowhere = F.lit(False)
+    for c in on:
+        nowhere = nowhere | named(c).isNull()
     marked_left = left.join(F.broadcast(hot), list(on), "left").withColumn(
-        "__salt", F.when(F.col("__hot"), share).otherwise(0)).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    marked_right = right.join(F.broadcast(hot), list(on), "left").withColumn(
-        "__salt", F.explode(copies)).drop("__hot")
+        "__salt", F.when(nowhere, F.pmod(spread, F.lit(PARTS))).when(
+            F.col("__shares").isNotNull(), F.pmod(spread, F.col("__shares"))).otherwise(0).cast("int")).drop("__shares")
+    copies = F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1)
+    marked_right = right.join(F.broadcast(hot), list(on), "left").withColumn("__salt", F.explode(copies)).drop("__shares")
     return marked_left.join(marked_right, [*on, "__salt"], how).drop("__salt")

@@ -128,7 +128,7 @@ def info_rows(metrics, tests) -> list[tuple]:
                 kind, item["id"], nature.get("name") or item.get("name") or ident.get("control_name") or "",
                 nature.get("description") or item.get("description") or "",
                 nature.get("comments") or nature.get("preliminary_comments") or "",
-                bool(general.get("export", True)), general.get("owner", ""), pick_where(item) or "",
+                bool(general.get("export", True)), general.get("owner", ""), _condition_text(item),
                 item.get("category") or nature.get("category")
                 or nature.get("functional_category_1") or "Business",
                 ident.get("control_id") or ident.get("test_id") or item["id"],
@@ -136,6 +136,11 @@ def info_rows(metrics, tests) -> list[tuple]:
     return rows
 
 
+def _condition_text(item) -> str:
+    condition = pick_where(item) or ""
+    return condition if isinstance(condition, str) else "value filter"
+
+
 def reference(test) -> tuple[str, str | Sequence[str]]:
     """Reference dataset and column, given apart or as 'dataset.column'."""
     ref = test.get("ref") or test.get("ref_dataset")

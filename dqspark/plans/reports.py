@@ -71,7 +71,7 @@ def metrics_report(result: SuiteResult, timestamp: str | None = None) -> DataFra
     cells = (
         F.col("metric_id"), F.col("type"), _text("name"), _text("description"), _text("comments"),
         F.coalesce("export", F.lit(True)), _text("owner"), _text("dataset"), _text("column"),
-        _text("filter"), F.col("status"), F.col("value"), _text("error"), _moment(timestamp))
+        _text("filter"), F.col("status"), F.col("value"), _text("error"), _moment(result, timestamp))
     return result.metrics.join(info, F.col("metric_id") == F.col("id"), "left").select(
         *[cell.alias(name) for name, cell in zip(METRICS_REPORT, cells)])
 
@@ -82,7 +82,7 @@ def tests_report(result: SuiteResult, run_info: Mapping[str, Any] | None = None)
     ``run_info`` may give quarter, project, run_version, user and timestamp.
     """
     given = dict(run_info or {})
-    moment = _moment(given.get("timestamp"))
+    moment = _moment(result, given.get("timestamp"))
     info = result.info.filter("kind = 'test'").select(
         "id", "description", "comments", "category", "control_id")
     words = F.create_map(*[F.lit(x) for pair in RESULT_WORDS.items() for x in pair])
@@ -103,8 +103,9 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def _moment(timestamp: str | None) -> Column:
-    return F.current_timestamp() if timestamp is None else F.lit(timestamp).cast("timestamp")
+def _moment(result: SuiteResult, timestamp: str | None) -> Column:
+    """The time given, else that of the run, so that a report reads the same each time."""
+    return F.lit(result.finished) if timestamp is None else F.lit(timestamp).cast("timestamp")
 
 
 def investigation_report(result: SuiteResult, folder: str | None = None, stamp: str = "") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,6 +44,7 @@ class SuiteResult:
     prechecks: DataFrame | None = None
     scripts: int = 0
     held: list[DataFrame] = field(default_factory=list)
+    finished: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
 
     def summary(self) -> DataFrame:
         from dqspark.plans.reports import run_summary

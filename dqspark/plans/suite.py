@@ -9,11 +9,11 @@ from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dqspark.functions.frames import local_frame
 from dqspark.functions.predicates import pick_where, predicate_columns
-from dqspark.functions.value_filters import value_filter_prechecks
+from dqspark.functions.value_filters import check_value_filter, keep_column, value_filter_prechecks
 from dqspark.operators import checks, custom, investigate
 from dqspark.operators.metrics import Metric, build_probe, declared_output, orphan_count
 from dqspark.operators.scan import Frame, Probe, Scan, Table, collect_values, first_line
@@ -87,6 +87,22 @@ class _Run:
             metric.params["filter_name"] = metric.params.pop("filter")
             metric.params["value_filter"] = known[given]
 
+    def keep_of(self, test, df: DataFrame) -> tuple[Column | None, str | None]:
+        """The rows a test looks at, by its condition or by a value filter, given or named, and a name for them."""
+        given, known = test.get("filter"), self.suite.get("filters") or {}
+        spec = given if isinstance(given, Mapping) else known.get(given) if isinstance(given, str) else None
+        plain = test if spec is None else {k: v for k, v in test.items() if k != "filter"}
+        where = pick_where(plain)
+        keep = F.expr(where) if where else None
+        if spec is not None:
+            problems = check_value_filter(df.schema, spec)
+            if problems:
+                raise ValueError(" ; ".join(problems))
+            by_value = keep_column(spec)
+            keep = by_value if keep is None else keep & by_value
+        name = None if keep is None else f"where {where} filter {spec}"
+        return keep, name
+
     def settle_metrics(self, answers, errors) -> None:
         for mid, probe in self.metric_ask.items():
             key = _metric_key(mid)
@@ -150,7 +166,8 @@ def run_suite(
     run = _Run(spark, registry, suite, sample_rows or settings.get("sample_size") or investigate.SAMPLE_ROWS)
     context = suite.get("context") or {}
     metric_items, test_items = suite_items(suite)
-    refuse_shared_ids([i["id"] for i in metric_items], [i["id"] for i in test_items])
+    refuse_shared_ids([i["id"] for i in metric_items],
+                      [i["id"] for i in test_items] + [s["id"] for s in suite.get("scripts") or [] if s.get("id")])
     severity = settings.get("default_severity", "medium")
     tests = [t for item in test_items for t in split_rules(test_of(item, severity))]
     held: list[DataFrame] = []
@@ -236,16 +253,15 @@ def _plan_test(run: _Run, test, planned) -> Probe | None:
             ref, ref_column = reference(test)
             if ref not in run.registry:
                 raise KeyError(f"reference dataset '{ref}' is unknown")
-            where = pick_where(test)
-            rows = df.filter(F.expr(where)) if where else df
+            keep, _ = run.keep_of(test, df)
+            rows = df if keep is None else df.filter(keep)
             ask = Frame(orphan_count(rows, test["columns"], run.registry[ref], ref_column))
             probe = Probe(_test_key(test["id"]), test["dataset"], df, ask)
             planned[test["id"]] = {"test": test, "rows": None}
         else:
             rows, scan = _column_scan(df, test)
-            where = pick_where(test)
-            probe = Probe(_test_key(test["id"]), test["dataset"], df, scan,
-                          F.expr(where) if where else None, f"where {where}" if where else None)
+            keep, keep_id = run.keep_of(test, df)
+            probe = Probe(_test_key(test["id"]), test["dataset"], df, scan, keep, keep_id)
             planned[test["id"]] = {"test": test, "rows": rows}
             if all(r["state"] == "missing" for r in rows):
                 return None

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dqspark.functions.frames import local_frame
 from dqspark.functions.values import how_many
-from dqspark.operators.skew import salted_join
 from dqspark.plans.definition import suite_items
 
 
@@ -40,34 +39,28 @@ def check_refs(tests: DataFrame, metrics: DataFrame, datasets: DataFrame) -> Dat
 
     ``tests`` has (suite_id, test_id, metric_id, dataset, column), ``metrics`` (suite_id,
     metric_id) and ``datasets`` (dataset, column). A column is only looked for in a known dataset.
-    Each distinct reference is looked up once; the tests that make a bad one are then found with a
-    join that spreads a reference many of them share.
+    The references of a test are found in one pass, and each distinct one is looked up once. The bad
+    ones are few against the tests, so Spark broadcasts them by its own size check; where it cannot,
+    it splits references that many tests share at run time.
     """
-    on_data = tests.filter("metric_id is null and dataset is not null")
-
-    def referring(rows: DataFrame, problem: str, within: str, name: str) -> DataFrame:
-        return rows.selectExpr(
-            "suite_id", "test_id", f"'{problem}' as problem", f"{within} as within", f"{name} as name")
-
-    references = (
-        referring(tests.filter("metric_id is not null"), "unknown metric", "cast(suite_id as string)", "metric_id")
-        .unionByName(referring(on_data, "unknown dataset", "''", "dataset"))
-        .unionByName(referring(on_data.filter("column is not null"), "unknown column", "dataset", "column")))
-    columns = datasets.select("dataset", "column").distinct()
-    known = (
-        metrics.selectExpr("'unknown metric' as problem", "cast(suite_id as string) as within", "metric_id as name")
-        .unionByName(columns.selectExpr("'unknown dataset' as problem", "'' as within", "dataset as name"))
-        .unionByName(columns.selectExpr("'unknown column' as problem", "dataset as within", "column as name"))
-        .distinct())
-    counted = references.groupBy(*_REFERENCE).agg(F.count(F.lit(1)).alias("n"))
-    unknown = counted.filter("n > 0").join(known, _REFERENCE, "left_anti")
-    in_known = unknown.filter("problem = 'unknown column'").join(
-        columns.select(F.col("dataset").alias("within")).distinct(), "within", "left_semi")
-    bad = unknown.filter("problem <> 'unknown column'").unionByName(in_known).drop("n")
-    return salted_join(
-        references, bad, _REFERENCE, "left_semi", ["suite_id", "test_id"], counted,
-    ).selectExpr("suite_id", "test_id", "problem",
-                 "if(problem = 'unknown column', concat(within, '.', name), name) as reference")
+    def entry(problem: str, within: str, name: str, there: str) -> str:
+        return f"if({there}, named_struct('problem', '{problem}', 'within', {within}, 'name', {name}), null)"
+
+    on_data = "metric_id is null and dataset is not null"
+    references = tests.selectExpr("suite_id", "test_id", "inline(array_compact(array(" + ", ".join([
+        entry("unknown metric", "cast(suite_id as string)", "metric_id", "metric_id is not null"),
+        entry("unknown dataset", "''", "dataset", on_data),
+        entry("unknown column", "dataset", "column", f"{on_data} and column is not null")]) + ")))")
+    known = metrics.selectExpr("'unknown metric' as problem", "cast(suite_id as string) as within", "metric_id as name").unionByName(
+        datasets.selectExpr("inline(array(" + ", ".join([
+            "named_struct('problem', 'unknown dataset', 'within', '', 'name', dataset)",
+            "named_struct('problem', 'unknown column', 'within', dataset, 'name', column)"]) + "))")).distinct()
+    unknown = references.select(*_REFERENCE).distinct().join(known, _REFERENCE, "left_anti")
+    there = datasets.select(F.col("dataset").alias("within"), F.lit(True).alias("there")).distinct()
+    bad = unknown.join(there, "within", "left").filter("problem <> 'unknown column' or there").select(*_REFERENCE)
+    return references.join(bad, _REFERENCE, "left_semi").selectExpr(
+        "suite_id", "test_id", "problem",
+        "if(problem = 'unknown column', concat(within, '.', name), name) as reference")
 
 
 def spec_tables(

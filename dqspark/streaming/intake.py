@@ -37,8 +37,8 @@ def watch_deliveries(
     Batches keep no state, so there is no watermark. A batch repeated after a failure writes the
     same ``batch_id`` partitions again and so changes nothing. ``references`` are the other
     datasets the suite reads. The folder's schema is fixed, as a file stream asks for: a CSV file whose
-    header names other columns, or the same in another order, makes its batch an error instead of being
-    read into the wrong columns.
+    header names other columns, or the same in another order, ends the query with an error instead of
+    being read into the wrong columns.
 
     What has been read is remembered below ``sink`` unless ``checkpoint`` names another place, so a
     query started again goes on with new files and new batch ids.

@@ -415,3 +415,78 @@ def test_no_bound_is_nan(spark):
              {"id": "c", "type": "threshold", "metric": "n", "operator": "!=", "value": "nan"}]
     result = run_suite(spark, {"d": df}, {"id": "s", "metrics": [{"id": "n", "type": "row_count", "dataset": "d"}], "tests": tests})
     assert {r["status"] for r in result.tests.collect()} <= {"FAIL", "ERROR"}
+
+
+def test_every_kind_of_failed_test_shows_its_rows(spark):
+    df = spark.sql("""select id, if(id % 4 = 0, null, id) as v, concat('m', id, if(id % 3 = 0, '', '@x.org')) as mail,
+        if(id % 5 = 0, 'never', '2024-01-02') as day, id % 7 as k from range(60)""")
+    ref = spark.range(5).toDF("k")
+    metrics = [
+        {"id": "nulls", "type": "null_rate", "column": "v"}, {"id": "rule", "type": "rule_share", "filter": "v < 30"},
+        {"id": "mails", "type": "regex_share", "column": "mail"}, {"id": "days", "type": "date_share", "column": "day"},
+        {"id": "full", "type": "avg_completion_rate"}, {"id": "lost", "type": "orphan_count", "column": "k", "ref": "ref"}]
+    low = {"nulls", "lost"}
+    suite = {"id": "s", "keys": {"d": "id"}, "metrics": [{**m, "dataset": "d"} for m in metrics], "tests": [
+        {"id": f"t_{m['id']}", "type": "interval_check", "metric_id": m["id"], **({"upper": 0} if m["id"] in low else {"lower": 1})}
+        for m in metrics] + [{"id": "fk", "type": "foreign_key", "dataset": "d", "column": "k", "ref": "ref.k"}]}
+    result = run_suite(spark, {"d": df, "ref": ref}, suite, sample_rows=1000)
+    ids = {t: [r["id"] for r in s.collect()] for t, s in result.samples.items()}
+    want = {"t_nulls": lambda i: i % 4 == 0, "t_rule": lambda i: i % 4 == 0 or i >= 30, "t_mails": lambda i: i % 3 == 0,
+            "t_days": lambda i: i % 5 == 0, "t_full": lambda i: i % 4 == 0, "t_lost": lambda i: i % 7 >= 5, "fk": lambda i: i % 7 >= 5}
+    assert {t: sorted(x) for t, x in ids.items()} == {t: [i for i in range(60) if f(i)] for t, f in want.items()}
+    totals = {r["test_id"]: r["total_problematic_rows"] for r in result.investigations.collect()}
+    assert totals == {t: len(x) for t, x in ids.items()}
+    quiet = {**suite, "tests": [{**t, "general": {"sample_on_fail": False}} for t in suite["tests"]]}
+    assert run_suite(spark, {"d": df, "ref": ref}, quiet).investigations.count() == 0
+
+
+def test_named_filters_hold_for_tests(spark):
+    df = spark.range(10).selectExpr("id", "if(id < 5, 'n', 's') as area", "id * 10 as v")
+    north = {"conditions": [{"column": "area", "type": "S", "value": "n", "result": True}], "default": False}
+    suite = {"id": "s", "keys": {"d": "id"}, "filters": {"north": north}, "tests": [
+        {"id": "a", "type": "interval_check", "dataset": "d", "columns": ["v"], "upper": 40, "filter": "north"},
+        {"id": "b", "type": "interval_check", "dataset": "d", "columns": ["v"], "upper": 30, "filter": north}]}
+    result = run_suite(spark, {"d": df}, suite)
+    assert {r["test_id"]: r["status"] for r in result.tests.collect()} == {"a": "SUCCESS", "b": "FAIL"}
+    assert [r["id"] for r in result.samples["b"].collect()] == [4]
+
+
+def test_scripts_share_no_id_with_tests(spark):
+    with pytest.raises(ValueError, match="more than once"):
+        run_suite(spark, {"d": spark.range(1)}, {"tests": [{"id": "x", "type": "interval_check", "columns": ["id"], "upper": 1}],
+                                                 "scripts": [{"id": "x", "check": "c"}]})
+
+
+def jobs_of(spark, monkeypatch, probes, fail=None):
+    from dqspark.operators import scan
+    count = [0]
+    real = scan._gather
+
+    def counted(df):
+        count[0] += 1
+        if fail:
+            raise fail
+        return real(df)
+    monkeypatch.setattr(scan, "_gather", counted)
+    try:
+        return count, collect_values(probes)
+    except Exception as error:
+        return count, error
+
+
+def test_only_values_are_asked_for_again(spark, monkeypatch):
+    from dqspark.operators.scan import Probe, Scan
+    df = spark.range(10)
+    def ask(i):
+        return F.sum(F.expr("1 div (id - id)")) if i == 41 else F.sum(F.col("id") + i)
+    probes = [Probe(f"p{i}", "d", df, Scan(lambda scope, i=i: {"value": ask(i)})) for i in range(65)]
+    count, (answers, errors) = jobs_of(spark, monkeypatch, probes)
+    assert list(errors) == ["p41"] and len(answers) == 64 and count[0] <= 9
+    count, error = jobs_of(spark, monkeypatch, probes, RuntimeError("the cluster is gone"))
+    assert isinstance(error, RuntimeError) and count[0] == 1
+
+
+def test_a_report_reads_the_same_each_time(spark):
+    result = run_suite(spark, {"d": spark.range(3)}, {"metrics": [{"id": "m", "type": "row_count"}],
+                       "tests": [{"id": "t", "type": "interval_check", "metric_id": "m", "upper": 9}]})
+    assert report_of_tests(result).collect() == report_of_tests(result).collect()
