@@ -77,6 +77,8 @@ def metric(
             if isinstance(made, DataFrame):
                 return Table(made)
             values = {"value": made} if isinstance(made, Column) else dict(made)
+            if pick_where(params) is None and not params.get("value_filter"):
+                return Scan(lambda scope: values)  # shares the scan of its dataset
             return Frame(df.agg(*[c.alias(n) for n, c in values.items()]))
         METRIC_TYPES[name] = MetricType(name, build, label or name, group, dict(output or {}), tuple(params))
         return fn

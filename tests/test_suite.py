@@ -490,3 +490,22 @@ def test_a_report_reads_the_same_each_time(spark):
     result = run_suite(spark, {"d": spark.range(3)}, {"metrics": [{"id": "m", "type": "row_count"}],
                        "tests": [{"id": "t", "type": "interval_check", "metric_id": "m", "upper": 9}]})
     assert report_of_tests(result).collect() == report_of_tests(result).collect()
+
+
+def test_custom_metrics_share_one_scan(spark, tmp_path):
+    from dqspark.operators.metrics import build_probe, Metric
+    from dqspark.operators.scan import long_values
+    for i in range(3):
+        metric(f"plus_{i}")(lambda df, params, i=i: F.sum(F.col("id") + i))
+    try:
+        spark.range(10).write.parquet(str(tmp_path / "d"))
+        df = spark.read.parquet(str(tmp_path / "d"))
+        probes = [build_probe(Metric(f"plus_{i}", id=f"m{i}"), df, None, "d") for i in range(3)]
+        plan = long_values(probes)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+        suite = {"metrics": [{"id": f"m{i}", "type": f"plus_{i}"} for i in range(3)] + [{"id": "w", "type": "plus_0", "where": "id < 3"}]}
+        got = {r["metric_id"]: r["value"] for r in run_suite(spark, {"d": df}, suite).metrics.collect()}
+        assert got == {"m0": 45.0, "m1": 55.0, "m2": 65.0, "w": 3.0}
+    finally:
+        for i in range(3):
+            METRIC_TYPES.pop(f"plus_{i}")
