@@ -115,7 +115,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id",
                 col.append(x)
         return pa.table({n: np.concatenate(x) if x else np.empty(0, np.int64) for n, x in zip(("query_id", "neighbour_id", "distance"), out)})
 
-    local = index.groupBy("shard", "block").cogroup(search.groupBy("shard", "block")).applyInArrow(
+    # little to read but much to do: as many partitions as groups, which are not put together for their size
+    dealt = [side.repartition(shards * blocks, "shard", "block").groupBy("shard", "block") for side in (index, search)]
+    local = dealt[0].cogroup(dealt[1]).applyInArrow(
         answer, "query_id long, neighbour_id long, distance long")
     best = local.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("distance", "neighbour_id"))), 1, k).alias("near"))
     return best.select("query_id", F.posexplode("near").alias("at", "n")).select(
