@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -140,9 +141,15 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 7) -> Model:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """A model of the labelled rows; the sample it is made from is bounded by ``SAMPLE_*`` and sent to the driver."""
-    rows = sorted((r.text, r.toxic) for r in labelled_sample(docs, labels, text, key, label).collect())
-    return fit([t for t, _ in rows], [int(c > 0) for _, c in rows])
+    """A model of the labelled rows, fitted in one task on the bounded sample; only its parameters reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((t, y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()))
+        made = fit([t for t, _ in rows], [int(y > 0) for _, y in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((made.p, made.weights, made.rate))], pa.binary())], ["model"])
+
+    sample = labelled_sample(docs, labels, text, key, label).repartition(1)
+    made = sample.mapInArrow(run, "model binary").collect()
+    return Model(*pickle.loads(made[0]["model"])) if made else Model(None, None, 0.0)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
