@@ -67,6 +67,39 @@ from documents d left join kept on d.doc_id = kept.doc_id
 """
 
 
+def passages_query(spark, sf):
+    """As ``lines_query``, and shorter runs of at least fifty words go too."""
+    out = lines.drop_repeated_runs(table(spark, sf, "documents"), long_words=50)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("kept_text").alias("kept_md5"))
+
+
+PASSAGES_SQL = """
+with l as (
+    select doc_id, text, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as i
+    from documents where text is not null),
+b as (
+    select doc_id, i, line, row_number() over (partition by doc_id order by i) as s,
+        len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as words
+    from l where trim(line) <> ''),
+w as (
+    select doc_id, s, i as first, lead(i, 2) over p as last, line || chr(10) || lead(line, 1) over p || chr(10) || lead(line, 2) over p as run
+    from b window p as (partition by doc_id order by s)
+    union all
+    select doc_id, s, i, i, line from b where words >= 50
+    union all
+    select doc_id, s, i, lead(i, 1) over p, line || chr(10) || lead(line, 1) over p
+    from b window p as (partition by doc_id order by s) qualify words + lead(words, 1) over p >= 50),
+f as (select *, row_number() over (partition by run order by doc_id, s) as nth from w where run is not null),
+gone as (select distinct doc_id, unnest(range(first, last + 1)) as i from f where nth > 1),
+kept as (
+    select l.doc_id, count(*) as n_lines, count(gone.i) as n_removed,
+        coalesce(string_agg(case when gone.i is null then line end, chr(10) order by l.i), '') as kept_text
+    from l left join gone on l.doc_id = gone.doc_id and l.i = gone.i group by l.doc_id)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, md5(kept_text) as kept_md5
+from documents d left join kept on d.doc_id = kept.doc_id
+"""
+
+
 def neardup_query(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     return neardup.near_duplicates(d, k=3, at_least=85).select("doc_id", "n_shingles", "component_id", "kept")
@@ -159,6 +192,7 @@ QUERIES = {
     "op3_multi_index_hashing": hamming_query,
     "op4_suffix_repeats": repeats_query,
     "op5_line_winnowing": lines_query,
+    "op5_long_passages": passages_query,
     "op6_tensored_minhash": neardup_query,
     "op7_toxicity_gru": toxicity_query,
     "op8_curriculum_mixing": mixing_query,
@@ -169,6 +203,7 @@ QUERIES = {
 ORACLES = {
     "op3_multi_index_hashing": HAMMING_SQL,
     "op5_line_winnowing": LINES_SQL,
+    "op5_long_passages": PASSAGES_SQL,
     "op9_template_decontamination": _decontam_sql(),
     "op10_chat_collapse": CHAT_SQL,
 }
