@@ -92,7 +92,7 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
 
 
 def fetched(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of wanted segments: ``anchor``, ``sd``, ``weight``, ``parts``, ``bytes``, from the texts they stand in."""
+    """The bytes of wanted segments: ``anchor``, ``sd``, ``weight``, ``parts``, ``bytes``, each once, from one of equal texts."""
     lists = wanted.groupBy(F.col("rid").alias("r")).agg(F.collect_list(F.struct("anchor", "sd", "weight", "parts", "first", "last")).alias("wanted"))
 
     def run(batches):
@@ -105,7 +105,7 @@ def fetched(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
                                              ["anchor", "sd", "weight", "parts", "bytes"])
-    return rows.join(lists, F.col("rid") == F.col("r")).select("text", "wanted").mapInArrow(
+    return rows.dropDuplicates(["rid"]).join(lists, F.col("rid") == F.col("r")).select("text", "wanted").mapInArrow(
         run, "anchor long, sd long, weight long, parts int, bytes binary")
 
 
@@ -128,10 +128,8 @@ def in_shards(segs: DataFrame, length: int) -> DataFrame:
 
     def run(key, table):
         anchor, sd = np.array(table.column("anchor")), np.array(table.column("sd"))
-        _, keep_ = np.unique(np.stack([anchor, sd]), axis=1, return_index=True)  # equal rows of the input give equal segments
-        anchor, sd = anchor[keep_], sd[keep_]
-        weight, parts = np.array(table.column("weight"))[keep_], np.array(table.column("parts"))[keep_]
-        raw = table.column("bytes").combine_chunks().take(pa.array(keep_)).to_pylist()
+        weight, parts = np.array(table.column("weight")), np.array(table.column("parts"))
+        raw = table.column("bytes").to_pylist()
         text, begins, left = joined(raw)
         sa = suffix_array(text, left)
         lcp = common_prefixes(text, begins, left, sa, length)
@@ -197,8 +195,9 @@ def merged(classes: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     """For rows ``rid``, ``text``: ``rid`` and ``spans``, the bytes covered by strings that start elsewhere too."""
-    pieces = keep(cut(rows, length), "segments")
-    distinct = pieces.groupBy("anchor", "sd").agg(F.count("*").alias("weight"), F.min(F.struct("rid", "first", "last")).alias("at"), F.bool_or("again").alias("again"))
+    # equal texts have equal segments: one row, with the number of texts
+    pieces = keep(cut(rows, length).groupBy("rid", "anchor", "sd", "first", "last", "again").agg(F.count("*").alias("n")), "segments")
+    distinct = pieces.groupBy("anchor", "sd").agg(F.sum("n").alias("weight"), F.min(F.struct("rid", "first", "last")).alias("at"), F.bool_or("again").alias("again"))
     distinct = keep(distinct.select("anchor", "sd", "weight", F.col("at.rid").alias("rid"), F.col("at.first").alias("first"), F.col("at.last").alias("last"), "again"), "distinct")
     size = F.col("last") - F.col("first") + length
     # a segment whose anchor stands nowhere else has nothing to equal
