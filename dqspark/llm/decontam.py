@@ -50,32 +50,46 @@ def _window(h: Column, i: Column, n) -> Column:
     return F.xxhash64(F.slice(h, i + 1, n))
 
 
-def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
+def item_windows(items: DataFrame, key: str, text: str, within: bool = False) -> DataFrame:
     """``item``, ``item_at``, ``long``, ``window`` and ``part`` (the words) of windows with enough literal words."""
-    tokens = items.select(items[key].alias("item"), template(words(items[text])).alias("tokens")).distinct()
+    tokens = items.select(items[key].alias("item"), words(items[text]).alias("w")).distinct().select(
+        "item", F.get("w", F.lit(0)).alias("head"), template(F.col("w")).alias("tokens"))
     n = F.least(F.size("h"), F.lit(WINDOW))
     each = F.when(F.size("h") >= LITERALS, F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.struct(
         i.alias("item_at"), n.alias("long"), _window(F.col("h"), i, n).alias("window"), F.slice("tokens", i + 1, n).alias("part"))))
-    made = tokens.withColumn("h", _hashed(F.col("tokens"))).select("item", F.inline(each))
-    return made.where(F.size(F.filter("part", lambda x: x["v"].isNull() & (x["t"] != ""))) >= LITERALS)
+    made = tokens.withColumn("h", _hashed(F.col("tokens"))).select("item", "head", F.inline(each))
+    made = made.where(F.size(F.filter("part", lambda x: x["v"].isNull() & (x["t"] != ""))) >= LITERALS)
+
+    if not within:
+        return made.drop("head")
+
+    # within a document's sentence an item's first word is a name, and behind a number a unit
+    def begun(kind, holds):
+        first = F.get("part", F.lit(0))
+        part = F.concat(F.array(F.struct(F.lit(kind).alias("t"), first["t"].alias("v"))), F.slice("part", F.lit(2), F.col("long") - 1))
+        return made.where((F.col("item_at") == 0) & first["v"].isNull() & holds).withColumn("part", part).withColumn(
+            "window", F.xxhash64(_hashed(F.col("part"))))
+    bare = F.lower(F.btrim("head", F.lit(EDGES)))
+    return made.union(begun("<name>", F.col("head").rlike(NAME))).union(begun("<unit>", bare.isin(UNITS.split()))).drop("head")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
-                 item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+                 item_key: str = "item_id", item_text: str = "text", within: bool = False) -> DataFrame:
     """Which documents hold which items: ``key``, ``digest``, ``item``, ``windows`` found and ``of`` all.
 
     Words become placeholders by type: numbers, names (capitalised within a sentence) and units (after a
     number). Windows of eight words of both sides are joined by the hash of this template. Windows of a
     document that stand as far from those of an item are one match. It holds if each value of the item's
     slots is filled by one value throughout (a name or number may be exchanged, but everywhere alike) and
-    if at least six windows (thirteen words), or all of the item, are found.
+    if at least six windows (thirteen words), or all of the item, are found. The first word of an item is
+    compared as it stands; with ``within``, also as the name or unit that it is within a sentence of a document.
 
     Items are searched by windows with five words that are no placeholders; an item without one, a null
     or a blank one is found nowhere. An item of five to eight words is one window. Null and blank
     documents hold nothing. Rows that agree in key and text are one document; null keys are kept apart
     by ``digest``, a hash of the text. Equal items are each found.
     """
-    wanted = keep(item_windows(items, item_key, item_text), "item-windows")
+    wanted = keep(item_windows(items, item_key, item_text, within), "item-windows")
     lengths = [r.long for r in wanted.select("long").distinct().limit(WINDOW).collect()] or [WINDOW]
     hashes = wanted.select("long", "window").distinct()
     small = wanted.count() <= BROADCAST_ROWS
@@ -115,9 +129,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
-                   item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+                   item_key: str = "item_id", item_text: str = "text", within: bool = False) -> DataFrame:
     """The rows of documents that hold no item; see ``contaminated``."""
-    bad = contaminated(docs, items, doc_key, doc_text, item_key, item_text).select(
+    bad = contaminated(docs, items, doc_key, doc_text, item_key, item_text, within).select(
         F.col("key").alias("bad_key"), F.col("digest").alias("bad_digest")).distinct()
     rows = docs.select(boxed(docs), docs[doc_key].alias("key"), F.xxhash64(docs[doc_text]).alias("digest"))
     return unboxed(rows.join(bad, F.col("digest").eqNullSafe(F.col("bad_digest")) & F.col("key").eqNullSafe(F.col("bad_key")), "left_anti"),

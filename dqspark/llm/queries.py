@@ -119,6 +119,12 @@ def decontam_query(spark, sf):
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "windows", "of")
 
 
+def items_query(spark, sf):
+    """As ``decontam_query``, with items whose first word is a name or unit within a document."""
+    found = decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"), within=True)
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "windows", "of")
+
+
 def toxicity_query(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     model = toxicity.fitted(d, table(spark, sf, "labels"))
@@ -197,6 +203,7 @@ QUERIES = {
     "op7_toxicity_gru": toxicity_query,
     "op8_curriculum_mixing": mixing_query,
     "op9_template_decontamination": decontam_query,
+    "op9_items_within_sentences": items_query,
     "op10_chat_collapse": chat_query,
 }
 
