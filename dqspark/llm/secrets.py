@@ -14,6 +14,12 @@ CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{16,
 # Words beside a secret, prefixes of issued keys, parts of paths that hold examples.
 BESIDE = "token|secret|password|passwd|pwd|api_?key|apikey|access_?key|private_?key|credential|auth|bearer|aws"
 PREFIX = "^(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|glpat-|eyJ)"
+#: A candidate without a condition on digits: sixteen or more such characters that begin like an issued key.
+PREFIXED = rf"(?<![A-Za-z0-9_+/-])(?={PREFIX[1:]})[A-Za-z0-9_+/-]{{16,}}=*"
+#: Java only: six or more characters assigned next to one of the words above, up to white space or a quote; if quoted, up to that quote.
+ASSIGNED = (r"(?<=[=:\s\"'`])(?<=[=:]\s{0,3}[\"'`]?)(?<=(?i:" + BESIDE + r")[A-Za-z0-9_.-]{0,20}[\"'`]?\s{0,3}[=:]\s{0,3}[\"'`]?)"
+            r"(?:(?<=\")[^\s\"]{6,}|(?<=')[^\s']{6,}|(?<=`)[^\s`]{6,}|(?<=[=:\s])[^\s\"'`]{5,}[^\s\"'`.,;:)\]}>])")
+FOUND = f"{ASSIGNED}|{CANDIDATE}|{PREFIXED}"
 EXAMPLE_PATH = "test|example|sample|fixture|docs?/|mock|demo"
 DICTIONARY_DOCUMENTS = 20      # documents a run of letters stands in to count as a word
 SAMPLE_ROWS = 4000             # labelled findings of either kind a forest is fitted on at most
@@ -23,12 +29,16 @@ FEATURES = ("length", "digits", "capitals", "others", "transitions", "alphabets"
 
 
 def candidates(df: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = "source") -> DataFrame:
-    """``key``, ``digest`` (of the text), ``nth``, ``path``, ``candidate``, ``before`` and ``after``: every candidate of a text, in order."""
+    """``key``, ``digest`` (of the text), ``nth``, ``path``, ``candidate``, ``before`` and ``after``: every candidate of a text, in order.
+
+    Candidates are keys by their alphabet with a digit, keys by their prefix, and values of six or more
+    characters that are assigned next to a word for credentials, whatever their characters.
+    """
     rows = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("digest"), df[text].alias("t"),
                      (df[path].cast("string") if path else F.lit(None).cast("string")).alias("path"))
-    rows = rows.where(F.col("t").rlike(CANDIDATE))
+    rows = rows.where(F.col("t").rlike(FOUND))
     # what splits the text between two candidates is behind one and in front of the other
-    found = rows.select("key", "digest", "path", F.split("t", CANDIDATE).alias("gaps"), F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    found = rows.select("key", "digest", "path", F.split("t", FOUND).alias("gaps"), F.regexp_extract_all("t", F.lit(FOUND), F.lit(0)).alias("found"))
     each = found.select("key", "digest", "path", F.posexplode(F.arrays_zip(
         F.col("found"), F.slice("gaps", F.lit(1), F.size("found")).alias("front"), F.slice("gaps", F.lit(2), F.size("found")).alias("back"))).alias("nth", "x"))
     return each.select("key", "digest", "nth", "path", F.col("x.found").alias("candidate"),
