@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+import examples
 from tools.compare import TABLES, rows_of
 
 SF = Path("/root/testdata/sf0.001")
@@ -22,7 +23,7 @@ def con():
 
 def test_every_oracle_has_its_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"sample_random"}
+    assert set(examples.all_queries()) == set(examples.all_oracles())
 
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
