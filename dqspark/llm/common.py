@@ -75,3 +75,29 @@ def running(df: DataFrame, ties: Sequence[str], value: str | None = None) -> tup
     }).drop("range", "n_ahead", "v_ahead")
     groups = parts.groupBy("g").agg(F.sum("n").alias("group_rows"), F.sum("v").alias("group_value"))
     return ranked, groups, n
+
+
+#: Rows of one range of an order, and the largest number of ranges.
+ROWS_A_RANGE, RANGES = 50_000, 20_000
+
+
+def placed(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows, kept, in ranges ``part`` of (``group``, ``order``), and the ranges of each group.
+
+    The second frame has a row for each ``part`` and group: ``n`` rows there, ``ahead`` rows of the
+    group in the ranges before it. A group of any size is cut where the order allows; only rows that
+    agree in all of it share a range. ``df`` is read twice and should be a kept table.
+    """
+    ranges = min(RANGES, -(-max(df.count(), 1) // ROWS_A_RANGE))
+    cut = df.repartitionByRange(ranges, *[F.col(g) for g in group], *order).withColumn("part", F.spark_partition_id())
+    kept = keep(cut, "ordered")
+    counts = kept.groupBy("part", *group).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy(*(group or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return kept, counts.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """The rows with their number (from 1) within their group (never null), in the given order."""
+    kept, ranges = placed(df, group, order)
+    own = F.row_number().over(Window.partitionBy("part", *group).orderBy(*order))
+    return kept.join(ranges.drop("n"), ["part", *group]).withColumn(name, F.col("ahead") + own).drop("part", "ahead")

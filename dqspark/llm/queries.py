@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dqspark.llm import chat, decontam, hamming, lines, mixing, neardup, repeats, secrets, sharding, toxicity
+from dqspark.llm import (
+    chat, decontam, hamming, lines, mixing, neardup, packing, repeats, resampling, secrets, sharding, toxicity, trie)
 from dqspark.llm.common import table
 
 
@@ -192,6 +193,88 @@ select conv_id, part, n_turns, copies,
 from parts group by conv_id, part, n_turns, copies
 """
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in DuckDB's SQL, next to ``crc_table``, byte by byte."""
+    digits = f"hex(encode({text}))"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr({digits}, cast(2 * i + 1 as integer), 2))::bigint)"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {octets}), lambda c, o: xor(c >> 8, crc_table.t[(xor(c, o) & 255) + 1])), 4294967295::bigint)"
+
+
+CRC_TABLE = """crc_table as (
+    select list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+        lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as t)"""
+
+
+def resampling_query(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return resampling.resampled(d, table(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+RESAMPLING_SQL = f"""
+with {CRC_TABLE},
+small as (
+    select 'd' as side, doc_id as id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
+    union all
+    select 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
+w as (select side, id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from small),
+c as (select w, {_crc32_sql('w')} % 10000 as bucket from (select distinct w from w), crc_table),
+f as (select side, id, bucket from w join c using (w)),
+n as (select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from f group by bucket),
+total as (select cast(sum(s) as double) as s, cast(sum(t) as double) as t from n),
+g as (
+    select bucket, cast(floor(1000 * ln(((n.t + 1) * (total.s + 10000)) / ((n.s + 1) * (total.t + 10000)))) as bigint) as gain
+    from n, total),
+h as (select id, count(*) as n_features, cast(sum(gain) as bigint) as weight from f join g using (bucket) where side = 'd' group by id),
+x as (
+    select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+        ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h
+    from documents left join h on id = doc_id),
+y as (
+    select doc_id, n_features, weight,
+        weight + cast(floor(-1000 * ln(-ln((h + cast(0.5 as double)) / cast(4294967296 as double)))) as bigint) as score from x),
+z as (select doc_id, row_number() over (order by score desc, doc_id) as nth, count(*) over () as n from y where n_features >= 20)
+select y.doc_id, n_features, weight, score, case when nth <= n // 10 then nth end as rank from y left join z on y.doc_id = z.doc_id
+"""
+
+
+def packing_query(spark, sf):
+    import public_tokenizers
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    out = packing.packed(d, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def trie_query(spark, sf):
+    return trie.prefix_trie(table(spark, sf, "conversations"), rebuilt=True)
+
+
+TRIE_SQL = f"""
+with {CRC_TABLE},
+t as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, role, text) as k
+    from conversations where conv_id is not null),
+o as (select conv_id, list({{'r': role, 't': text}} order by k) as said from t group by conv_id),
+h as (select conv_id, conv_id - conv_id % 100 as base, said, {_crc32_sql('cast(conv_id as varchar)')} % 6 as h from o, crc_table),
+r as (
+    select h.conv_id, list_concat(coalesce(o.said[1:h.h], []), h.said[h.h + 1:]) as said
+    from h left join o on o.conv_id = h.base),
+p as (select conv_id, d, len(said) as n, said[1:d] as prefix from (select *, unnest(range(len(said) + 1)) as d from r)),
+g as (
+    select prefix, d, min(conv_id) as conv_id, count(*) as n_convs, coalesce(length(prefix[d].t), 0) as chars,
+        sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n = d), '')) as ends_sha256
+    from p group by prefix, d),
+c as (select prefix[1:d - 1] as prefix, count(*) as n_children from g where d > 0 group by all),
+u as (select *, unnest(range(d + 1)) as up from (select g.*, n_children from g left join c on g.prefix = c.prefix)),
+s as (
+    select prefix[1:up] as prefix, cast(count(*) filter (n_children is null) as bigint) as n_leaves,
+        cast(sum((n_convs - 1) * chars) as bigint) as saved_tokens
+    from u group by prefix[1:up])
+select g.conv_id, g.d as depth, q.conv_id as parent_conv_id, g.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, g.ends_sha256
+from g left join g q on g.d > 0 and q.prefix = g.prefix[1:g.d - 1] and q.d = g.d - 1
+left join c on c.prefix = g.prefix join s on s.prefix = g.prefix
+"""
+
 QUERIES = {
     "op1_secret_forest": secrets_query,
     "op2_stratified_sharding": sharding_query,
@@ -205,6 +288,9 @@ QUERIES = {
     "op9_template_decontamination": decontam_query,
     "op9_items_within_sentences": items_query,
     "op10_chat_collapse": chat_query,
+    "op11_crc_resampling": resampling_query,
+    "op12_first_fit_packing": packing_query,
+    "op13_prefix_trie": trie_query,
 }
 
 ORACLES = {
@@ -213,4 +299,6 @@ ORACLES = {
     "op5_long_passages": PASSAGES_SQL,
     "op9_template_decontamination": _decontam_sql(),
     "op10_chat_collapse": CHAT_SQL,
+    "op11_crc_resampling": RESAMPLING_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }
