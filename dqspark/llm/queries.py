@@ -240,7 +240,7 @@ select y.doc_id, n_features, weight, score, case when nth <= n // 10 then nth en
 def packing_query(spark, sf):
     import public_tokenizers
     d = table(spark, sf, "documents").select("doc_id", "text")
-    out = packing.packed(d, public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.packed(d, public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

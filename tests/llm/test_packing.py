@@ -9,7 +9,8 @@ import pytest
 from dqspark.llm import packing
 
 tokenizers = pytest.importorskip("tokenizers")
-tokenizer = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+public = pytest.importorskip("public_tokenizers")
+tokenizer, ranks = public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken")
 DOCS = "doc_id long, text string, length string"
 
 
@@ -27,6 +28,22 @@ def test_first_fit_decreasing(seed):
     assert packing.first_fit(lengths, 50) == want
 
 
+SIGNS = ["a", "Zé", "9", " ", "  ", "\t", "\n", "\r\n", "'s", "'re", "'LL", "!", "...", "_", "κ", "ж", "<|end", "\u00a0", "\u2003", "\u3000", "数",
+         "<|endoftext|>", "\U0001f600", "\u200b", "\x1c", "\x85", "ß", "×", "²", "\u0301"]
+
+
+@pytest.mark.parametrize("signs", [SIGNS, SIGNS[:17]])
+def test_ranks_give_the_same_ids(signs):
+    r = random.Random(len(signs))
+    texts = ["".join(r.choices(signs + [" "] * 9, k=r.randint(0, 40))) for _ in range(5000)]
+    texts += ["a" * 20_000, " " * 20_000 + "b", "x<|endoftext|> y", "It's we'LL 12 345 x_1 é É ñandú Ωμέγα Ёж"]
+    whole = tokenizers.Tokenizer.from_file(tokenizer)
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in packing.Encoder(tokenizer, ranks)(texts)] == want
+    assert [x.tolist() for x in packing.Encoder(tokenizer)(texts)] == want
+    assert sum(bool(packing.COMMON(t)) for t in texts) > 50
+
+
 def encoded(text):
     return [*tokenizers.Tokenizer.from_file(tokenizer).encode(text or "", add_special_tokens=False).ids, 1]
 
@@ -60,7 +77,7 @@ def test_round_trip_without_padding(spark):
     r = random.Random(3)
     docs = [(i, None if i % 13 == 5 else " ".join(r.choices(["tree", "é", "<|endoftext|>", "\n\n", "x1"], k=r.randint(0, 60))), "x")
             for i in range(150)] + [(1000, "long word " * 400, None)]
-    got = packing.packed(spark.createDataFrame(docs, DOCS).repartition(3), tokenizer, capacity=64).collect()
+    got = packing.packed(spark.createDataFrame(docs, DOCS).repartition(3), tokenizer, capacity=64, ranks=ranks).collect()
     sequences = check(got, docs, 64)
     total = sum(len(encoded(d[1])) for d in docs)
     assert len(sequences) <= total // 64 + 7
