@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from dqspark.functions.exact import Bound, breaks, outside  # noqa: F401
 from dqspark.functions.frames import local_frame
 from dqspark.functions.predicates import Scope
 from dqspark.functions.types import OUTPUT_TYPES, TYPE_CODES, matches_code, simple_type
@@ -24,6 +25,9 @@ METRIC_TEST_SCHEMA = T.StructType([
     T.StructField("op", T.StringType()),
     T.StructField("target", T.DoubleType()),
     T.StructField("spec_error", T.StringType()),
+    T.StructField("lower_exact", T.StringType()),    # the bounds as they were written
+    T.StructField("upper_exact", T.StringType()),
+    T.StructField("target_exact", T.StringType()),
 ])
 
 COUNTS_SCHEMA = T.StructType([
@@ -59,9 +63,9 @@ WITHIN_BOUNDS = ") respect the configured bounds."
 
 # --- tests on a metric's value
 
-def bound(value: Any) -> float:
+def bound(value: Any) -> Bound:
     """A bound as a number; NaN, which nothing exceeds, is none."""
-    number_ = float(value)
+    number_ = Bound(value)
     if number_ != number_:
         raise ValueError(f"{INCOMPARABLE}'{value}' is not a number")
     return number_
@@ -94,8 +98,21 @@ def _metric_test_row(spec: Mapping[str, Any]) -> tuple:
         error = NO_BOUND
     if error is None and not spec.get("metric_id"):
         error = "The test names no metric."
+    exact = [None if b is None else format(b.exact, "f") for b in bounds.values()]
     return (spec["id"], kind, spec.get("metric_id"), bounds["lower"], bounds["upper"],
-            bool(spec.get("inclusive", True)), op, bounds["target"], error)
+            bool(spec.get("inclusive", True)), op, bounds["target"], error, *exact)
+
+
+def _against(limit: str) -> str:
+    """SQL for the sign of a metric's value less a limit: exact where both are known so, else of doubles."""
+    exact, other = (f"try_cast({x} as decimal(38, 18))" for x in ("exact", f"{limit}_exact"))
+    return (f"case when {exact} < {other} then -1 when {exact} > {other} then 1 when {exact} = {other} then 0 "
+            f"when found < {limit} then -1 when found > {limit} then 1 when found = {limit} then 0 end as to_{limit}")
+
+
+def _plainly(value: str, exact: str) -> str:
+    """SQL for a number as people write it, all digits of a large one that is known exactly."""
+    return f"if({exact} is not null and abs({value}) >= 9007199254740992D, {exact}, {number_text(value)})"
 
 
 def metric_checks(tests: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -103,22 +120,24 @@ def metric_checks(tests: DataFrame, metrics: DataFrame) -> DataFrame:
     passed, status, message).
 
     A test whose metric did not succeed is SKIPPED with the reason; one whose metric is unknown or
-    has no value fails.
+    has no value fails. Values that ``metrics`` also gives as text in ``exact`` are compared exactly.
     """
+    exact = "exact" if "exact" in metrics.columns else "cast(null as string) as exact"
     known = metrics.selectExpr(
-        "metric_id", "dataset", "column", "value as found", "status as metric_status", "error")
-    value, lower, upper, target = (number_text(c) for c in ("found", "lower", "upper", "target"))
+        "metric_id", "dataset", "column", "value as found", "status as metric_status", "error", exact)
+    value = _plainly("found", "exact")
+    lower, upper, target = (_plainly(c, f"{c}_exact") for c in ("lower", "upper", "target"))
     outcome = """case
         when spec_error is not null or metric_status is null then 'FAIL'
         when metric_status <> 'SUCCESS' then 'SKIPPED'
         when found is null or isnan(found) then 'FAIL'
         when type = 'interval_check' then
-            if(coalesce(found < lower, false) or coalesce(found > upper, false), 'FAIL', 'SUCCESS')
+            if(coalesce(to_lower < 0, false) or coalesce(to_upper > 0, false), 'FAIL', 'SUCCESS')
         when type = 'range' then
-            if((inclusive and found >= lower and found <= upper) or (found > lower and found < upper), 'SUCCESS', 'FAIL')
-        when case op when '=' then found = target when '==' then found = target when '!=' then found <> target
-             when '>=' then found >= target when '<=' then found <= target
-             when '>' then found > target else found < target end then 'SUCCESS'
+            if((inclusive and to_lower >= 0 and to_upper <= 0) or (to_lower > 0 and to_upper < 0), 'SUCCESS', 'FAIL')
+        when case op when '=' then to_target = 0 when '==' then to_target = 0 when '!=' then to_target <> 0
+             when '>=' then to_target >= 0 when '<=' then to_target <= 0
+             when '>' then to_target > 0 else to_target < 0 end then 'SUCCESS'
         else 'FAIL' end"""
     message = f"""case
         when spec_error is not null then spec_error
@@ -127,13 +146,14 @@ def metric_checks(tests: DataFrame, metrics: DataFrame) -> DataFrame:
         when found is null or isnan(found) then concat("Metric '", metric_id, "' has no numeric value.")
         when status = 'SUCCESS' then '{OK}'
         when type = 'interval_check' then concat_ws('; ',
-            if(found < lower, concat({value}, '{BELOW}', {lower}), null),
-            if(found > upper, concat({value}, '{ABOVE}', {upper}), null))
+            if(to_lower < 0, concat({value}, '{BELOW}', {lower}), null),
+            if(to_upper > 0, concat({value}, '{ABOVE}', {upper}), null))
         when type = 'range' then concat('value ', {value}, '{OUT_OF_RANGE}', if(inclusive, '[', '('),
             {lower}, ', ', {upper}, if(inclusive, ']', ')'))
         else concat({value}, ' is not ', op, ' ', {target}) end"""
     return (
-        tests.join(known, "metric_id", "left").selectExpr("*", f"{outcome} as status")
+        tests.join(known, "metric_id", "left").selectExpr("*", *[_against(c) for c in ("lower", "upper", "target")])
+        .selectExpr("*", f"{outcome} as status")
         .selectExpr(
             "test_id", "type", "metric_id", "dataset", "column",
             "if(spec_error is null and not isnan(found), found, null) as value",
@@ -161,16 +181,6 @@ def resolve_bounds(
     }
 
 
-def outside(value: Column, lower: float | None, upper: float | None, inclusive: bool = True) -> Column:
-    """True where a number breaks a bound; a null breaks none."""
-    broken = F.lit(False)
-    if lower is not None:
-        broken = broken | ((value < lower) if inclusive else (value <= lower))
-    if upper is not None:
-        broken = broken | ((value > upper) if inclusive else (value >= upper))
-    return F.coalesce(broken, F.lit(False))
-
-
 def bounds_scan(
     df: DataFrame, bounds: Mapping[str, tuple[float | None, float | None]], inclusive: bool = True,
 ) -> tuple[list[dict[str, Any]], Scan]:
@@ -191,7 +201,7 @@ def bounds_scan(
             values[f"{i}_checked"] = scope.count_if(value.isNotNull())
             if row["state"] == "checked":
                 values[f"{i}_violations"] = scope.count_if(
-                    outside(value, row["lower"], row["upper"], inclusive))
+                    breaks(df, row["column"], row["lower"], row["upper"], inclusive))
         return values
     return rows, Scan(build)
 

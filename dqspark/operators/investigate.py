@@ -10,10 +10,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from dqspark.functions.exact import breaks
 from dqspark.functions.frames import first_rows
 from dqspark.functions.predicates import resolve_columns
-from dqspark.functions.values import key_digest, missing, named, number
-from dqspark.operators.checks import outside
+from dqspark.functions.values import key_digest, missing, named
 from dqspark.operators.scan import fold, frequencies
 
 SAMPLE_ROWS = 100    # rows of a sample when none are asked for
@@ -37,7 +37,7 @@ def any_missing(df: DataFrame, columns: Sequence[str] | str | None = None) -> Co
 def any_outside(df: DataFrame, bounds: Bounds, inclusive: bool = True) -> Column:
     """Rows that break the effective bounds of at least one column."""
     broken = [
-        outside(number(df, c), low, high, inclusive)
+        breaks(df, c, low, high, inclusive)
         for c, (low, high) in bounds.items() if c in df.columns
     ]
     return fold(broken or [F.lit(False)], lambda a, b: a | b)

@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from dqspark.functions.exact import breaks, comparable, summand
 from dqspark.functions.predicates import Scope, pick_where, resolve_columns
 from dqspark.functions.types import is_numeric, simple_type
 from dqspark.functions.value_filters import keep_column
@@ -131,13 +132,16 @@ def build_probe(
 
 
 def compute_metrics(
-    df: DataFrame, metrics: Sequence[Metric], datasets: Datasets | None = None,
+    df: DataFrame, metrics: Sequence[Metric], datasets: Datasets | None = None, exact: bool = False,
 ) -> DataFrame:
-    """The values of several metrics of one dataset as (metric_id, value), in shared scans."""
+    """The values of several metrics of one dataset as (metric_id, value), in shared scans.
+
+    With ``exact`` also their text where they are integers, decimals or moments, which a double may round.
+    """
     probes = [build_probe(m, df, datasets, "") for m in metrics]
     if any(isinstance(p, Table) for p in probes):
         raise ValueError("a metric that makes a table has no value: use metric_table")
-    return long_values(probes, details=False).select(F.col("key").alias("metric_id"), "value")
+    return long_values(probes, details=False).select(F.col("key").alias("metric_id"), "value", *["exact"] * exact)
 
 
 def metric_details(df: DataFrame, m: Metric, datasets: Datasets | None = None) -> DataFrame:
@@ -298,10 +302,10 @@ def _rule_share(df, params, datasets):
 
 @_builtin("count_out_of_range", label="Rows out of range", group="Validity")
 def _count_out_of_range(df, params, datasets):
-    value = number(df, _one(df, params))
+    name = _one(df, params)
     # The range used when none is given.
     low, high = params.get("low", 0.01), params.get("high", 1_000_000)
-    return Scan(lambda scope: {"value": scope.count_if((value < low) | (value > high))})
+    return Scan(lambda scope: {"value": scope.count_if(breaks(df, name, low, high))})
 
 
 @_builtin("regex_share", label="Share matching a pattern", group="Validity")
@@ -350,9 +354,9 @@ def _date_share(df, params, datasets):
 @_builtin("column_sum", "sum", label="Sum of a column", group="Aggregation")
 def _column_sum(df, params, datasets):
     name = _one(df, params)
-    value = number(df, name)
+    value = summand(df, name)
     return Scan(lambda scope: {
-        "value": F.coalesce(F.sum(scope.only(value)), F.lit(0.0)),
+        "value": F.coalesce(F.sum(scope.only(value)), F.lit(0)),
         "non_null_count": scope.count_if(~absent(df, name)),
         "null_count": scope.count_if(absent(df, name)),
     })
@@ -363,7 +367,10 @@ _STATISTICS = {"avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "std": F
 
 def _statistic(fn: str):
     def build(df, params, datasets):
-        value = number(df, _one(df, params))
+        name = _one(df, params)
+        value = comparable(df, name) if fn in ("min", "max") else number(df, name)
+        if fn not in ("min", "max") and simple_type(field_of(df, name).dataType) == "datetime":
+            raise ValueError(f"'{name}' is a moment: {fn} needs a number")
         return Scan(lambda scope: {"value": _STATISTICS[fn](scope.only(value))})
     return build
 

@@ -139,16 +139,30 @@ def _aggregate(df, asked, details):
 
 
 def long_values(probes: Sequence[Probe], details: bool = True) -> DataFrame:
-    """All answers as rows (key, name, value), lazily."""
+    """All answers as rows (key, name, value, exact), lazily.
+
+    ``exact`` is the text of an integer, a decimal or a moment; a moment has no ``value``.
+    """
     parts = []
     for frame, slots in _wide_frames(probes, details):
+        kinds = [kind for _, kind in frame.dtypes]
         cells = ", ".join(
-            f"struct({_quoted(key)} as key, {_quoted(name)} as name, cast(s{i} as double) as value)"
+            f"struct({_quoted(key)} as key, {_quoted(name)} as name, {_as_double(i, kinds[i])} as value, "
+            f"{_as_text(i, kinds[i])} as exact)"
             for i, (key, name) in enumerate(slots))
         parts.append(frame.selectExpr(f"inline(array({cells}))"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _as_double(i: int, kind: str) -> str:
+    return "cast(null as double)" if kind.startswith(("date", "timestamp")) else f"cast(s{i} as double)"
+
+
+def _as_text(i: int, kind: str) -> str:
+    exact = kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith(("decimal", "date", "timestamp"))
+    return f"cast(s{i} as string)" if exact else "cast(null as string)"
+
+
 def _quoted(text: str) -> str:
     """A SQL string literal; the escaped dollar keeps Spark from reading ``${...}`` as a variable."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
@@ -220,10 +234,21 @@ def breaks_a_value(error: BaseException) -> bool:
     return bool(state) and state.startswith(("22", "42"))
 
 
-def _gather(df: DataFrame) -> dict[str, dict[str, float | None]]:
-    answers: dict[str, dict[str, float | None]] = {}
+class Found(dict):
+    """The numbers of a probe by name; ``exact`` holds the text of those known beyond a double."""
+
+    def __init__(self):
+        super().__init__()
+        self.exact: dict[str, str] = {}
+
+
+def _gather(df: DataFrame) -> dict[str, Found]:
+    answers: dict[str, Found] = {}
     for row in df.collect():
-        answers.setdefault(row["key"], {})[row["name"]] = row["value"]
+        found = answers.setdefault(row["key"], Found())
+        found[row["name"]] = row["value"]
+        if row["exact"] is not None:
+            found.exact[row["name"]] = row["exact"]
     return answers
 
 

@@ -13,6 +13,8 @@ METRICS_SCHEMA = (
     "suite_id string, metric_id string, type string, dataset string, column string, "
     "value double, status string, error string"
 )
+#: A run's metrics: with the text of values that a double may round, such as large keys, sums and moments.
+EXACT_METRICS_SCHEMA = METRICS_SCHEMA + ", exact string"
 TESTS_SCHEMA = (
     "suite_id string, test_id string, type string, metric_id string, dataset string, column string, "
     "value double, passed boolean, status string, message string, severity string, blocking boolean"

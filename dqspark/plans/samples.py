@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from dqspark.functions.exact import breaks
 from dqspark.functions.predicates import pick_where, resolve_columns
 from dqspark.functions.value_filters import keep_column
-from dqspark.functions.values import absent, named, number
+from dqspark.functions.values import absent, named
 from dqspark.operators import checks, investigate
 from dqspark.operators.metrics import EMAIL_PATTERN, METRIC_TYPES, Metric, dates_inside, orphan_count
 from dqspark.operators.scan import Frame, Probe, Scan, collect_values, fold
@@ -77,7 +78,7 @@ def _metric_suspects(run, metric: Metric) -> Suspects | None:
     if metric.type == "count_out_of_range":
         low, high = p.get("low", 0.01), p.get("high", 1_000_000)
         return Suspects(metric.dataset, f"Values out of bounds: {column} [{low}, {high}]",
-                         checks.outside(number(df, column), low, high), keep)
+                         breaks(df, column, low, high), keep)
     if metric.type == "duplicate_count":
         columns = tuple([column] if isinstance(column, str) else column)
         return Suspects(metric.dataset, f"Rows with a repeated {', '.join(columns)}", None, keep,

@@ -16,12 +16,12 @@ from dqspark.functions.predicates import pick_where, predicate_columns
 from dqspark.functions.value_filters import check_value_filter, keep_column, value_filter_prechecks
 from dqspark.operators import checks, custom, investigate
 from dqspark.operators.metrics import Metric, build_probe, declared_output, orphan_count
-from dqspark.operators.scan import Frame, Probe, Scan, Table, collect_values, first_line
+from dqspark.operators.scan import Found, Frame, Probe, Scan, Table, collect_values, first_line
 from dqspark.plans.definition import (
     info_rows, metric_of, reference, refuse_shared_ids, split_rules, suite_items, test_of,
 )
 from dqspark.plans.result import (
-    DETAILS_SCHEMA, INFO_SCHEMA, INVESTIGATIONS_SCHEMA, METRICS_SCHEMA, TESTS_SCHEMA, SuiteResult,
+    DETAILS_SCHEMA, EXACT_METRICS_SCHEMA, INFO_SCHEMA, INVESTIGATIONS_SCHEMA, TESTS_SCHEMA, SuiteResult,
 )
 from dqspark.plans.samples import sample_failures
 from dqspark.sources.registry import VIRTUAL, DatasetRegistry
@@ -110,7 +110,7 @@ class _Run:
                 self.metric_status[mid] = ("ERROR", errors[key])
                 continue
             self.metric_status[mid] = ("SUCCESS", None)
-            self.values[mid] = answers.get(key, {})
+            self.values[mid] = answers.get(key) or Found()
             table = probe.ask.table if isinstance(probe.ask, Scan) else None
             if table:
                 schema = ", ".join(
@@ -125,9 +125,10 @@ class _Run:
         for mid, metric in self.metrics.items():
             status, error = self.metric_status[mid]
             probe = self.metric_ask.get(mid)
-            value = self.values.get(mid, {}).get(probe.ask.value) if probe is not None else None
-            rows.append((self.suite_id, mid, metric.type, metric.dataset, metric.column_text(),
-                         value if status == "SUCCESS" else None, status, error))
+            found = self.values.get(mid) or Found()
+            value, exact = (x.get(probe.ask.value) if probe is not None and status == "SUCCESS" else None
+                            for x in (found, found.exact))
+            rows.append((self.suite_id, mid, metric.type, metric.dataset, metric.column_text(), value, status, error, exact))
         return rows
 
     def verdict(self, test, passed, status, message, value=None) -> None:
@@ -197,7 +198,7 @@ def run_suite(
     late, late_errors = collect_values(second)
     answers, errors = answers | late, errors | late_errors
 
-    metrics = local_frame(spark, run.metric_rows(), METRICS_SCHEMA)
+    metrics = local_frame(spark, run.metric_rows(), EXACT_METRICS_SCHEMA)
     parts = [_metric_verdicts(run, tests, metrics), _column_verdicts(run, planned, answers, errors)]
     _schema_verdicts(run, tests, planned)
     if technical_checks:
@@ -218,7 +219,7 @@ def run_suite(
     ]
     details = [(m, name, v) for m, found in run.values.items() for name, v in found.items()]
     for made in scripts.measures:
-        metrics = metrics.unionByName(made)
+        metrics = metrics.unionByName(made, allowMissingColumns=True)
     for made in scripts.verdicts:
         tests_df = tests_df.unionByName(made)
     return SuiteResult(

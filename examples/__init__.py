@@ -1,8 +1,8 @@
 """Every operator applied to whole tables of the test data, with the same question in SQL beside it."""
 
-from examples import checks, deliveries, metrics, sources, suites
+from examples import checks, deliveries, exact, metrics, sources, suites
 
-MODULES = (sources, metrics, checks, suites, deliveries)
+MODULES = (sources, metrics, checks, suites, deliveries, exact)
 
 
 def all_queries():
