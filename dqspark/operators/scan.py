@@ -145,22 +145,23 @@ def long_values(probes: Sequence[Probe], details: bool = True) -> DataFrame:
     """
     parts = []
     for frame, slots in _wide_frames(probes, details):
-        kinds = [kind for _, kind in frame.dtypes]
-        cells = ", ".join(
-            f"struct({_quoted(key)} as key, {_quoted(name)} as name, {_as_double(i, kinds[i])} as value, "
-            f"{_as_text(i, kinds[i])} as exact)"
-            for i, (key, name) in enumerate(slots))
-        parts.append(frame.selectExpr(f"inline(array({cells}))"))
+        parts.append(frame.select(F.inline(answer_cells(
+            frame, [(f"s{i}", {"key": key, "name": name}) for i, (key, name) in enumerate(slots)]))))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _as_double(i: int, kind: str) -> str:
-    return "cast(null as double)" if kind.startswith(("date", "timestamp")) else f"cast(s{i} as double)"
-
-
-def _as_text(i: int, kind: str) -> str:
-    exact = kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith(("decimal", "date", "timestamp"))
-    return f"cast(s{i} as string)" if exact else "cast(null as string)"
+def answer_cells(frame: DataFrame, cells: Sequence[tuple[str, Mapping[str, str]]]) -> Column:
+    """Columns of aggregates as an array of structs: the names each goes by, its ``value`` and its ``exact`` text."""
+    kinds, structs = dict(frame.dtypes), []
+    for column, names in cells:
+        kind = kinds[column]
+        moment = kind.startswith(("date", "timestamp"))
+        exact = moment or kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal")
+        value = "cast(null as double)" if moment else f"cast({column} as double)"
+        text = f"cast({column} as string)" if exact else "cast(null as string)"
+        structs.append("struct({}, {} as value, {} as exact)".format(
+            ", ".join(f"{_quoted(v)} as {k}" for k, v in names.items()), value, text))
+    return F.expr(f"array({', '.join(structs)})")
 
 
 def _quoted(text: str) -> str:

@@ -6,7 +6,9 @@ import posixpath
 from typing import TYPE_CHECKING
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dqspark.functions.frames import local_frame
 from dqspark.functions.value_filters import PRECHECK_SCHEMA
@@ -45,6 +47,17 @@ def write_results(result: SuiteResult, path: str, fmt: str = "parquet") -> dict[
     return written
 
 
+def part_exists(spark: SparkSession, path: str, part: str | None = None, value: str | int | None = None) -> bool:
+    """Whether a Parquet table, or one partition of it, has been written."""
+    folder = path if part is None else posixpath.join(path, f"{part}={quote(str(value), safe=' -_.~')}")
+    try:
+        return bool(spark.read.parquet(folder).columns)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+
+
 def replace_part(df: DataFrame, path: str, part: str, value: str | int, fmt: str = "parquet") -> None:
     """Make a frame's rows the whole of one partition of a table, in files of a sensible size.
 
