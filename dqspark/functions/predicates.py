@@ -39,6 +39,44 @@ class Scope:
     def count_if(self, condition: Column) -> Column:
         return how_many(condition if self.keep is None else self.keep & condition)
 
+    def total(self, value: Column) -> Column:
+        return F.sum(self.only(value))
+
+    def least(self, value: Column) -> Column:
+        return F.min(self.only(value))
+
+    def most(self, value: Column) -> Column:
+        return F.max(self.only(value))
+
+    def mean(self, value: Column) -> Column:
+        return F.avg(self.only(value))
+
+    def deviation(self, value: Column) -> Column:
+        return F.stddev_samp(self.only(value))
+
+    def distinct(self, value: Column, sketch: str | None = None) -> Column:
+        """About how many values there are; ``sketch`` as in ``sketched_distinct``."""
+        return F.approx_count_distinct(self.only(value)) if sketch is None else DISTINCT[sketch][1](DISTINCT[sketch][0](self.only(value)))
+
+    def quantile(self, value: Column, rank: float, kind: str) -> Column:
+        """About the value at a share of the order, from a KLL sketch of ``bigint`` or ``double`` values."""
+        return sketched_quantile(QUANTILE[kind][0](self.only(value), F.lit(SKETCH_SIZE)), rank, kind)
+
+
+#: Values a KLL sketch holds on its lowest level: the rank it gives is off by about 2.3 / SKETCH_SIZE ** 0.9 at most.
+SKETCH_SIZE = 2000
+#: How values are sketched and counted: HyperLogLog, or theta, whose sketches can also be intersected.
+DISTINCT = {"hll": (F.hll_sketch_agg, F.hll_sketch_estimate), "theta": (F.theta_sketch_agg, F.theta_sketch_estimate)}
+QUANTILE = {
+    "bigint": (F.kll_sketch_agg_bigint, F.kll_sketch_get_quantile_bigint, F.kll_sketch_get_n_bigint),
+    "double": (F.kll_sketch_agg_double, F.kll_sketch_get_quantile_double, F.kll_sketch_get_n_double)}
+
+
+def sketched_quantile(sketch: Column, rank: float, kind: str) -> Column:
+    """The value at a rank of a KLL sketch, null if it holds none."""
+    _, value, n = QUANTILE[kind]
+    return F.when(n(sketch) > 0, value(sketch, F.lit(float(rank))))
+
 
 def resolve_columns(df: DataFrame, wanted: str | Iterable[str] | None) -> list[str]:
     """Known columns in the order asked for, each once; all columns when none is asked for."""

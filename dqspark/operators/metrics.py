@@ -13,6 +13,7 @@ from dqspark.functions.predicates import Scope, pick_where, resolve_columns
 from dqspark.functions.types import is_numeric, simple_type
 from dqspark.functions.value_filters import keep_column
 from dqspark.functions.values import absent, field_of, how_many, missing, named, number, share
+from dqspark.operators.quantiles import exact_quantiles, quantile_kind
 from dqspark.operators.scan import Frame, Keys, Probe, Scan, Table, fold, frequencies, long_values
 
 # Fixed value: what a regular-expression check looks for when no pattern is given.
@@ -356,13 +357,13 @@ def _column_sum(df, params, datasets):
     name = _one(df, params)
     value = summand(df, name)
     return Scan(lambda scope: {
-        "value": F.coalesce(F.sum(scope.only(value)), F.lit(0)),
+        "value": F.coalesce(scope.total(value), F.lit(0)),
         "non_null_count": scope.count_if(~absent(df, name)),
         "null_count": scope.count_if(absent(df, name)),
     })
 
 
-_STATISTICS = {"avg": F.avg, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp}
+_STATISTICS = {"avg": Scope.mean, "mean": Scope.mean, "min": Scope.least, "max": Scope.most, "std": Scope.deviation}
 
 
 def _statistic(fn: str):
@@ -371,7 +372,7 @@ def _statistic(fn: str):
         value = comparable(df, name) if fn in ("min", "max") else number(df, name)
         if fn not in ("min", "max") and simple_type(field_of(df, name).dataType) == "datetime":
             raise ValueError(f"'{name}' is a moment: {fn} needs a number")
-        return Scan(lambda scope: {"value": _STATISTICS[fn](scope.only(value))})
+        return Scan(lambda scope: {"value": getattr(scope, _STATISTICS[fn].__name__)(value)})
     return build
 
 
@@ -386,6 +387,20 @@ def _stat(df, params, datasets):
     return _statistic(params["fn"])(df, params, datasets)
 
 
+@_builtin("quantile", "median", label="Value at a rank", group="Aggregation")
+def _quantile(df, params, datasets):
+    """``q`` (a share, half if none) of the numbers of a column: from a sketch in the shared scan, or ``exact``."""
+    name, q = _one(df, params), float(params.get("q", 0.5))
+    if not 0 <= q <= 1:
+        raise ValueError(f"a quantile needs a share between 0 and 1, not {q}")
+    if params.get("exact"):
+        found = exact_quantiles(df, [name], [q], bool(params.get("interpolate")))
+        return Frame(found.agg(F.max("value").alias("value"), F.max("n").alias("n")))
+    kind = quantile_kind(df, name)
+    value = comparable(df, name) if kind == "bigint" else number(df, name)
+    return Scan(lambda scope: {"value": scope.quantile(value, q, kind)})
+
+
 @_builtin("aggregation_by_column", label="Aggregates per group", group="Aggregation")
 def _aggregation_by_column(df, params, datasets):
     groups, target = _names(params, "group_by"), params["target"]
@@ -408,9 +423,11 @@ def _unique_count(df, params, datasets):
     name = _one(df, params)
     if params.get("approx"):
         value = F.when(~absent(df, name), named(name))
+        if params.get("sketch") and simple_type(field_of(df, name).dataType) not in ("string", "int"):
+            value = value.cast("string")
 
         def build(scope):
-            distinct = F.approx_count_distinct(scope.only(value))
+            distinct = scope.distinct(value, params.get("sketch"))
             return {"value": distinct, "total_rows": scope.rows(),
                     "uniqueness_rate": share(distinct, scope.rows())}
         return Scan(build)

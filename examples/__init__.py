@@ -1,8 +1,8 @@
 """Every operator applied to whole tables of the test data, with the same question in SQL beside it."""
 
-from examples import checks, deliveries, event_time, exact, metrics, sources, suites
+from examples import checks, deliveries, event_time, exact, metrics, sketches, sources, suites
 
-MODULES = (sources, metrics, checks, suites, deliveries, exact, event_time)
+MODULES = (sources, metrics, checks, suites, deliveries, exact, event_time, sketches)
 
 
 def all_queries():
