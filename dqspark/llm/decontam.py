@@ -28,53 +28,74 @@ def words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
-def template(found: Column) -> Column:
+def bare(w: Column) -> Column:
+    return F.lower(F.btrim(w, F.lit(EDGES)))
+
+
+def _plain(w: Column) -> Column:
+    """Most words begin with a small letter, so are no numbers or names: they never meet a pattern."""
+    return F.ascii(w).between(97, 122)
+
+
+def _kind(w: Column, i: Column, before: Column, own: Column) -> Column:
+    """The placeholder of a word, null for a literal one; ``own`` is the word without case and edges."""
+    return (F.when(~_plain(w) & w.rlike(NUMBER), F.lit("<number>"))
+            .when(~_plain(w) & w.rlike(NAME) & (i > 0) & ~before.rlike(ENDS), F.lit("<name>"))
+            .when((i > 0) & ~_plain(before) & before.rlike(NUMBER) & own.isin(UNITS.split()), F.lit("<unit>")))
+
+
+def template(found: Column, bares: Column) -> Column:
     """Each word as (``t``: its placeholder or its lower-cased letters, ``v``: the word if replaced, else null)."""
-    def one(w, i):
-        bare = F.lower(F.btrim(w, F.lit(EDGES)))
-        before = F.get(found, i - 1)
-        plain = F.ascii(w).between(97, 122)  # most words begin with a small letter, so are no numbers or names
-        kind = (F.when(~plain & w.rlike(NUMBER), F.lit("<number>"))
-                .when(~plain & w.rlike(NAME) & (i > 0) & ~before.rlike(ENDS), F.lit("<name>"))
-                .when(bare.isin(UNITS.split()) & (i > 0) & before.rlike(NUMBER), F.lit("<unit>")))
-        return F.struct(F.coalesce(kind, bare).alias("t"), F.when(kind.isNotNull(), bare).alias("v"))
-    return F.transform(found, one)
+    kinds = F.transform(found, lambda w, i: _kind(w, i, F.get(found, i - 1), F.get(bares, i)))
+    return F.zip_with(kinds, bares, lambda kind, own: F.struct(
+        F.coalesce(kind, own).alias("t"), F.when(kind.isNotNull(), own).alias("v")))
+
+
+def template_hashes(found: Column, bares: Column) -> Column:
+    """The hash of each word's placeholder or letters."""
+    return F.transform(found, lambda w, i: F.xxhash64(F.coalesce(_kind(w, i, F.get(found, i - 1), F.get(bares, i)), F.get(bares, i))))
 
 
 def _hashed(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.xxhash64(x["t"]))
 
 
-def _window(h: Column, i: Column, n) -> Column:
+def _window(h: Column, i: Column, n, exact: bool = False) -> Column:
     """The hash of ``n`` words from place ``i`` (0 is the first)."""
-    return F.xxhash64(F.slice(h, i + 1, n))
+    return F.xxhash64(F.slice(h, i + 1, n), F.lit(exact))
+
 
+def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
+    """``item``, ``item_at``, ``long``, ``window``, ``part`` (the words) and ``exact`` of what is searched.
 
-def item_windows(items: DataFrame, key: str, text: str, within: bool = False) -> DataFrame:
-    """``item``, ``item_at``, ``long``, ``window`` and ``part`` (the words) of windows with enough literal words."""
-    tokens = items.select(items[key].alias("item"), words(items[text]).alias("w")).distinct().select(
-        "item", F.get("w", F.lit(0)).alias("head"), template(F.col("w")).alias("tokens"))
+    The windows with enough literal words, the first also as it reads within a sentence. An item without such a
+    window is searched ``exact``: all its words, found by the first of them.
+    """
+    found = items.select(items[key].alias("item"), words(items[text]).alias("w")).distinct()
+    tokens = found.withColumn("bares", F.transform("w", bare)).where(F.exists("bares", lambda x: x != "")).select(
+        "item", F.get("w", F.lit(0)).alias("head"), template(F.col("w"), F.col("bares")).alias("tokens"), "bares")
     n = F.least(F.size("h"), F.lit(WINDOW))
     each = F.when(F.size("h") >= LITERALS, F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.struct(
         i.alias("item_at"), n.alias("long"), _window(F.col("h"), i, n).alias("window"), F.slice("tokens", i + 1, n).alias("part"))))
-    made = tokens.withColumn("h", _hashed(F.col("tokens"))).select("item", "head", F.inline(each))
-    made = made.where(F.size(F.filter("part", lambda x: x["v"].isNull() & (x["t"] != ""))) >= LITERALS)
-
-    if not within:
-        return made.drop("head")
+    literal = F.filter(each, lambda x: F.size(F.filter(x["part"], lambda y: y["v"].isNull() & (y["t"] != ""))) >= LITERALS)
+    made = tokens.withColumn("h", _hashed(F.col("tokens"))).withColumn("each", literal)
+    rich = made.where(F.size("each") > 0).select("item", "head", F.inline("each"))
+    whole = F.transform("bares", lambda x: F.struct(x.alias("t"), F.lit(None).cast("string").alias("v")))
+    poor = made.where(F.coalesce(F.size("each"), F.lit(0)) <= 0).select("item", F.lit(0).alias("item_at"), n.alias("long"), whole.alias("part")).withColumn(
+        "window", _window(_hashed(F.col("part")), F.lit(0), F.col("long"), exact=True))
 
     # within a document's sentence an item's first word is a name, and behind a number a unit
     def begun(kind, holds):
         first = F.get("part", F.lit(0))
         part = F.concat(F.array(F.struct(F.lit(kind).alias("t"), first["t"].alias("v"))), F.slice("part", F.lit(2), F.col("long") - 1))
-        return made.where((F.col("item_at") == 0) & first["v"].isNull() & holds).withColumn("part", part).withColumn(
-            "window", F.xxhash64(_hashed(F.col("part"))))
-    bare = F.lower(F.btrim("head", F.lit(EDGES)))
-    return made.union(begun("<name>", F.col("head").rlike(NAME))).union(begun("<unit>", bare.isin(UNITS.split()))).drop("head")
+        return rich.where((F.col("item_at") == 0) & first["v"].isNull() & holds).withColumn("part", part).withColumn(
+            "window", _window(_hashed(F.col("part")), F.lit(0), F.col("long")))
+    searched = rich.union(begun("<name>", F.col("head").rlike(NAME))).union(begun("<unit>", bare(F.col("head")).isin(UNITS.split()))).drop("head")
+    return searched.withColumn("exact", F.lit(False)).unionByName(poor.withColumn("exact", F.lit(True)))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
-                 item_key: str = "item_id", item_text: str = "text", within: bool = False) -> DataFrame:
+                 item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Which documents hold which items: ``key``, ``digest``, ``item``, ``windows`` found and ``of`` all.
 
     Words become placeholders by type: numbers, names (capitalised within a sentence) and units (after a
@@ -82,38 +103,47 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
     document that stand as far from those of an item are one match. It holds if each value of the item's
     slots is filled by one value throughout (a name or number may be exchanged, but everywhere alike) and
     if at least six windows (thirteen words), or all of the item, are found. The first word of an item is
-    compared as it stands; with ``within``, also as the name or unit that it is within a sentence of a document.
+    compared as it stands and as the name or unit that it is within a sentence of a document.
 
-    Items are searched by windows with five words that are no placeholders; an item without one, a null
-    or a blank one is found nowhere. An item of five to eight words is one window. Null and blank
-    documents hold nothing. Rows that agree in key and text are one document; null keys are kept apart
-    by ``digest``, a hash of the text. Equal items are each found.
+    Items are searched by windows with five words that are no placeholders. An item of five to eight words is
+    one window. An item without such a window, however short, is found where all its words stand in a row,
+    but for case and punctuation at their edges; that is one window of one. A null item, or one without
+    letters and digits, is found nowhere. Null and blank documents hold nothing. Rows that agree in key and
+    text are one document; null keys are kept apart by ``digest``, a hash of the text. Equal items are each found.
     """
-    wanted = keep(item_windows(items, item_key, item_text, within), "item-windows")
-    lengths = [r.long for r in wanted.select("long").distinct().limit(WINDOW).collect()] or [WINDOW]
+    wanted = keep(item_windows(items, item_key, item_text), "item-windows")
+    lengths = {(r.exact, r.long) for r in wanted.select("exact", "long").distinct().limit(2 * WINDOW).collect()} or {(False, WINDOW)}
     hashes = wanted.select("long", "window").distinct()
     small = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(docs[doc_key].alias("key"), F.xxhash64(docs[doc_text]).alias("digest"), docs[doc_text].alias("text"))
-    found = texts.select("key", "digest", words(F.col("text")).alias("w")).where(F.size("w") >= LITERALS)
+
+    def parted(texts):
+        return texts.select("key", "digest", words(F.col("text")).alias("w")).withColumn("bares", F.transform("w", bare))
 
     # hashes first, so that words are only handled for documents with a hit
-    h = found.select("key", "digest", _hashed(template(F.col("w"))).alias("h"))
+    found = parted(texts).where(F.size("w") >= min(n for _, n in lengths))
+    h = found.select("key", "digest", *[hashed.alias(name) for exact, name, hashed in (
+        (False, "h_false", template_hashes(F.col("w"), F.col("bares"))), (True, "h_true", F.transform("bares", lambda x: F.xxhash64(x)))
+    ) if exact in {e for e, _ in lengths}])
 
-    def of_length(n):
+    def of_length(exact, n):
+        own = F.col(f"h_{exact}".lower())
         return F.transform(
-            F.when(F.size("h") >= n, F.sequence(F.lit(0), F.size("h") - n)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(F.lit(n).alias("long"), i.alias("at"), _window(F.col("h"), i, F.lit(n)).alias("window")))
-    each = F.concat(*[of_length(n) for n in lengths])
+            F.when(F.size(own) >= n, F.sequence(F.lit(0), F.size(own) - n)).otherwise(F.array().cast("array<int>")),
+            lambda i: F.struct(F.lit(n).alias("long"), i.alias("at"), _window(own, i, F.lit(n), exact).alias("window")))
+    each = F.concat(*[of_length(exact, n) for exact, n in sorted(lengths)])
     hits = keep(h.select("key", "digest", F.inline(each)).join(
         F.broadcast(hashes) if small else hashes, ["long", "window"]).distinct(), "hits")
 
     held = hits.select(F.col("key").alias("k"), F.col("digest").alias("d")).distinct()
     held = F.broadcast(held) if held.count() <= BROADCAST_ROWS else held
     of_doc = F.col("digest").eqNullSafe(F.col("d")) & F.col("key").eqNullSafe(F.col("k"))
-    found = texts.join(held, of_doc, "left_semi").dropDuplicates(["key", "digest"]).select("key", "digest", words(F.col("text")).alias("w"))
+    found = parted(texts.join(held, of_doc, "left_semi").dropDuplicates(["key", "digest"]))
     doc = hits.groupBy(F.col("key").alias("k"), F.col("digest").alias("d")).agg(F.collect_set(F.struct("long", "at", "window")).alias("hits"))
-    met = found.join(doc, of_doc).select("key", "digest", template(F.col("w")).alias("tokens"), "hits").select("key", "digest", "tokens", F.inline("hits")).select(
-        "key", "digest", "long", "window", "at", F.slice("tokens", F.col("at") + 1, F.col("long")).alias("own")).join(wanted, ["long", "window"])
+    plainly = F.transform("bares", lambda x: F.struct(x.alias("t"), F.lit(None).cast("string").alias("v")))
+    spoken = found.join(doc, of_doc).select("key", "digest", template(F.col("w"), F.col("bares")).alias("tokens"), plainly.alias("plainly"), "hits")
+    met = spoken.select("key", "digest", "tokens", "plainly", F.inline("hits")).join(wanted, ["long", "window"]).withColumn(
+        "own", F.slice(F.when(F.col("exact"), F.col("plainly")).otherwise(F.col("tokens")), F.col("at") + 1, F.size("part"))).drop("tokens", "plainly")
     same = met.where(F.transform("own", lambda x: x["t"]) == F.transform("part", lambda x: x["t"])).select(
         "key", "digest", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "own", "part")
     fills = F.filter(F.zip_with("part", "own", lambda p, o: F.struct(p["v"].alias("slot"), o["v"].alias("value"))), lambda x: x["slot"].isNotNull())
@@ -129,9 +159,9 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text",
-                   item_key: str = "item_id", item_text: str = "text", within: bool = False) -> DataFrame:
+                   item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of documents that hold no item; see ``contaminated``."""
-    bad = contaminated(docs, items, doc_key, doc_text, item_key, item_text, within).select(
+    bad = contaminated(docs, items, doc_key, doc_text, item_key, item_text).select(
         F.col("key").alias("bad_key"), F.col("digest").alias("bad_digest")).distinct()
     rows = docs.select(boxed(docs), docs[doc_key].alias("key"), F.xxhash64(docs[doc_text]).alias("digest"))
     return unboxed(rows.join(bad, F.col("digest").eqNullSafe(F.col("bad_digest")) & F.col("key").eqNullSafe(F.col("bad_key")), "left_anti"),

@@ -120,12 +120,6 @@ def decontam_query(spark, sf):
     return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "windows", "of")
 
 
-def items_query(spark, sf):
-    """As ``decontam_query``, with items whose first word is a name or unit within a document."""
-    found = decontam.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"), within=True)
-    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "windows", "of")
-
-
 def toxicity_query(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     model = toxicity.fitted(d, table(spark, sf, "labels"))
@@ -137,9 +131,8 @@ def _quoted(s: str) -> str:
 
 
 def _template_sql(source: str, key: str) -> str:
-    """Windows of eight templates, or of a whole shorter text of five or more, in DuckDB's SQL."""
+    """Texts as lists of words: the template ``t`` and, where it is a placeholder, the word ``v``; in DuckDB's SQL."""
     number, name, ends = (_quoted(x) for x in (decontam.NUMBER, decontam.NAME, decontam.ENDS))
-    units = ", ".join(_quoted(u) for u in decontam.UNITS.split())
     return f"""(
     with w as (
         select {key} as key, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from {source} where text is not null),
@@ -147,18 +140,30 @@ def _template_sql(source: str, key: str) -> str:
     b as (select *, lower(trim(w, {_quoted(decontam.EDGES)})) as bare, lag(w) over (partition by key order by i) as before from u),
     k as (select *, case when regexp_matches(w, {number}) then '<number>'
         when regexp_matches(w, {name}) and i > 1 and not regexp_matches(before, {ends}) then '<name>'
-        when bare in ({units}) and i > 1 and regexp_matches(before, {number}) then '<unit>' end as kind from b),
-    t as (select key, list({{'t': coalesce(kind, bare), 'v': case when kind is not null then bare end}} order by i) as tokens, count(*) as n from k group by key)
-    select key, n, tokens from t where n >= 5)"""
+        when bare in ({_UNITS_SQL}) and i > 1 and regexp_matches(before, {number}) then '<unit>' end as kind from b)
+    select key, count(*) as n, list({{'t': coalesce(kind, bare), 'v': case when kind is not null then bare end}} order by i) as tokens,
+        list(bare order by i) as bares, min(w) filter (i = 1) as head from k group by key)"""
+
+
+_UNITS_SQL = ", ".join(_quoted(u) for u in decontam.UNITS.split())
 
 
 def _decontam_sql() -> str:
+    head = _quoted(decontam.NAME)
     return f"""
 with d as (select * from {_template_sql('documents', 'doc_id')}),
 b as (select * from {_template_sql('benchmark', 'item_id')}),
-bw as (select key as item, unnest(range(0, greatest(n - 8, 0) + 1)) as item_at, least(n, 8) as long, tokens from b),
-bx as (select item, item_at, long, tokens[item_at + 1:item_at + long] as part from bw),
-by_ as (select *, list_transform(part, lambda x: x.t) as window from bx where len(list_filter(part, lambda x: x.v is null and x.t <> '')) >= 5),
+bw as (select key as item, unnest(range(0, greatest(n - 8, 0) + 1)) as item_at, least(n, 8) as long, tokens, head from b where n >= 5),
+bx as (select item, item_at, long, tokens[item_at + 1:item_at + long] as part, head from bw),
+rich as (select *, list_transform(part, lambda x: x.t) as window from bx where len(list_filter(part, lambda x: x.v is null and x.t <> '')) >= 5),
+begun as (
+    select *, '<name>' as kind from rich where item_at = 0 and part[1].v is null and regexp_matches(head, {head})
+    union all
+    select *, '<unit>' from rich where item_at = 0 and part[1].v is null and lower(trim(head, {_quoted(decontam.EDGES)})) in ({_UNITS_SQL})),
+by_ as (
+    select item, item_at, long, part, rich.window from rich
+    union all
+    select item, item_at, long, list_concat([{{'t': kind, 'v': part[1].t}}], part[2:]), list_concat([kind], begun.window[2:]) from begun),
 lens as (select distinct long from by_),
 dw as (select key, long, unnest(range(0, n - long + 1)) as p, tokens from d, lens where n >= long),
 dx as (select key, p, long, list_transform(tokens[p + 1:p + long], lambda x: x.t) as window, tokens from dw),
@@ -166,11 +171,15 @@ m as (select dx.key, item, p - item_at as shift, item_at, part, tokens[p + 1:p +
 f as (select key, item, shift, unnest(part).v as slot, unnest(own).v as value from m),
 broken as (select distinct key, item, shift from (select key, item, shift, slot from f where slot is not null group by all having min(value) <> max(value))),
 s as (select key, item, shift, count(*) as windows from m group by all),
-n as (select item, count(distinct item_at) as cnt from by_ group by item)
+n as (select item, count(distinct item_at) as cnt from by_ group by item),
+poor as (select key as item, bares, n from b where key not in (select item from by_) and len(list_filter(bares, lambda x: x <> '')) > 0),
+pw as (select d.key, unnest(range(0, d.n - l.n + 1)) as p, d.bares, l.n from d, (select distinct n from poor) l where d.n >= l.n)
 select s.key as doc_id, s.item as item_id, max(windows) as windows, max(cnt) as "of"
 from s join n on s.item = n.item
 where not exists (select 1 from broken x where x.key = s.key and x.item = s.item and x.shift = s.shift) and windows >= least(6, cnt)
 group by all
+union all
+select distinct pw.key, item, 1, 1 from pw join poor on pw.n = poor.n and pw.bares[p + 1:p + pw.n] = poor.bares
 """
 
 
@@ -286,7 +295,6 @@ QUERIES = {
     "op7_toxicity_gru": toxicity_query,
     "op8_curriculum_mixing": mixing_query,
     "op9_template_decontamination": decontam_query,
-    "op9_items_within_sentences": items_query,
     "op10_chat_collapse": chat_query,
     "op11_crc_resampling": resampling_query,
     "op12_first_fit_packing": packing_query,

@@ -35,10 +35,22 @@ def test_a_short_overlap_is_not_enough(spark):
 def test_short_items_and_odd_rows(spark):
     docs = [(1, None), (2, ""), (3, "x the quick brown fox jumps y"), (4, "the quick brown fox"), (None, "the quick brown fox jumps"), (6, "1 2 3 4 5 6 7 8"), (3, "x the quick brown fox jumps y")]
     items = [(1, "the quick brown fox jumps"), (2, "the quick"), (3, None), (4, ""), (5, "1 2 3 4 5 6 7 8"), (None, "the quick brown fox jumps"), (1, "the quick brown fox jumps")]
-    assert set(found(spark, docs, items)) == {(3, 1), (3, None), (None, 1), (None, None)}
+    assert set(found(spark, docs, items)) == {(3, 1), (3, None), (None, 1), (None, None), (3, 2), (4, 2), (None, 2), (6, 5)}
 
 
 def test_empty_tables_and_the_way_without_broadcast(spark, monkeypatch):
     assert not found(spark, [], [(1, QUESTION)]) and not found(spark, [(1, QUESTION)], [])
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     assert set(found(spark, [(1, QUESTION * 2), (2, "x " * 5000)], [(1, QUESTION)])) == {(1, 1)}
+
+
+def test_items_without_literal_windows_are_found_whole(spark):
+    sums, name = "12 + 30 = 42 or 12 + 31 = 43", "Anna Bertha Carla Dora Emma Fanny Gerda Hanna Ida Jana"
+    docs = [(1, f"It says: {sums}."), (2, sums.replace("42", "41")), (3, f"both {name.upper()} and more"), (4, name[:-5]), (5, "Paris"), (6, "in paris, now"), (7, "?!")]
+    assert set(found(spark, docs, [(1, sums), (2, name), (3, "Paris?"), (4, "?")])) == {(1, 1), (3, 2), (5, 3), (6, 3)}
+
+
+def test_every_verbatim_item_is_found(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    docs = [(i, f"{'Question: ' if i % 2 else 'So it went on. '}{t} That is all.") for i, t in items]
+    assert {(i, i) for i, _ in items} <= set(found(spark, docs, items))

@@ -5,8 +5,8 @@ from dqspark.llm import decontam
 
 def found(spark, docs, items):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.key, r.item): r.windows for r in decontam.contaminated(d, i, within=True).collect()}
-    left = {r.doc_id for r in decontam.decontaminated(d, i, within=True).collect()}
+    got = {(r.key, r.item): r.windows for r in decontam.contaminated(d, i).collect()}
+    left = {r.doc_id for r in decontam.decontaminated(d, i).collect()}
     assert left == {k for k, _ in docs} - {k for k, _ in got}
     return got
 
