@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import posixpath
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -24,6 +26,18 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*kept: DataFrame) -> None:
+    """Remove kept tables that nothing reads any more; the shuffles they came from go with their plans."""
+    for df in kept:
+        jvm = df.sparkSession.sparkContext._jvm
+        for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if kept:
+        gc.collect()
+        jvm.System.gc()  # what no plan refers to any more is cleaned up now, on the driver and on the executors
+
+
 def boxed(df: DataFrame) -> Column:
     """The whole row as one column ``row``, so that no column of the input clashes with a new one."""
     return F.struct(*[df[c] for c in df.columns]).alias("row")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from dqspark.llm.common import keep, unboxed
+from dqspark.llm.common import discard, keep, unboxed
 from dqspark.llm.shingles import Words, mix, shingle_set
 
 SIDE = 8          # keys in each of the two collections; tables are their 64 pairs
@@ -131,7 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))).distinct()
-        now = keep(small, "edges")
+        last, now = now, keep(small, "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
@@ -166,7 +167,9 @@ def centred(checked: DataFrame, at_least: int) -> tuple[DataFrame, DataFrame]:
     shingles = keep(rare.union(lacking), "differences")
     d = shingles.groupBy("a", "b").agg(F.count("*").alias("d"))
     sized = members.select("a", "b", "n").join(d, ["a", "b"], "left").select("a", "b", (F.coalesce("d", F.lit(0)) - c * F.col("n")).alias("w"))
-    return keep(sized, "sized"), shingles
+    sized = keep(sized, "sized")
+    discard(members, usual)
+    return sized, shingles
 
 
 def links_at_the_middle(sized: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -208,9 +211,10 @@ def links_by_difference(sized: DataFrame, shingles: DataFrame, roots: DataFrame,
         of_e = sided.groupBy("a", "e").agg(
             F.count("*").alias("df"), F.min("w").alias("least_w"), F.max("g").alias("most_g"),
             F.min(outer("w")).alias("least_out_w"), F.max(outer("g")).alias("most_out_g")).where("df > 1 and least_out_w is not null")
-        own = keep(sided.join(of_e, ["a", "e"]).where(
+        last, own = own, keep(sided.join(of_e, ["a", "e"]).where(
             f"out and w <= most_g + {SLACK} and g >= least_w - {SLACK} "
             f"or w <= most_out_g + {SLACK} and g >= least_out_w - {SLACK}").select("a", "b", "w", "root", "out", "e"), "left")
+        discard(last)
     x = own.where("out").select("a", "e", F.col("b").alias("x"), F.col("w").alias("w_x"), F.col("root").alias("root_x"))
     y = own.select("a", "e", F.col("b").alias("y"), F.col("w").alias("w_y"), F.col("root").alias("root_y"))
     met = x.join(y, ["a", "e"]).where("root_x <> root_y").groupBy("a", "x", "y", "w_x", "w_y").agg(F.count("*").alias("both"))
@@ -277,13 +281,16 @@ def near_components(rows: DataFrame, k: int, at_least: int, text: str, key: str)
             wanted.withColumnRenamed("sid", "s"), F.col("sid").eqNullSafe(F.col("s")) & F.col("k").eqNullSafe(F.col("key")))
         return keep(sets_of(texts, k).groupBy("sid").agg(F.max("shingles").alias("shingles")), "shingles")
 
-    checked = keep(verified(pairs, sets_for(pairs), at_least), "checked")
+    whole = sets_for(pairs)
+    checked = keep(verified(pairs, whole, at_least), "checked")
+    discard(whole, pairs)
     links = checked.where("linked").select("a", "b")
     roots = components(links)
     sized, shingles = centred(checked.join(_unsettled(checked, roots), "a", "left_semi"), at_least)
     links = keep(links.union(links_at_the_middle(sized, shingles)), "links")
     roots = components(links)
     more = keep(links_by_difference(sized, shingles, roots, at_least), "more")
+    discard(sized, shingles)
     if not more.isEmpty():
         links = links.union(more)
         roots = components(links)
@@ -293,6 +300,7 @@ def near_components(rows: DataFrame, k: int, at_least: int, text: str, key: str)
     split = aside.groupBy("table_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("table_key")
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = keep(unlike_blocks(aside.join(split, "table_key", "left_semi"), sets, at_least).join(done, ["a", "b"], "left_anti"), "rest")
+    discard(buckets, checked)
     if not rest.isEmpty():
         roots = components(links.union(verified(rest, sets_for(rest), at_least).where("linked").select("a", "b")))
     roots = keep(roots, "roots")
