@@ -16,7 +16,7 @@ from dqspark.operators.scan import Probe, Scan, answer_cells
 from dqspark.sources.sinks import replace_part
 
 # How the parts of a state are put together.
-_MERGE = {
+MERGE = {
     "sum": F.sum, "min": F.min, "max": F.max, "hll": F.hll_union_agg, "theta": F.theta_union_agg,
     "bigint": F.kll_merge_agg_bigint, "double": F.kll_merge_agg_double,
 }
@@ -70,7 +70,7 @@ class Parts(Scope):
         return sketched_quantile(self._part(kind, QUANTILE[kind][0](self.only(value), F.lit(SKETCH_SIZE))), rank, kind)
 
 
-def _parts(df: DataFrame, metrics: Sequence[Metric]) -> list[tuple[Metric, Parts, Column]]:
+def state_parts(df: DataFrame, metrics: Sequence[Metric]) -> list[tuple[Metric, Parts, Column]]:
     """The state columns of each metric and its value over them; a changed metric has other columns."""
     out = []
     for m in metrics:
@@ -91,7 +91,7 @@ def metric_states(df: DataFrame, metrics: Sequence[Metric], labels: Mapping[str,
     ``labels`` are columns to tell the row by, such as channel and day.
     """
     columns, seen = [], set()
-    for _, scope, _ in _parts(df, metrics):
+    for _, scope, _ in state_parts(df, metrics):
         if scope.prefix not in seen:
             columns += [column.alias(name) for name, (_, column) in scope.columns.items()]
             columns.append(F.count(F.lit(1)).alias(f"{scope.prefix}_rows"))
@@ -107,11 +107,11 @@ def merge_states(states: DataFrame, metrics: Sequence[Metric], like: DataFrame,
     how many states, of how many rows, held the metric: one that was added later is missing from earlier
     ones. ``like`` has the columns and types of the rows, but need not hold any.
     """
-    parts = [p for p in _parts(like, metrics) if f"{p[1].prefix}_rows" in states.columns]
+    parts = [p for p in state_parts(like, metrics) if f"{p[1].prefix}_rows" in states.columns]
     merged = {}
     for _, scope, _ in parts:
         held = F.col(f"{scope.prefix}_rows")
-        merged |= {name: _MERGE[how](name).alias(name) for name, (how, _) in scope.columns.items()}
+        merged |= {name: MERGE[how](name).alias(name) for name, (how, _) in scope.columns.items()}
         merged[f"{scope.prefix}_parts"] = F.count(held).alias(f"{scope.prefix}_parts")
         merged[f"{scope.prefix}_rows"] = F.sum(held).alias(f"{scope.prefix}_rows")
     if not parts:
@@ -141,7 +141,7 @@ def shared_keys(states: DataFrame, metric: Metric, like: DataFrame, by: str) ->
 
     ``metric`` is a ``unique_count`` with a theta sketch; groups are ordered by ``by``.
     """
-    ((_, scope, _),) = _parts(like, [metric])
+    ((_, scope, _),) = state_parts(like, [metric])
     (name,) = [n for n, (how, _) in scope.columns.items() if how == "theta"]
     order = Window.partitionBy(F.lit(0)).orderBy(by)  # one row a group of states
     grouped = states.groupBy(named(by)).agg(F.theta_union_agg(name).alias("keys"))
