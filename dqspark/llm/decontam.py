@@ -71,14 +71,16 @@ def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
     The windows with enough literal words, the first also as it reads within a sentence. An item without such a
     window is searched ``exact``: all its words, found by the first of them.
     """
-    found = items.select(items[key].alias("item"), words(items[text]).alias("w")).distinct()
-    tokens = found.withColumn("bares", F.transform("w", bare)).where(F.exists("bares", lambda x: x != "")).select(
-        "item", F.get("w", F.lit(0)).alias("head"), template(F.col("w"), F.col("bares")).alias("tokens"), "bares")
+    # each step is kept: put into one expression, the words of an item would be worked out anew for every word
+    found = keep(items.select(items[key].alias("item"), words(items[text]).alias("w")).distinct().withColumn("bares", F.transform("w", bare)), "item-words")
+    tokens = keep(found.where(F.exists("bares", lambda x: x != "")).select(
+        "item", F.get("w", F.lit(0)).alias("head"), template(F.col("w"), F.col("bares")).alias("tokens"), "bares"), "item-templates")
+    tokens = keep(tokens.withColumn("h", _hashed(F.col("tokens"))), "item-hashes")
     n = F.least(F.size("h"), F.lit(WINDOW))
     each = F.when(F.size("h") >= LITERALS, F.transform(F.sequence(F.lit(0), F.size("h") - n), lambda i: F.struct(
         i.alias("item_at"), n.alias("long"), _window(F.col("h"), i, n).alias("window"), F.slice("tokens", i + 1, n).alias("part"))))
     literal = F.filter(each, lambda x: F.size(F.filter(x["part"], lambda y: y["v"].isNull() & (y["t"] != ""))) >= LITERALS)
-    made = tokens.withColumn("h", _hashed(F.col("tokens"))).withColumn("each", literal)
+    made = keep(tokens.select("item", "head", "bares", "h", literal.alias("each")), "item-parts")
     rich = made.where(F.size("each") > 0).select("item", "head", F.inline("each"))
     whole = F.transform("bares", lambda x: F.struct(x.alias("t"), F.lit(None).cast("string").alias("v")))
     poor = made.where(F.coalesce(F.size("each"), F.lit(0)) <= 0).select("item", F.lit(0).alias("item_at"), n.alias("long"), whole.alias("part")).withColumn(
