@@ -42,7 +42,7 @@ def prefix_hashes(d: DataFrame) -> DataFrame:
     """
     placed = _placed(d)
     for name, seed in (("a", 10), ("b", 11)):
-        own = F.xxhash64(F.lit(seed), "k", F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0")))
+        own = F.xxhash64(F.lit(seed), "k", F.col("role").isNull(), F.col("text").isNull(), "role", "text")
         placed = placed.withColumn(f"own_{name}", own.cast("decimal(20,0)"))
     sums = placed.groupBy("c", "range").agg(F.sum("own_a").alias("a"), F.sum("own_b").alias("b")).select(
         "c", "range", *[F.coalesce(F.sum(x).over(_ahead()), F.lit(0)).alias(f"{x}_ahead") for x in ("a", "b")])

@@ -238,8 +238,10 @@ def drop_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length:
 
     Null texts are empty; texts shorter than ``length`` lose nothing. Rows that agree in key and text are
     several texts, so each repeats the others. Keys may be null. Columns with the names of new ones are
-    replaced.
+    replaced. A ``length`` below ``GRAM`` (32) is refused.
     """
+    if length < GRAM:
+        raise ValueError(f"repeated strings need a length of at least {GRAM} bytes, not {length}")
     rid = F.unhex(F.md5(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")))
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("text")).withColumn("rid", rid)
     spans = repeated_spans(rows.select("rid", "text"), length).withColumnRenamed("rid", "r")

@@ -184,3 +184,9 @@ def test_later_runs_go(spark, w):
         assert x.n_removed == len(x.removed)
     assert got.count() == len(rows)
     assert lines.drop_repeated_runs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_null_text_is_no_other_text(spark):
+    turns = [(1, 1, "user", None), (2, 1, "user", "\0"), (2, 2, "user", "x"), (3, 1, None, "y"), (4, 1, "y", None), (4, 2, "y", "z")]
+    kept = chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    assert sorted(r.conv_id for r in kept.collect()) == [1, 2, 3, 4]

@@ -81,3 +81,8 @@ def test_query_equals_brute_force(spark):
     want = {(k, *x) for (k, _), x in zip(rows, plain([t for _, t in rows], 400))}
     got = {(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in queries.QUERIES["op4_suffix_repeats"](spark, SF).collect()}
     assert got == want
+
+
+def test_a_short_length_is_refused(spark):
+    with pytest.raises(ValueError, match="at least"):
+        repeats.drop_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length=31)
