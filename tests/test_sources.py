@@ -12,12 +12,12 @@ from dqspark.functions import (
 from dqspark.plans import investigation_report
 from dqspark.sources import preview, sample, schema_table, work_folder, write_results, write_sample
 
-UPLOAD = """﻿transaction_id,date,amount,customer_id,product_id
-TXN001,2025-11-01,-250.00,C1,P1
-TXN002,2025-11-02,15000.00,C2,P2
-TXN003,2025-11-03,NA,,P3
-TXN004,invalid_date,99.5,C4,P4
-TXN001,2025-11-05,NaN,C5,null
+UPLOAD = """﻿meter,read_on,level,site,note
+m7,2021-03-04,12.25,north,ok
+m8,2021-03-05,NA,south,null
+m9,soon,-3,,late
+m9,2021-03-07,NaN,south,twice
+m10,2021-03-08,4000,west,ok
 """
 
 
@@ -30,14 +30,14 @@ def upload(tmp_path):
 
 def test_csv_with_byte_order_mark_and_missing_tokens(spark, upload):
     plain = load(spark, upload)
-    assert plain.columns[0] == "transaction_id"
-    assert dict(plain.dtypes)["amount"] == "string"
+    assert plain.columns[0] == "meter"
+    assert dict(plain.dtypes)["level"] == "string"
     typed = load(spark, upload, null_tokens=["NA", "NaN", "null"])
-    assert dict(typed.dtypes)["amount"] == "double"
-    assert [r["amount"] for r in typed.collect()] == [-250.0, 15000.0, None, 99.5, None]
-    given = load(spark, upload, schema="transaction_id string, date date, amount double, customer_id string, "
-                 "product_id string", null_tokens=["NA", "null"])
-    assert given.filter("date is null").count() == 1
+    assert dict(typed.dtypes)["level"] == "double"
+    assert [r["level"] for r in typed.collect()] == [12.25, None, -3.0, None, 4000.0]
+    given = load(spark, upload, schema="meter string, read_on date, level double, site string, note string",
+                 null_tokens=["NA", "null"])
+    assert given.filter("read_on is null").count() == 1
 
 
 def test_other_text_formats(spark, tmp_path):
