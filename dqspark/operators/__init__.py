@@ -11,3 +11,5 @@ from dqspark.operators.metrics import (  # noqa: F401
     METRIC_TYPES, Metric, compute_metrics, declared_output, metric, metric_details, metric_table,
     orphan_count,
 )
+from dqspark.operators.ordered import as_of, balances, merged_periods, overlaps, trailing  # noqa: F401
+from dqspark.operators.sequence import gaps, jumps, orphans_at  # noqa: F401

@@ -50,15 +50,16 @@ class MetricType:
     output: Mapping[str, str] = field(default_factory=dict)
     params: tuple[str, ...] = ()  # parameters that must be given
     own_filter: bool = False  # the type reads `filter` itself: it is what it counts
+    sorts: bool = False  # planning it sorts the rows, which is done once, with its condition in front
 
 
 METRIC_TYPES: dict[str, MetricType] = {}
 
 
-def _builtin(*names: str, label: str, group: str, own_filter: bool = False):
+def _builtin(*names: str, label: str, group: str, own_filter: bool = False, sorts: bool = False):
     def register(build):
         for name in names:
-            METRIC_TYPES[name] = MetricType(name, build, label, group, own_filter=own_filter)
+            METRIC_TYPES[name] = MetricType(name, build, label, group, own_filter=own_filter, sorts=sorts)
         return build
     return register
 
@@ -121,8 +122,8 @@ def build_probe(
         keep = by_value if keep is None else keep & by_value
         keep_id = f"{keep_id} value {m.params['value_filter']}"
     scoped = df if keep is None else df.filter(keep)
-    ask = kind.build(df, m.params, datasets or {})
-    if isinstance(ask, (Frame, Table)) and keep is not None:
+    ask = kind.build(scoped if kind.sorts else df, m.params, datasets or {})
+    if isinstance(ask, (Frame, Table)) and keep is not None and not kind.sorts:
         ask = kind.build(scoped, m.params, datasets or {})
     if isinstance(ask, Table):
         ask.frame.schema
