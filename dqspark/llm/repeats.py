@@ -132,18 +132,19 @@ def in_shards(segs: DataFrame, length: int) -> DataFrame:
         raw = table.column("bytes").to_pylist()
         text, begins, left = joined(raw)
         sa = suffix_array(text, left)
-        lcp = common_prefixes(text, begins, left, sa, length)
+        lcp = common_prefixes(text, begins, left, sa, length, length)
         whole = left[sa] >= length
         group = np.cumsum(lcp < length)[whole]
         at = sa[whole]
-        owner = np.searchsorted(begins, at, side="right") - 1
+        part = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(text)]))
+        owner = part[at]
         # one anchor's strings only: other anchors' strings of the shard never equal them
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         total = np.add.reduceat(weight[owner], starts) if len(starts) else np.empty(0, np.int64)
         sizes = np.diff(np.r_[starts, len(group)])
         repeated = np.repeat(total > 1, sizes)
-        hit = np.lexsort((at[repeated], owner[repeated]))
-        o, p = owner[repeated][hit], at[repeated][hit]
+        p = np.sort(at[repeated])  # parts lie one after another
+        o = part[p]
         edges = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.empty(0, np.int64)
         runs = [_runs(p[x:y] - begins[o[x]], length) for x, y in zip(edges, np.r_[edges[1:], len(o)])]
         split = starts[parts[owner[starts]] > 1] if len(starts) else starts

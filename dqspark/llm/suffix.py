@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 
-FIRST = 7  # bytes compared by the first sort, nine bits each: zero is the end of a part
-
 
 def joined(parts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The parts one after another, each followed by a zero byte; where each begins; and how much is left of it at each place."""
@@ -35,52 +33,68 @@ def equal_bytes(difference: np.ndarray) -> np.ndarray:
     return same
 
 
+def ordering(key: np.ndarray, bits: int) -> np.ndarray:
+    """Places in the order of their keys of ``bits`` bits, equal ones as they come.
+
+    Sorting numbers is several times faster than sorting places, so a key that leaves room for its place carries it.
+    """
+    width = max(len(key).bit_length(), 1)
+    if bits + width > 64:
+        return np.argsort(key, kind="stable")
+    numbers = np.sort((key << np.uint64(width)) | np.arange(len(key), dtype=np.uint64))
+    return (numbers & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
 def suffix_array(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Places in the order of their suffixes, each of which ends with its part.
 
-    Places are sorted by their first bytes and get the number of their group. In each round only groups
-    of more than one are sorted again, by the group numbers as far ahead as has been compared, which
-    doubles the compared length. The end of a part is below any byte, and earlier ends are below later.
+    Places are sorted by as many first bytes as fit into a number beside the place, a byte taking the bits
+    that the text's own alphabet needs, and get the number of their group. In each round only groups of
+    more than one are sorted again, by the group numbers as far ahead as has been compared, which doubles
+    the compared length. The end of a part is below any byte, and earlier ends are below later.
     """
     n = len(text)
-    symbols = np.concatenate([np.where(left > 0, text.astype(np.uint64) + np.uint64(1), np.uint64(0)), np.zeros(FIRST, np.uint64)])
+    width = max(n.bit_length(), 1)
+    known = np.cumsum(np.bincount(text, minlength=256) > 0).astype(np.uint64)  # zero is the end of a part
+    bits = int(known[-1]).bit_length()
+    h = max((64 - width) // bits, 1)
+    symbols = np.concatenate([np.where(left > 0, known[text], np.uint64(0)), np.zeros(h, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for k in range(FIRST):
-        key = (key << np.uint64(9)) | np.where(left > k, symbols[k:k + n], np.uint64(0))
-    ends = left < FIRST
-    sa = np.argsort(key)
-    short = np.flatnonzero(ends[sa])
-    own = sa[short]
-    sa[short] = own[np.lexsort((own, key[own]))]
-    ordered = key[sa]
-    fresh = np.r_[True, (ordered[1:] != ordered[:-1]) | ends[sa][1:] | ends[sa][:-1]]
-    group = np.empty(n, np.int64)
-    starts = np.flatnonzero(fresh)
-    sizes = np.diff(np.r_[starts, n])
-    group[sa] = np.repeat(starts, sizes)
+    for k in range(h):
+        key = (key << np.uint64(bits)) | symbols[k:k + n]
+    late = np.flatnonzero(left < h)
+    beyond = ((h - left[late]) * bits).astype(np.uint64)  # what follows the end is another part
+    key[late] = key[late] >> beyond << beyond
+    sa = ordering(key, h * bits)
+    ordered, ended = key[sa], left[sa] < h
+    first = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1]) | ended[1:] | ended[:-1]])
+    sizes = np.diff(np.r_[first, n])
+    group = np.empty(n, np.uint32 if n < 1 << 32 else np.uint64)
+    group[sa] = np.repeat(first, sizes)
     open_ = np.repeat(sizes > 1, sizes)
-    h = FIRST
-    while open_.any():
-        at = np.flatnonzero(open_)
-        some = sa[at]
-        own, ahead = group[some], group[np.minimum(some + h, n - 1)]
-        order = np.argsort((own.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64))
-        some, own, ahead = some[order], own[order], ahead[order]
+    at, some, sizes = np.flatnonzero(open_), sa[open_], sizes[sizes > 1]
+    while len(at):
+        own = np.repeat(np.arange(len(sizes), dtype=np.uint64) << np.uint64(width), sizes)
+        key = own | group[np.minimum(some + h, n - 1)]
+        order = ordering(key, width + len(sizes).bit_length())
+        some, key = some[order], key[order]
         sa[at] = some
-        fresh = np.r_[True, (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])]
-        first = np.flatnonzero(fresh)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[first, len(at)])
         group[some] = np.repeat(at[first], sizes)
-        open_[at] = np.repeat(sizes > 1, sizes)
+        open_ = np.repeat(sizes > 1, sizes)
+        at, some, sizes = at[open_], some[open_], sizes[sizes > 1]
         h *= 2
     return sa
 
 
-def common_prefixes(text: np.ndarray, begins: np.ndarray, left: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, begins: np.ndarray, left: np.ndarray, sa: np.ndarray, most: int, least: int = 1) -> np.ndarray:
     """Kasai's lengths: what each suffix shares with the one before it in ``sa``, up to ``most`` bytes.
 
     The chain of each part is followed from its begin: at the next place at most one byte less is
-    shared. The chains of all parts advance side by side, eight bytes at a comparison.
+    shared. The chains of all parts advance side by side, eight bytes at a comparison. A chain ends where
+    fewer than ``least`` bytes are left, and places behind it get 0: who asks which suffixes share ``least``
+    bytes needs no more, as a shorter one never lies between two of these.
     """
     n = len(text)
     before = np.empty(n, np.int64)
@@ -90,7 +104,7 @@ def common_prefixes(text: np.ndarray, begins: np.ndarray, left: np.ndarray, sa:
     shared = np.zeros(n, np.int32)
     order = np.argsort(-left[begins], kind="stable")
     begins = begins[order]
-    lengths = left[begins]
+    lengths = np.maximum(left[begins] - least + 1, 0)
     h = np.zeros(len(begins), np.int64)
     for step in range(int(lengths[0]) if len(begins) else 0):
         alive = int(np.searchsorted(-lengths, -step, side="left"))  # parts longer than the step
