@@ -61,6 +61,11 @@ def row_digest(df: DataFrame) -> Column:
     return F.xxhash64(*plain)
 
 
+def seeded_order(df: DataFrame, key: str, seed: int) -> Column:
+    """A hash that orders rows at random: rows without a key, or with the same one, are spread by all they hold."""
+    return F.xxhash64(F.lit(seed), df[key], row_digest(df))
+
+
 def running(df: DataFrame, ties: Sequence[str], value: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """Rank and running sum of ``value`` within the groups ``g``, in the order of the hash ``h``.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dqspark.llm.common import WORD, boxed, group_key, row_digest, running, unboxed
+from dqspark.llm.common import WORD, boxed, group_key, row_digest, running, seeded_order, unboxed
 
 #: Rate of a source over the time of training, as (time, rate) joined by lines; one per weight in turn.
 SCHEDULES = (
@@ -75,12 +75,12 @@ def curriculum(df: DataFrame, size: Column, source: str = "source", key: str = "
     targets; with ``whole`` it is taken entirely if at least half of it is missing, else not at all.
 
     Null sources are one source, after the others. Rows of size 0 take nothing (with ``whole`` they are
-    repeated as their source is). Null and repeated keys are ordered by the whole row. An empty table
+    repeated as their source is). Null and repeated keys are ordered by a hash of the whole row. An empty table
     gives an empty one; columns with the names of new ones are replaced.
     """
     columns = df.columns
     rows = df.select(boxed(df), group_key(df[source]).alias("g"), size.cast("bigint").alias("size"),
-                     F.xxhash64(F.lit(seed), df[key]).alias("h"), row_digest(df).alias("tie"))
+                     seeded_order(df, key, seed).alias("h"), row_digest(df).alias("tie"))
     ranked, groups, _ = running(rows, ["tie"], "size")
     aimed = ranked.join(targets(groups, weights, most), "g").withColumn("source_size", F.col("group_value"))
     full = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("bigint")

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dqspark.llm.common import boxed, group_key, row_digest, running, unboxed
+from dqspark.llm.common import boxed, group_key, row_digest, running, seeded_order, unboxed
 
 
 def interleave(df: DataFrame, source: str = "source", key: str = "doc_id", shards: int = 8,
@@ -18,23 +18,27 @@ def interleave(df: DataFrame, source: str = "source", key: str = "doc_id", shard
     order is cut into ``shards`` runs. Shards differ by at most one row, and a source differs by at most
     two rows from its share of a shard.
 
-    No group is ranked in one task. Ranks come from ranges of the seeded hash; for the order of all rows
-    the line from 0 to 1 is cut into ranges too, and how many rows of a source lie in front of a cut
-    follows from its number of rows alone.
+    No group is ranked in one task. Ranks come from ranges of a seeded hash of the key and the row; for the
+    order of all rows the line from 0 to 1 is cut into ranges too, as many as the root of the number of
+    rows, and how many rows of a source lie in front of a cut follows from its number of rows alone, so that
+    sources of one size are one row, however many there are.
 
-    A null source is a source. Null and repeated keys are ranked like others, equal rows in any order.
+    A null source is a source. Null and repeated keys are ranked like others, equal rows in any order; rows
+    equal in every column have one hash and are ranked side by side, in one range.
     An empty table gives an empty one. Columns named shard or slot are replaced.
     """
     columns = df.columns
     rows = df.select(boxed(df), group_key(df[source]).alias("g"),
-                     F.xxhash64(F.lit(seed), df[key]).alias("h"), row_digest(df).alias("tie"))
+                     seeded_order(df, key, seed).alias("h"), row_digest(df).alias("tie"))
     ranked, groups, n = running(rows, ["tie"])
     cuts = max(1, math.isqrt(n))
     # place * cuts, rounded down, in whole numbers
     twice = 2 * F.col("rank") - 1
     placed = ranked.withColumn("cut", F.expr(f"((2 * rank - 1) * {cuts}L) div (2 * group_rows)"))
-    ahead = groups.select("group_rows", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)).cast("array<bigint>")).alias("cut")) \
-        .groupBy("cut").agg(F.sum(F.expr(f"(2 * group_rows * cut + {cuts}L - 1) div (2 * {cuts}L)")).alias("ahead"))
+    # rows in front of a cut follow from the size of a source alone: sources of one size, fewer than 2 * cuts sizes, count as one
+    sizes = groups.groupBy("group_rows").agg(F.count("*").alias("alike"))
+    ahead = sizes.select("group_rows", "alike", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)).cast("array<bigint>")).alias("cut")) \
+        .groupBy("cut").agg(F.sum(F.expr(f"alike * ((2 * group_rows * cut + {cuts}L - 1) div (2 * {cuts}L))")).alias("ahead"))
     line = Window.partitionBy("cut").orderBy(twice / (2 * F.col("group_rows")), "g", "h", "tie")
     position = F.col("ahead") + F.row_number().over(line) - 1
     out = placed.join(ahead, "cut").withColumn("position", position)
