@@ -25,9 +25,15 @@ def _turns(turns: DataFrame, conversation: str, turn: str, role: str, text: str)
 
 
 def _placed(d: DataFrame) -> DataFrame:
-    """Turns with their place ``k`` (from 1) among the ``n`` of their conversation, ranked ``range`` by range."""
+    """Turns with their place ``k`` (from 1) among the ``n`` of their conversation, ranked ``range`` by range.
+
+    A range is a run of turn numbers; turns of the null id, which may be any share of all, and turns without
+    a number are cut further, by number, role and the upper bits of the hash that orders equal ones.
+    """
     d = d.withColumn("digest", F.xxhash64("role", "text", F.col("role").isNull(), F.col("text").isNull())).withColumn(
-        "range", F.coalesce(F.floor(F.col("turn") / TURNS_A_RANGE), F.lit(-(2**62))))
+        "range", F.struct(F.floor(F.col("turn") / TURNS_A_RANGE).alias("numbers"), *[
+            F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), x).alias(name)
+            for name, x in (("turn", F.col("turn")), ("role", F.col("role")), ("share", F.shiftright("digest", 52)))]))
     parts = d.groupBy("c", "range").agg(F.count("*").alias("m")).select(
         "c", "range", F.coalesce(F.sum("m").over(_ahead()), F.lit(0)).alias("ahead"),
         F.sum("m").over(Window.partitionBy("c")).alias("n"))

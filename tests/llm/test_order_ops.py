@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from dqspark.llm import chat, lines, mixing, queries, sharding
+from dqspark.llm import chat, common, lines, mixing, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, extra string"
@@ -190,3 +190,35 @@ def test_a_null_text_is_no_other_text(spark):
     turns = [(1, 1, "user", None), (2, 1, "user", "\0"), (2, 2, "user", "x"), (3, 1, None, "y"), (4, 1, "y", None), (4, 2, "y", "z")]
     kept = chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
     assert sorted(r.conv_id for r in kept.collect()) == [1, 2, 3, 4]
+
+
+def largest_range(ranked):
+    return ranked.agg(F.max("n")).first()[0]
+
+
+def test_rows_without_a_key_are_spread(spark):
+    rows = docs(spark, [(None if i % 2 else i, f"text {i}", "a", "x") for i in range(4000)])
+    hashed = rows.select(F.lit("g").alias("g"), common.seeded_order(rows, "doc_id", 2).alias("h"))
+    share = F.shiftrightunsigned("h", 1) / F.lit(float(2**63))
+    assert largest_range(hashed.groupBy(F.floor(share * 63)).agg(F.count("*").alias("n"))) < 130
+    got = sharding.interleave(rows, shards=8)
+    assert Counter(r.shard for r in got.collect()) == {i: 500 for i in range(8)}
+
+
+def test_as_many_sources_as_rows(spark):
+    rows = docs(spark, [(i, "t", f"s{i % 1900}", "x") for i in range(2000)])
+    got = sharding.interleave(rows, shards=8).collect()
+    assert Counter(r.shard for r in got) == {i: 250 for i in range(8)}
+    assert sorted((r.shard, r.slot) for r in got) == [(s, i) for s in range(8) for i in range(250)]
+
+
+def test_turns_without_id_or_number_are_cut(spark):
+    turns = [(None, i % 3, "user", f"said {i}") for i in range(1500)] + [(1, None, "user", f"said {i}") for i in range(1500)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    placed = chat._placed(chat._turns(df, "conv_id", "turn", "role", "text"))
+    assert largest_range(placed.groupBy("c", "range").agg(F.count("*").alias("n"))) < 20
+    for c, n in ((None, 1500), (1, 1500)):
+        mine = placed.where(F.col("conv_id").eqNullSafe(F.lit(c))).orderBy("k").collect()
+        assert [x.k for x in mine] == list(range(1, n + 1)) and {x.n for x in mine} == {n}
+        order = [(x.turn if x.turn is not None else -1, x.role, x.digest) for x in mine]
+        assert order == sorted(order)
