@@ -7,5 +7,5 @@ from dqspark.plans.reports import (  # noqa: F401
     investigation_report, metrics_report, run_summary, status_counts, summarize, tests_report,
 )
 from dqspark.plans.result import SuiteResult, consolidate  # noqa: F401
-from dqspark.plans.suite import run_suite  # noqa: F401
+from dqspark.plans.suite import run_suite, run_suites  # noqa: F401
 from dqspark.plans.validate import check_ids, check_refs, validate_suite  # noqa: F401

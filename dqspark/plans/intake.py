@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dqspark.operators.scan import first_line
 from dqspark.plans.deliveries import verdict
 from dqspark.plans.result import SuiteResult, consolidate
-from dqspark.plans.suite import run_suite
+from dqspark.plans.suite import run_suites
 from dqspark.sources.readers import file_columns, load
 from dqspark.sources.registry import DatasetRegistry
 
@@ -45,6 +45,10 @@ class Delivery:
     def broken(self) -> DataFrame | None:
         return None if self.result is None else self.result.tests.filter("status = 'ERROR'")
 
+    def release(self) -> None:
+        if self.result is not None:
+            self.result.release()
+
 
 def process_delivery(
     spark: SparkSession, channel: Mapping[str, Any], submission_id: str, files: Mapping[str, str],
@@ -54,7 +58,8 @@ def process_delivery(
 
     A missing required file, a name that does not fit its pattern, a file that cannot be read or
     lacks expected columns is an error; only a delivery without errors is put through the suites.
-    Any errored check makes the delivery an ERROR, whatever the others say.
+    Any errored check makes the delivery an ERROR, whatever the others say. The suites share one scan
+    of each file; ``release`` of the delivery lets go of the rows of custom checks.
     """
     specs = {s["file_id"]: s for s in channel["files"]}
     errors = _file_errors(specs, files)
@@ -70,9 +75,10 @@ def process_delivery(
     if errors:
         return Delivery(submission_id, "ERROR", accept_by_hand, errors)
     registry = DatasetRegistry(spark, datasets)
-    results = [(suite["id"], run_suite(spark, registry, suite)) for suite in channel.get("suites") or []]
-    if not results:
+    suites = channel.get("suites") or []
+    if not suites:
         return Delivery(submission_id, "DQ_SUCCESS", True)
+    results = [(suite["id"], result) for suite, result in zip(suites, run_suites(spark, registry, suites))]
     merged = results[0][1] if len(results) == 1 else consolidate(results)
     judged = verdict(merged.tests.withColumn("submission_id", F.lit(submission_id))).first()
     status = judged["verdict"] if judged else "DQ_SUCCESS"

@@ -13,7 +13,7 @@ from dqspark.functions.value_filters import keep_column
 from dqspark.functions.values import absent, named
 from dqspark.operators import checks, investigate
 from dqspark.operators.metrics import EMAIL_PATTERN, METRIC_TYPES, Metric, dates_inside, orphan_count
-from dqspark.operators.scan import Frame, Probe, Scan, collect_values, fold
+from dqspark.operators.scan import Frame, Probe, Scan, fold
 from dqspark.plans.definition import reference
 
 
@@ -128,7 +128,10 @@ def _wanted(run, test) -> bool:
 
 
 def sample_failures(run, tests, planned, rows):
-    """Per failed test a lazy sample, the samples of each dataset as one frame, and the report's rows."""
+    """Per failed test a lazy sample, the samples of each dataset as one frame, and the report's rows.
+
+    A step of a run: it yields the totals it asks for and is sent their answers.
+    """
     failed = {r[1] for r in rows if r[8] == "FAIL"}
     found = []
     for test in tests:
@@ -148,8 +151,8 @@ def sample_failures(run, tests, planned, rows):
         else:
             total = Scan(lambda scope, mask=suspects.mask: {"value": scope.count_if(mask)})
         probes.append(Probe(test["id"], suspects.dataset, df, total, suspects.keep,
-                            test["id"] if suspects.keep is not None else None))
-    totals, _ = collect_values(probes)
+                            f"{run.suite_id} {test['id']}" if suspects.keep is not None else None))
+    totals, _ = yield probes
     n, keys = run.sample_rows, run.suite.get("keys") or {}
     samples, report, shared, sampled = {}, [], {}, []
     for test, suspects in found:

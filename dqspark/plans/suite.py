@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Generator, Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 from typing import Any
@@ -163,6 +163,59 @@ def run_suite(
     a report never scans a dataset again. Samples stay lazy until read or written.
     """
     registry = datasets if isinstance(datasets, DatasetRegistry) else DatasetRegistry(spark, datasets)
+    return _together([_steps(spark, registry, suite, run_id, technical_checks, investigations, sample_rows)])[0]
+
+
+def run_suites(
+    spark: SparkSession,
+    datasets: DatasetRegistry | Mapping[str, DataFrame],
+    suites: Sequence[Mapping[str, Any]],
+    *,
+    run_id: str | None = None,
+    technical_checks: bool = False,
+    investigations: bool = True,
+    sample_rows: int | None = None,
+) -> list[SuiteResult]:
+    """Several suites over the same datasets, whose questions to a dataset share one scan; a result for each.
+
+    Suites go through their phases side by side. The tables that their metrics make are their own: a suite
+    does not see ``virtual:`` datasets of another one.
+    """
+    registry = datasets if isinstance(datasets, DatasetRegistry) else DatasetRegistry(spark, datasets)
+    ids = [s.get("id") or "suite" for s in suites]
+    if len(set(ids)) < len(ids):
+        raise ValueError(f"suites share an id: {sorted(i for i in set(ids) if ids.count(i) > 1)}")
+    return _together([_steps(spark, registry.copy(), s, run_id, technical_checks, investigations, sample_rows) for s in suites])
+
+
+def _together(runs: Sequence[Generator[list, tuple, SuiteResult]]) -> list[SuiteResult]:
+    """Results of runs that each yield what they ask and are sent the answers and errors.
+
+    What all runs ask at one step is asked at once, so that probes of one dataset share its scan.
+    """
+    results: list[SuiteResult | None] = [None] * len(runs)
+    replies: dict[int, tuple | None] = dict.fromkeys(range(len(runs)))
+    while replies:
+        asked: dict[int, list] = {}
+        for i, reply in replies.items():
+            try:
+                asked[i] = runs[i].send(reply)
+            except StopIteration as done:
+                results[i] = done.value
+        answers, errors = collect_values([_of_run(i, p) for i, probes in asked.items() for p in probes])
+        replies = {i: tuple({p.key: given[f"{i} {p.key}"] for p in probes if f"{i} {p.key}" in given} for given in (answers, errors))
+                   for i, probes in asked.items()}
+    return results
+
+
+def _of_run(i: int, probe: Probe) -> Probe:
+    """A probe under a name of its own among those of several runs, and on a dataset of its own if its run made it."""
+    own = probe.dataset.startswith(VIRTUAL)
+    return replace(probe, key=f"{i} {probe.key}", dataset=f"{i} {probe.dataset}" if own else probe.dataset)
+
+
+def _steps(spark, registry, suite, run_id, technical_checks, investigations, sample_rows):
+    """One suite's run, which yields the probes of each phase and is sent their answers and errors."""
     settings = suite.get("globals") or {}
     run = _Run(spark, registry, suite, sample_rows or settings.get("sample_size") or investigate.SAMPLE_ROWS)
     context = suite.get("context") or {}
@@ -186,7 +239,7 @@ def run_suite(
         probe = _plan_test(run, test, planned)
         if probe is not None:
             first.append(probe)
-    answers, errors = collect_values(list(run.metric_ask.values()) + first)
+    answers, errors = yield list(run.metric_ask.values()) + first
     run.settle_metrics(answers, errors)
 
     second = []
@@ -195,7 +248,7 @@ def run_suite(
             probe = _plan_virtual(run, test, planned)
             if probe is not None:
                 second.append(probe)
-    late, late_errors = collect_values(second)
+    late, late_errors = yield second
     answers, errors = answers | late, errors | late_errors
 
     metrics = local_frame(spark, run.metric_rows(), EXACT_METRICS_SCHEMA)
@@ -213,7 +266,7 @@ def run_suite(
 
     samples, sampled, report = {}, [], []
     if investigations:
-        samples, sampled, report = sample_failures(run, tests, planned, rows)
+        samples, sampled, report = yield from sample_failures(run, tests, planned, rows)
     info = info_rows(metric_items, tests) + [
         ("test", r[1], r[1], r[9], "", True, "", "", "Technical", f"TECH_{r[1]}") for r in technical
     ]

@@ -76,6 +76,13 @@ class DatasetRegistry(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(list(iter(self)))
 
+    def copy(self) -> DatasetRegistry:
+        """The same datasets, those loaded so far as they are; what is added to one is not in the other."""
+        other = DatasetRegistry(self.spark)
+        other._sources, other._names = dict(self._sources), dict(self._names)
+        other._loaded, other._persisted = dict(self._loaded), dict(self._persisted)
+        return other
+
     def create_views(self) -> None:
         """A temporary view per alias, for SQL datasets and custom checks."""
         for alias in list(self):
