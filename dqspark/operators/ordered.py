@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from dqspark.functions.exact import summand
 from dqspark.functions.values import field_of, named
-from dqspark.sources.readers import work_folder
+from dqspark.sources.work import kept
 
 #: Rows of a range, and the largest number of ranges.
 ROWS_A_RANGE, RANGES = 100_000, 20_000
@@ -23,13 +23,6 @@ ROWS_A_RANGE, RANGES = 100_000, 20_000
 PART, TIE, CARRIED = "__part", "__tie", "__carried"
 
 
-def kept(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows as a table in the shared folder: a lost executor costs no new sort."""
-    path = work_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _names(columns: Sequence[str] | str) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
-import uuid
 from collections.abc import Sequence
 from typing import Any
 
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from dqspark.functions.frames import first_rows, local_frame
 from dqspark.functions.predicates import resolve_columns
 from dqspark.functions.values import how_many, named
+from dqspark.sources.arrays import read_array
+from dqspark.sources.work import work_folder  # noqa: F401
 
 _SUFFIXES = {
     ".parquet": "parquet", ".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl",
@@ -35,8 +35,8 @@ def load(
 ) -> DataFrame:
     """One dataset from a path, a metastore table, a SQL query or a small local frame.
 
-    ``fmt`` is parquet, csv, tsv, json (one array of records per file) or jsonl (one record per
-    line, which Spark can split); without it the path's suffix decides, and a name without a known
+    ``fmt`` is parquet, csv, tsv, json (one array of records per file, read whole by one task), json_array (the
+    same, read by many tasks; it needs a ``schema``) or jsonl (one record per line, which Spark can split); without it the path's suffix decides, and a name without a known
     suffix is a table. Inferring a text file's types reads it once more: give ``schema`` for big
     ones. ``null_tokens`` are texts such as NA that stand for a missing value.
     """
@@ -67,6 +67,10 @@ def load(
     if fmt in ("json", "jsonl"):
         reader = spark.read.options(**(options or {})).option("multiLine", fmt == "json")
         return (reader.schema(schema) if schema is not None else reader).json(src)
+    if fmt == "json_array":
+        if schema is None:
+            raise ValueError("an array that many tasks read needs a schema")
+        return read_array(spark, src, schema, options)
     raise ValueError(f"unknown format '{fmt}'")
 
 
@@ -185,16 +189,3 @@ def schema_table(df: DataFrame) -> DataFrame:
     """Column names and types, from the schema alone."""
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
     return local_frame(df.sparkSession, rows, "position int, column string, type string")
-
-
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path for intermediate tables in the shared folder the cluster names.
-
-    Only a local session without that setting falls back to a folder of this machine.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="dqspark-")
-    return posixpath.join(shared, f"{purpose}-{uuid.uuid4().hex}")

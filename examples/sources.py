@@ -92,6 +92,22 @@ def scan_json_array(spark, sf):
     return load(spark, path, "json", schema=parts.schema).drop("file")
 
 
+def scan_one_array(spark, sf):
+    """All orders as one array in one file, each with an object, a list and a text full of brackets, read by many tasks."""
+    orders = table(spark, sf, "orders")
+    quoted = F.concat(F.lit('} "{'), "o_orderpriority", F.lit('\\"],['))
+    record = F.struct("o_orderkey", F.struct("o_orderstatus", F.struct("o_custkey").alias("of")).alias("state"),
+                      F.array("o_totalprice").alias("prices"), quoted.alias("note"))
+    lines = orders.select(F.concat(F.lit(","), F.to_json(record)).alias("value"))
+    ends = [spark.createDataFrame([(text,)], "value string") for text in ("[{}", "]")]
+    path = work_folder(spark, "one-array")
+    ends[0].union(lines).union(ends[1]).coalesce(1).write.text(path)
+    found = load(spark, path, "json_array", schema=(
+        "o_orderkey bigint, state struct<o_orderstatus: string, of: struct<o_custkey: bigint>>, prices array<double>, note string"))
+    return found.where("o_orderkey is not null").select(
+        "o_orderkey", "state.o_orderstatus", "state.of.o_custkey", F.col("prices")[0].alias("o_totalprice"), "note")
+
+
 def sink_samples(spark, sf):
     """Every table of a run read back: the samples are as long as the reports say."""
     suite = {**RESULT_SUITE, "keys": {"customer": "c_custkey"}, "globals": {"sample_size": 3000}, "tests": [
@@ -226,7 +242,7 @@ QUERIES = {
     "sample_random": sample_random, "schema_table": profile_schema, "preview": first_rows,
     "registry_lookup": registry_lookup, "virtual_dataset": virtual_dataset, "sink_csv": sink_csv,
     "sink_results": sink_results, "sink_samples": sink_samples, "scan_parquet_full": scan_parquet_full,
-    "scan_json_array": scan_json_array, "value_filter": value_filter,
+    "scan_json_array": scan_json_array, "scan_one_array": scan_one_array, "value_filter": value_filter,
     "value_filter_check": value_filter_check, "value_filter_prechecks": filter_prechecks,
 }
 
@@ -245,6 +261,9 @@ ORACLES = {
     "scan_csv": "select * from part",
     "scan_parquet_full": "select * from orders",
     "scan_json_array": "select * from supplier",
+    "scan_one_array": """
+        select o_orderkey, o_orderstatus, o_custkey, o_totalprice, '} "{' || o_orderpriority || chr(92) || '"],[' as note
+        from orders where o_orderkey is not null""",
     "sample_random": """
         select event_id, event_type from events order by md5('7|' || cast(event_id as varchar)), event_id limit 500""",
     "sink_samples": f"""
