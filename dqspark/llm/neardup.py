@@ -66,7 +66,7 @@ def sets_of(texts: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(
                 [shingle_set(t, k, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())],
                 ["sid", "shingles"])
-    return texts.select("sid", "text").mapInArrow(full, "sid binary, shingles binary")
+    return texts.select("sid", "text").mapInArrow(full, "sid long, shingles binary")
 
 
 def crossed(rows: DataFrame) -> DataFrame:
@@ -111,34 +111,50 @@ def verified(pairs: DataFrame, shingles: DataFrame, at_least: int) -> DataFrame:
                 ["a", "b", "n_a", "n_b", "linked", "near", "far", "apart"])
 
     return members.join(pivots, ["a", "copy"]).select("a", "b", "of_a", "of_b").mapInArrow(
-        decide, "a binary, b binary, n_a long, n_b long, linked boolean, near boolean, far boolean, apart array<long>")
+        decide, "a long, b long, n_a long, n_b long, linked boolean, near boolean, far boolean, apart array<long>")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each upper end ``u`` has one edge and is no lower end ``v``: lower ends are roots then."""
+    ends = edges.select(F.col("u").alias("s"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    crossed = ends.groupBy("s").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1")
+    return crossed.agg(F.count("*")).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``sid`` and ``root`` of all ends of the edges ``a``, ``b``: their smallest reachable end.
+    """``sid`` and ``root`` of all ends of the edges ``a``, ``b``, kept: their smallest reachable end.
 
-    Alternates large stars and small stars, each a grouped minimum and a join, until nothing changes;
-    every round is kept as a table.
+    Alternates large stars and small stars, each a grouped minimum and a join on rows dealt once, until
+    stars are all there is; every round is kept as a table.
     """
-    def smallest(x):
-        return x.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        both = now.union(now.select("v", "u").toDF("u", "v"))
-        large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    while not _are_stars(now):
+        both = now.union(now.select("v", "u").toDF("u", "v")).repartition("u")
+        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(smallest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))).distinct()
         last, now = now, keep(small, "edges")
         discard(last)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("u").alias("sid"), F.col("v").alias("root")).union(
-        now.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct())
+    roots = keep(now.select(F.col("u").alias("sid"), F.col("v").alias("root")).union(
+        now.select(F.col("v").alias("sid"), F.col("v").alias("root")).distinct()), "roots")
+    discard(now)
+    return roots
+
+
+def with_links(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``sid``, ``root`` after further links ``a``, ``b``: only links between two of them are followed."""
+    between = links.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b")
+    between = keep(between.distinct(), "between")
+    if between.isEmpty():
+        return roots
+    upper = components(between)
+    new = keep(roots.join(upper.toDF("root", "above"), "root", "left").select("sid", F.coalesce("above", "root").alias("root")).union(
+        upper.join(roots.select("sid"), "sid", "left_anti").select("sid", "root")), "roots")
+    discard(between, upper, roots)
+    return new
 
 
 def _unsettled(checked: DataFrame, roots: DataFrame) -> DataFrame:
@@ -188,18 +204,20 @@ def links_at_the_middle(sized: DataFrame, shingles: DataFrame) -> DataFrame:
     return sure.union(more).distinct()
 
 
-def links_by_difference(sized: DataFrame, shingles: DataFrame, roots: DataFrame, at_least: int) -> DataFrame:
+def links_by_difference(sized: DataFrame, shingles: DataFrame, roots: DataFrame, at_least: int) -> DataFrame | None:
     """Links ``a``, ``b`` of members outside the component of their star's middle, with one another or with others.
 
     These need shared differences: 2 |Dx & Dy| >= wx + wy > 0, hence with m shingles left in x that others
     hold and g = 2 m - w both gx >= wy and gy >= wx. A shingle is dropped from a set if no other holder
     fulfils this, which lowers m, and so on until none is; what remains meets in an inverted index, whose
-    counts decide the link exactly.
+    counts decide the link exactly. None if all members are in the component of their middle.
     """
     root = roots.toDF("r_sid", "r_root")
     named = sized.join(root, F.col("b") == F.col("r_sid"), "left").select("a", "b", "w", F.coalesce("r_root", "b").alias("root"))
     middle = named.groupBy("a").agg(F.min(F.struct("w", "b", "root")).alias("top")).select("a", F.col("top.root").alias("main"))
-    named = named.join(middle, "a").select("a", "b", "w", "root", (F.col("root") != F.col("main")).alias("out"))
+    named = keep(named.join(middle, "a").select("a", "b", "w", "root", (F.col("root") != F.col("main")).alias("out")), "named")
+    if named.where("out").isEmpty():
+        return None
     busy = named.where("out").select("a").distinct()
     own = keep(named.join(busy, "a", "left_semi").join(shingles, ["a", "b"]), "left")
     rows = None
@@ -249,66 +267,67 @@ def unlike_blocks(buckets: DataFrame, sets: DataFrame, at_least: int) -> DataFra
                 p, q = sorted((sid[x], sid[y]))
                 a.append(p)
                 b.append(q)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return met.groupBy("table_key", "lo", "hi").applyInArrow(compare, "a binary, b binary").distinct()
+    return met.groupBy("table_key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_components(rows: DataFrame, k: int, at_least: int, text: str, key: str) -> DataFrame:
     """``sid``, ``root`` and ``component`` (smallest key reachable) of all sets of sketched, kept rows.
 
-    Equal sets are one set from here on. A set meets others in 64 tables, whose keys pair each of 8 keys
-    with each of 8 others, so that 32 minima serve for what 128 would be needed for; at the threshold of 85
+    Equal sets are one set from here on, with a number in place of its digest. A set meets others in 64
+    tables, whose keys pair each of 8 keys with each of 8 others, so that 32 minima serve for what 128 would be needed for; at the threshold of 85
     a pair shares no table in one of 7 000 cases. In each table the set with most company in all tables is
     the pivot that the rest is compared with, on whole shingle sets. Candidates that stars leave in different
     components are not paired: near the pivot their differences from it are matched, and the few far from
     it are compared block by block. No candidate is left out.
     """
     own = rows.where("sid is not null").select("sid", "sig", "n_shingles", F.col("row").getField(key).alias("key"))
-    sets = keep(own.groupBy("sid").agg(F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"), F.min("key").alias("key")), "sets")
-    crossings = crossed(sets)
+    sets = own.groupBy("sid").agg(F.max("sig").alias("sig"), F.max("n_shingles").alias("n_shingles"), F.min("key").alias("key"))
+    sets = keep(sets.select(F.monotonically_increasing_id().alias("sid"), F.col("sid").alias("digest"), "sig", "n_shingles", "key"), "sets")
+    crossings = crossed(sets).repartition("table_key")
     shared = crossings.groupBy("table_key").agg(F.count("*").alias("rows")).where("rows > 1")
     buckets = keep(crossings.join(shared, "table_key"), "buckets")
-    company = buckets.groupBy("sid").agg(F.sum("rows").alias("company"))
-    weighed = buckets.select("table_key", "sid").join(company, "sid")
+    of_sets = buckets.select("table_key", "sid", "rows").repartition("sid")
+    company = of_sets.groupBy("sid").agg(F.sum("rows").alias("company"))
+    weighed = of_sets.select("table_key", "sid").join(company, "sid")
     pivots = weighed.groupBy("table_key").agg(F.max(F.struct("company", "sid")).alias("top")).select("table_key", F.col("top.sid").alias("a"))
-    stars = buckets.join(pivots, "table_key").where("sid <> a")
-    pairs = keep(stars.select("a", F.col("sid").alias("b")).distinct(), "stars")
+    stars = buckets.join(pivots, "table_key").where("sid <> a").select("table_key", "sid", "a")
+    stars = keep(stars, "stars")
+    pairs = keep(stars.select("a", F.col("sid").alias("b")).distinct(), "pairs")
 
     def sets_for(pairs):
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "key"), "sid")
-        texts = rows.select("sid", F.col("row").getField(key).alias("k"), F.col("row").getField(text).alias("text")).join(
-            wanted.withColumnRenamed("sid", "s"), F.col("sid").eqNullSafe(F.col("s")) & F.col("k").eqNullSafe(F.col("key")))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets.select("sid", "digest", "key"), "sid")
+        texts = rows.select(F.col("sid").alias("d"), F.col("row").getField(key).alias("k"), F.col("row").getField(text).alias("text")).join(
+            wanted, F.col("d").eqNullSafe(F.col("digest")) & F.col("k").eqNullSafe(F.col("key")))
         return keep(sets_of(texts, k).groupBy("sid").agg(F.max("shingles").alias("shingles")), "shingles")
 
     whole = sets_for(pairs)
     checked = keep(verified(pairs, whole, at_least), "checked")
     discard(whole, pairs)
-    links = checked.where("linked").select("a", "b")
-    roots = components(links)
-    sized, shingles = centred(checked.join(_unsettled(checked, roots), "a", "left_semi"), at_least)
-    links = keep(links.union(links_at_the_middle(sized, shingles)), "links")
-    roots = components(links)
-    more = keep(links_by_difference(sized, shingles, roots, at_least), "more")
-    discard(sized, shingles)
-    if not more.isEmpty():
-        links = links.union(more)
-        roots = components(links)
+    roots = components(checked.where("linked").select("a", "b"))
+    unsettled = keep(_unsettled(checked, roots), "unsettled")
+    if not unsettled.isEmpty():
+        sized, shingles = centred(checked.join(unsettled, "a", "left_semi"), at_least)
+        roots = with_links(roots, links_at_the_middle(sized, shingles))
+        more = links_by_difference(sized, shingles, roots, at_least)
+        if more is not None:
+            roots = with_links(roots, more)
+        discard(sized, shingles)
     # sets far from the pivot of a table can only be linked with others of that table that are not near it
     aside = stars.join(checked.where("far").select("a", F.col("b").alias("sid")), ["a", "sid"], "left_semi").select("table_key", "sid")
     aside = aside.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     split = aside.groupBy("table_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("table_key")
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = keep(unlike_blocks(aside.join(split, "table_key", "left_semi"), sets, at_least).join(done, ["a", "b"], "left_anti"), "rest")
-    discard(buckets, checked)
+    discard(buckets, stars, checked)
     if not rest.isEmpty():
-        roots = components(links.union(verified(rest, sets_for(rest), at_least).where("linked").select("a", "b")))
-    roots = keep(roots, "roots")
+        roots = with_links(roots, verified(rest, sets_for(rest), at_least).where("linked").select("a", "b"))
     named = roots.join(sets.select("sid", "key"), "sid")
     lowest = named.groupBy("root").agg(F.min("key").alias("component"))
     linked = named.join(lowest, "root").select("sid", "root", "component")
-    return sets.select("sid", "key").join(linked, "sid", "left").select(
-        "sid", F.coalesce("root", "sid").alias("root"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
+    return sets.select("sid", "digest", "key").join(linked, "sid", "left").select(
+        F.col("digest").alias("sid"), F.coalesce("root", "sid").alias("root"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
 
 
 def near_duplicates(df: DataFrame, k: int = 5, at_least: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -123,3 +123,27 @@ def test_chains_around_a_pivot_and_far_groups(spark):
     for k, at_least in ((3, 85), (3, 80), (1, 70)):
         got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, at_least).collect()}
         assert got == {i: c for (i, _), (_, c) in zip(rows, plain_components(rows, k, at_least))}
+
+
+def test_settled_components_are_not_followed_again(spark, monkeypatch):
+    rows, r = [], random.Random(9)
+    for group in range(3):
+        base = [f"w{group}x{i}" for i in range(60)]
+        for i in range(5):
+            copy = list(base)
+            copy[r.randrange(60)] = f"new{group}{i}"
+            rows.append((len(rows), " ".join(copy)))
+    kept, plain = [], neardup.keep
+    monkeypatch.setattr(neardup, "keep", lambda df, purpose: kept.append(purpose) or plain(df, purpose))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {k: c for (k, _), (_, c) in zip(rows, plain_components(rows, 3, 85))}
+    assert kept.count("edges") <= 4 and "left" not in kept
+
+
+def test_further_links_join_components(spark):
+    links = lambda *pairs: spark.createDataFrame(pairs, "a long, b long")
+    roots = neardup.components(links((9, 8), (8, 7), (5, 6), (6, 9), (20, 21), (30, 31)))
+    assert {tuple(x) for x in roots.collect()} == {(x, 5) for x in (5, 6, 7, 8, 9)} | {(20, 20), (21, 20), (30, 30), (31, 30)}
+    roots = neardup.with_links(roots, links((8, 5), (21, 31), (40, 7), (50, 51)))
+    assert {tuple(x) for x in roots.collect()} == {(x, 5) for x in (5, 6, 7, 8, 9, 40)} | {(x, 20) for x in (20, 21, 30, 31)} | {(50, 50), (51, 50)}
+    assert roots is neardup.with_links(roots, links((9, 40), (31, 20)))
