@@ -51,3 +51,29 @@ def test_no_records_one_object_and_no_schema(spark, tmp_path):
     assert sorted(r.id or 0 for r in load(spark, str(tmp_path / "bad.json"), "json_array", schema=SCHEMA).collect()) == [0, 1, 3]
     with pytest.raises(ValueError):
         load(spark, str(tmp_path / "one.json"), "json_array")
+
+
+def test_only_records_across_splits_are_dealt(spark, tmp_path):
+    many = records(300, 3)
+    (tmp_path / "a.json").write_text(json.dumps(many))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in zip(names, ("8192", "0")):
+            spark.conf.set(n, v)
+        df = load(spark, str(tmp_path / "a.json"), "json_array", schema=SCHEMA)
+        assert told(df) == sorted(json.dumps(x, sort_keys=True) for x in many)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+    assert "Union" in plan and plan.count("Window") == 1  # records within a split meet no window and no group
+
+
+def test_splits_that_begin_within_strings_unlike_they_seem(spark, tmp_path, small_splits):
+    """No quote here tells a string's begin from its end by what follows it."""
+    r = random.Random(4)
+    many = [{":k": "," + "".join(r.choices(["x", "}", "{", ",", " "], k=r.randint(0, 150))), ",n": {":m": "]}"}} for _ in range(40)]
+    (tmp_path / "a.json").write_text(json.dumps(many))
+    df = load(spark, str(tmp_path / "a.json"), "json_array", schema="`:k` string, `,n` struct<`:m`: string>")
+    assert told(df) == sorted(json.dumps(x, sort_keys=True) for x in many)
