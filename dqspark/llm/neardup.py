@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from dqspark.llm.common import discard, keep, unboxed
 from dqspark.llm.shingles import Words, mix, shingle_set
@@ -118,23 +118,23 @@ def _are_stars(edges: DataFrame) -> bool:
     """Whether each upper end ``u`` has one edge and is no lower end ``v``: lower ends are roots then."""
     ends = edges.select(F.col("u").alias("s"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
     crossed = ends.groupBy("s").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1")
-    return crossed.agg(F.count("*")).first()[0] == 0
+    return crossed.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``sid`` and ``root`` of all ends of the edges ``a``, ``b``, kept: their smallest reachable end.
 
-    Alternates large stars and small stars, each a grouped minimum and a join on rows dealt once, until
+    Alternates large stars and small stars, each a minimum over the rows of one end, dealt once, until
     stars are all there is; every round is kept as a table.
     """
+    of_end = Window.partitionBy("u")
     now = keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while not _are_stars(now):
-        both = now.union(now.select("v", "u").toDF("u", "v")).repartition("u")
-        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(smallest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            least.select("u", F.col("m").alias("v"))).distinct()
+        both = now.union(now.select("v", "u").toDF("u", "v"))
+        large = both.withColumn("m", F.least("u", F.min("v").over(of_end))).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.withColumn("m", F.min("v").over(of_end))
+        small = least.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("edge")).select(
+            "edge.*").where("u <> v").distinct()
         last, now = now, keep(small, "edges")
         discard(last)
     roots = keep(now.select(F.col("u").alias("sid"), F.col("v").alias("root")).union(
@@ -223,8 +223,7 @@ def links_by_difference(sized: DataFrame, shingles: DataFrame, roots: DataFrame,
     rows = None
     while (left := own.count()) != rows and left:
         rows = left
-        m = own.groupBy("a", "b").agg(F.count("*").alias("m"))
-        sided = own.join(m, ["a", "b"]).withColumn("g", 2 * F.col("m") - F.col("w")).drop("m")
+        sided = own.withColumn("g", 2 * F.count("*").over(Window.partitionBy("a", "b")) - F.col("w"))
         outer = lambda c: F.when(F.col("out"), F.col(c))
         of_e = sided.groupBy("a", "e").agg(
             F.count("*").alias("df"), F.min("w").alias("least_w"), F.max("g").alias("most_g"),
@@ -272,8 +271,8 @@ def unlike_blocks(buckets: DataFrame, sets: DataFrame, at_least: int) -> DataFra
     return met.groupBy("table_key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_components(rows: DataFrame, k: int, at_least: int, text: str, key: str) -> DataFrame:
-    """``sid``, ``root`` and ``component`` (smallest key reachable) of all sets of sketched, kept rows.
+def near_roots(rows: DataFrame, k: int, at_least: int, text: str, key: str) -> DataFrame:
+    """``sid``, smallest ``key`` and ``root`` (one for each component) of all sets of sketched, kept rows.
 
     Equal sets are one set from here on, with a number in place of its digest. A set meets others in 64
     tables, whose keys pair each of 8 keys with each of 8 others, so that 32 minima serve for what 128 would be needed for; at the threshold of 85
@@ -316,18 +315,17 @@ def near_components(rows: DataFrame, k: int, at_least: int, text: str, key: str)
         discard(sized, shingles)
     # sets far from the pivot of a table can only be linked with others of that table that are not near it
     aside = stars.join(checked.where("far").select("a", F.col("b").alias("sid")), ["a", "sid"], "left_semi").select("table_key", "sid")
-    aside = aside.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    aside = keep(aside.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "aside")
+    discard(buckets, stars)
     split = aside.groupBy("table_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("table_key")
-    done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = keep(unlike_blocks(aside.join(split, "table_key", "left_semi"), sets, at_least).join(done, ["a", "b"], "left_anti"), "rest")
-    discard(buckets, stars, checked)
-    if not rest.isEmpty():
-        roots = with_links(roots, verified(rest, sets_for(rest), at_least).where("linked").select("a", "b"))
-    named = roots.join(sets.select("sid", "key"), "sid")
-    lowest = named.groupBy("root").agg(F.min("key").alias("component"))
-    linked = named.join(lowest, "root").select("sid", "root", "component")
-    return sets.select("sid", "digest", "key").join(linked, "sid", "left").select(
-        F.col("digest").alias("sid"), F.coalesce("root", "sid").alias("root"), F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component")).alias("component"))
+    unlike = keep(aside.join(split, "table_key", "left_semi"), "unlike")
+    if not unlike.isEmpty():
+        done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = keep(unlike_blocks(unlike, sets, at_least).join(done, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            roots = with_links(roots, verified(rest, sets_for(rest), at_least).where("linked").select("a", "b"))
+    discard(checked, aside, unlike)
+    return sets.select("sid", "digest", "key").join(roots, "sid", "left").select(F.col("digest").alias("sid"), "key", F.coalesce("root", "sid").alias("root"))
 
 
 def near_duplicates(df: DataFrame, k: int = 5, at_least: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -340,7 +338,9 @@ def near_duplicates(df: DataFrame, k: int = 5, at_least: int = 80, text: str = "
     kept. Rows of one key and text are all given back. Columns with the names of new ones are replaced.
     """
     rows = keep(sketched(df, k, text), "sketched")
-    found = near_components(rows, k, at_least, text, key).withColumnRenamed("sid", "s")
+    rooted = near_roots(rows, k, at_least, text, key)
+    lowest = rooted.groupBy("root").agg(F.min("key").alias("component"))
+    found = rooted.join(lowest, "root").select(F.col("sid").alias("s"), "component")
     out = rows.join(found, F.col("sid") == F.col("s"), "left").withColumn("own", F.col("row").getField(key))
     out = out.withColumn("component_id", F.when(F.col("sid").isNull(), F.col("own")).otherwise(F.col("component")))
     return unboxed(out.withColumn("kept", F.col("own").eqNullSafe(F.col("component_id"))), df.columns, ["n_shingles", "component_id", "kept"])
@@ -352,7 +352,7 @@ def one_of_each(df: DataFrame, k: int = 5, at_least: int = 80, text: str = "text
     Components are those of ``near_duplicates``. Of rows that agree in key and text one stays. Texts without words are kept, all of them.
     """
     rows = keep(sketched(df, k, text).withColumn("uid", F.monotonically_increasing_id()), "sketched")
-    found = near_components(rows, k, at_least, text, key).withColumnRenamed("sid", "s")
+    found = near_roots(rows, k, at_least, text, key).select(F.col("sid").alias("s"), "root")
     own = F.col("row").getField(key)
     lead = F.struct(own.isNull().alias("none"), own.alias("key"), "sid", "uid")
     best = rows.where("sid is not null").select("sid", "uid", lead.alias("lead")).join(found, F.col("sid") == F.col("s")).groupBy(
