@@ -54,3 +54,21 @@ def test_every_verbatim_item_is_found(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
     docs = [(i, f"{'Question: ' if i % 2 else 'So it went on. '}{t} That is all.") for i, t in items]
     assert {(i, i) for i, _ in items} <= set(found(spark, docs, items))
+
+
+def test_many_hits_in_a_long_text(spark):
+    """Rows with all words of a text for each of its hits, which one task holds together, would be more than the memory here."""
+    items = [(i, " ".join(f"w{'abcdefghij'[j % 10]}{i}x{j}" for j in range(40))) for i in range(50)]
+    text = " ".join(t for _, t in items)
+    got = found(spark, [(1, " ".join([text] * 10)), (2, "Nothing of it is here")], items)
+    assert got == {(1, i): 33 for i, _ in items}
+
+
+def test_pieces_of_a_text_change_nothing(spark, monkeypatch):
+    sums = "1 + 2 = 3 or 2 + 2 = 4 or 3 + 2 = 5 or 4 + 2 = 6"
+    docs = [(n, "x " * n + f"So Anna said {QUESTION} and 3 kg of {sums} are all") for n in range(40)]
+    items = [(1, QUESTION), (2, sums), (3, "Said"), (4, "kg of 1"), (5, "are all")]
+    whole = found(spark, docs, items)
+    assert {k for k, _ in whole} == set(range(40)) and {i for _, i in whole} == {1, 2, 3, 4, 5}
+    monkeypatch.setattr(decontam, "PIECE", 1)  # as many as the longest item has words
+    assert found(spark, docs, items) == whole
